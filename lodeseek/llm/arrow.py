@@ -9,11 +9,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+#: Rows that a worker takes from a batch at once.
+ROWS = 512
+
+
+def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in views of at most ROWS rows."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Array]], outputs: str) -> DataFrame:
     """``df`` with the columns of ``make`` (DDL ``outputs``) after its own.
 
     A column of ``df`` with the name of an output, in any case, is replaced. ``make``
-    sees whole batches and is called on executors; it returns one value a row.
+    sees a few hundred rows at a time and is called on executors; it returns one value a row.
     """
     added = T._parse_datatype_string(outputs)
     new = {f.name.lower() for f in added}
@@ -21,7 +32,7 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Ar
     names = [f.name for f in added]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches):
             made = make(batch)
             arrays = [batch.column(f.name) for f in kept] + [made[n] for n in names]
             yield pa.RecordBatch.from_arrays(arrays, names=[f.name for f in kept] + names)

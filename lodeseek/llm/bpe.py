@@ -267,8 +267,8 @@ class Encoder:
         ends = np.cumsum(count)
         return self.pool[np.arange(int(ends[-1])) + np.repeat(self.begin[slots] - (ends - count), count)], count
 
-    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all rows, number of ids of each row, byte offset in its row where each id ends)."""
+    def encode(self, column: pa.Array, ends: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids of all rows, number of ids of each row, byte offset in its row where each id ends, if asked for)."""
         ids, counts, stops = [], [], []
         for _, raw, offsets in slices(strings(column)):
             if not len(raw):
@@ -292,7 +292,8 @@ class Encoder:
             size = np.diff(of_row)
             ids.append(got)
             counts.append(size)
-            stops.append(np.cumsum(self.v.lengths[got]) - np.repeat(offsets[:-1], size))
+            if ends:
+                stops.append(np.cumsum(self.v.lengths[got]) - np.repeat(offsets[:-1], size))
         join = lambda x, kind: np.concatenate(x) if x else np.zeros(0, kind)
         return join(ids, np.int32), join(counts, np.int64), join(stops, np.int64)
 
@@ -318,7 +319,7 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool =
         if vocabulary not in _encoders:
             _encoders.clear()
             _encoders[vocabulary] = Encoder(shared.value)
-        ids, counts, stops = _encoders[vocabulary].encode(batch.column(text))
+        ids, counts, stops = _encoders[vocabulary].encode(batch.column(text), offsets)
         out = {"n_tokens": pa.array(counts, pa.int64()), "ids": packed(ids, counts)}
         return out | ({"id_ends": packed(stops, counts)} if offsets else {})
 
@@ -339,5 +340,6 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded bytes."""
-    done = decode(encode(docs.select("doc_id", "text"), vocabulary, offsets=False), vocabulary)
+    encoded = encode(docs.select("doc_id", "text"), vocabulary, offsets=False).select("doc_id", "n_tokens", "ids")
+    done = decode(encoded, vocabulary)
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
