@@ -5,12 +5,31 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: The key of the pseudonyms; a deployment passes its own.
+PII_KEY = "lodeseek"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with personal data replaced by format-preserving pseudonyms."""
+    from . import pii
+
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "text", F.size("pii_spans").cast("long").alias("n_found"), "pii_spans", "source")
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents, found through a trigram index."""
+    from . import secrets
+
+    return secrets.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all documents, by the ranks of a public vocabulary."""
     import public_tokenizers
@@ -28,9 +47,11 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op6_byte_bpe, op8_ngram_jaccard]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op8_ngram_jaccard]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import secrets
+
+    return {"op2_secret_scan": secrets.oracle()}
