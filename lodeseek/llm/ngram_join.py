@@ -11,13 +11,13 @@ A posting list of m sets is not expanded to its m (m - 1) / 2 pairs. A few round
 neighbours in differently shuffled orders of the list, whose links give provisional
 components; then every pair that the prefix, size and position filters leave and that
 lies across two components is verified. Pairs inside a component cannot change it, so
-the components are those of all links. Pairs are first held against 2,048-bit parity
-sketches, whose Hamming distance bounds the symmetric difference from below.
+the components are those of all links. Pairs are first held against parity sketches of
+256 bits, in the join, and of 2,048 bits, whose Hamming distances bound the symmetric
+difference from below.
 
 Words are runs of non-space bytes after lower-casing A-Z. A document of fewer words than
 the shingle size has its whole word sequence as its only shingle; one without words, or
-null, has an empty set and links with nothing. Rows with the same key and text are
-copies of each other. Null keys form a key of their own.
+null, has an empty set and links with nothing. Sets are told apart by 126 bits of digests.
 """
 
 from __future__ import annotations
@@ -41,6 +41,10 @@ COUNT_CHUNK = 1 << 14
 SKETCH = 32
 #: Shuffled orders whose neighbours are verified before the rest.
 ROUNDS = 3
+#: Posting lists of more sets go through the rounds first.
+LONG = 8
+#: Columns of the small parity sketch.
+SMALL = ("s0", "s1", "s2", "s3")
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -104,29 +108,37 @@ def _count_table(docs: DataFrame, text: str, size: int) -> np.ndarray:
     return table.ravel()
 
 
-def _profiles(docs: DataFrame, key: str, text: str, size: int, percent: int, counts) -> DataFrame:
-    """One row a document: key, n (set size), grp (size and prefix), set_a and set_b (the whole set)."""
+def _small_sketch(found: np.ndarray) -> np.ndarray:
+    """256 parities of a set as four 64-bit values; they differ at no more places than the sets do."""
+    bits = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
+def _profiles(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
+    """One row a document: key, mark, n (set size), grp (size and prefix), id (of the set), check, s0..s3."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, grp, a, b = [], [], [], []
-            for found in shingle_sets(batch.column(1), size):
+            n, grp, a, b, sketch = [], [], [], [], []
+            for found in shingle_sets(batch.column(2), size):
                 n.append(len(found))
                 grp.append(_digest(_order_keys(found, counts.value, percent), len(found)) if len(found) else None)
                 a.append(_digest(found, 11))
                 b.append(_digest(found, 12))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *[pa.array(x, pa.int64()) for x in (grp, a, b)]], names=["key", "n", "grp", "set_a", "set_b"])
+                sketch.append(_small_sketch(found))
+            four = np.array(sketch, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n, grp, a, b)], *[pa.array(four[:, k].copy()) for k in range(4)]], names=["key", "mark", "n", "grp", "id", "check", *SMALL])
 
-    kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, text).mapInArrow(run, f"key {kind}, n long, grp long, set_a long, set_b long")
+    kind = docs.schema["key"].dataType.simpleString()
+    return docs.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, n long, grp long, id long, check long, " + ", ".join(f"{c} long" for c in SMALL))
 
 
-def _prefixes(docs: DataFrame, text: str, size: int, percent: int, counts) -> DataFrame:
-    """(token, grp, n, pos): the prefix shingles of each group, once a task at least."""
+def _prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
+    """(token, grp, pos): the prefix shingles of each group, once a batch at least."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            tokens, groups, sizes, places, seen = [], [], [], [], set()
+            tokens, groups, places, seen = [], [], [], set()
             for found in shingle_sets(batch.column(0), size):
                 if not len(found):
                     continue
@@ -137,15 +149,14 @@ def _prefixes(docs: DataFrame, text: str, size: int, percent: int, counts) -> Da
                     tokens.append(keys.astype(np.int64))
                     places.append(np.arange(len(keys), dtype=np.int32))
                     groups.append(np.full(len(keys), grp, np.int64))
-                    sizes.append(np.full(len(keys), len(found), np.int32))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, groups, sizes, places)], names=["token", "grp", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, groups, places)], names=["token", "grp", "pos"])
 
-    return docs.select(text).mapInArrow(run, "token long, grp long, n int, pos int")
+    return docs.select("text").mapInArrow(run, "token long, grp long, pos int")
 
 
-def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) -> DataFrame:
-    """(id, shingles, sketch) of the documents in ``wanted`` (id), their hashes packed."""
+def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
+    """(id, shingles, sketch) of the sets in ``wanted`` (id, key, mark), their hashes packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +167,10 @@ def _sets(docs: DataFrame, key: str, text: str, size: int, wanted: DataFrame) ->
                 sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "shingles", "sketch"])
 
-    some = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(wanted, "id", "left_semi")
-    return some.mapInArrow(run, "id long, shingles binary, sketch binary")
+    row = [F.coalesce("key", F.lit(0)).alias("at"), F.col("key").isNull().alias("unkeyed"), "mark"]
+    by = ["at", "unkeyed", "mark"]
+    some = docs.select(*row, "text").dropDuplicates(by).join(wanted.select(*row, "id"), by)
+    return some.select("id", "text").mapInArrow(run, "id long, shingles binary, sketch binary")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -191,12 +204,20 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both(close, "shingles").mapInArrow(same, "a long, b long")
 
 
+def _may_link(percent: int, a: str, b: str) -> str:
+    """What sizes and small sketches allow, as a condition on columns with suffixes ``a`` and ``b``."""
+    apart = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in SMALL)
+    return f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b}) and {100 + percent} * ({apart}) <= {100 - percent} * (n{a} + n{b})"
+
+
 def _neighbours(postings: DataFrame, order: list, percent: int) -> DataFrame:
-    """Distinct pairs of sets that are next to each other in an order of each posting list."""
+    """Distinct pairs of sets that are next to each other in an order of each long posting list."""
     w = Window.partitionBy("token").orderBy(*order)
-    prior = postings.select("id", "n", F.lag("id").over(w).alias("other"), F.lag("n").over(w).alias("m")).where("other is not null and id <> other")
-    pairs = prior.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b"), F.when(F.col("id") < F.col("other"), F.col("n")).otherwise(F.col("m")).alias("na"), F.when(F.col("id") < F.col("other"), F.col("m")).otherwise(F.col("n")).alias("nb"))
-    return pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).distinct()
+    fields = ["id", "n", *SMALL]
+    prior = postings.select(*fields, F.lag(F.struct(*fields)).over(w).alias("p")).where("p is not null and id <> p.id")
+    prior = prior.select(*fields, *[F.col(f"p.{c}").alias(f"{c}_p") for c in fields]).where(_may_link(percent, "", "_p"))
+    low = F.col("id") < F.col("id_p")
+    return prior.select(F.least("id", "id_p").alias("a"), F.greatest("id", "id_p").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_p")).alias("na"), F.when(low, F.col("n_p")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
 def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
@@ -209,12 +230,10 @@ def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     p = postings.join(of.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     split = p.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
     p = p.join(split, "token", "left_semi")
-    a = p.select("token", *[F.col(x).alias(f"{x}_a") for x in ("id", "n", "pos", "c")])
-    b = p.select("token", *[F.col(x).alias(f"{x}_b") for x in ("id", "n", "pos", "c")])
-    fits = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "pos", "c", *SMALL)]) for side in "ab")
     most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
     enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
-    met = a.join(b, [a.token == b.token, F.expr("id_a < id_b and c_a <> c_b"), F.expr(fits), F.expr(enough.format(most))])
+    met = a.join(b, [a.token == b.token, F.expr("id_a < id_b and c_a <> c_b"), F.expr(_may_link(percent, "_a", "_b")), F.expr(enough.format(most))])
     pairs = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     pairs = pairs.where(F.expr("pos_a < 0 or " + enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")))
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
@@ -224,26 +243,34 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """(key, n_shingles, component_id) for each row of ``docs``.
 
     key: a long column. component_id is the smallest key reachable by links of similarity
-    ``percent`` / 100 or more, the row's own included; a null key stays null.
+    ``percent`` / 100 or more, the row's own included; a row with a null key stays null
+    where it is linked with no other. Rows with one key and different texts are documents
+    of their own.
     """
-    docs = docs.select(key, text)
-    counts = docs.sparkSession.sparkContext.broadcast(_count_table(docs, text, size))
-    rows = cut(_profiles(docs, key, text, size, percent, counts))
-    # Distinct sets, each under its least key; a set's copies need no comparison.
-    sets = cut(rows.where("n > 0 and key is not null").groupBy("n", "grp", "set_a", "set_b").agg(F.min("key").alias("id")))
-    w = Window.partitionBy("token").orderBy("n", "grp")
-    tokens = _prefixes(docs, text, size, percent, counts).select("*", F.lag("grp").over(w).alias("x"), F.lead("grp").over(w).alias("y"))
-    shared = tokens.where("x <> grp or y <> grp").select("token", "grp", "n", "pos").distinct()
-    of_groups = shared.join(sets.select("grp", "id", "set_a", "set_b"), "grp").select("token", "id", "n", "pos")
+    docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+    counts = docs.sparkSession.sparkContext.broadcast(_count_table(docs, "text", size))
+    rows = cut(_profiles(docs, size, percent, counts))
+    # Distinct sets, each with the row that stands for it; copies of a set need no comparison.
+    best = F.min(F.struct(F.col("key").isNull().alias("unkeyed"), "key", "mark")).alias("first")
+    sets = cut(rows.where("n > 0").groupBy("id", "check", "n", "grp", *SMALL).agg(best).select("id", "n", "grp", *SMALL, "first.key", "first.mark"))
+    w = Window.partitionBy("token").orderBy("grp")
+    tokens = _prefixes(docs, size, percent, counts).select("*", F.lag("grp").over(w).alias("x"), F.lead("grp").over(w).alias("y"))
+    shared = tokens.where("x <> grp or y <> grp").select("token", "grp", "pos").distinct()
+    of_groups = shared.join(sets.select("grp", "id", "n", *SMALL), "grp").select("token", "id", "n", "pos", *SMALL)
     several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    in_groups = sets.join(several, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "id", F.col("n").cast("int").alias("n"), F.lit(-1).alias("pos"))
+    in_groups = sets.join(several, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "id", "n", F.lit(-1).alias("pos"), *SMALL)
     postings = cut(of_groups.unionByName(in_groups))
-    wanted = cut(_sets(docs, key, text, size, postings.select("id").distinct()).dropDuplicates(["id"]))
+    wanted = sets.join(postings.select("id").distinct(), "id", "left_semi").select("id", "key", "mark")
+    bodies = cut(_sets(docs, size, wanted))
+    long_lists = postings.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > LONG).select("token")
+    listed = postings.join(long_lists, "token", "left_semi")
     orders = [[F.xxhash64("id", F.lit(k)), "id"] for k in range(ROUNDS)]
-    pairs = reduce(DataFrame.unionByName, [_neighbours(postings, o, percent) for o in orders]).distinct()
-    links = cut(_linked(pairs, wanted, percent))
-    rest = cut(_linked(_across(postings, cut(connected_components(links)), percent), wanted, percent))
-    of = connected_components(links.unionByName(rest))
-    named = sets.join(of, "id", "left").select("n", "grp", "set_a", "set_b", F.coalesce("component", "id").alias("component_id"))
-    out = rows.join(named, ["n", "grp", "set_a", "set_b"], "left")
+    pairs = reduce(DataFrame.unionByName, [_neighbours(listed, o, percent) for o in orders]).distinct()
+    links = cut(_linked(pairs, bodies, percent))
+    rest = cut(_linked(_across(postings, cut(connected_components(links)), percent), bodies, percent))
+    of = connected_components(links.unionByName(rest)).withColumnRenamed("component", "c")
+    classes = cut(sets.select("id", "key").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    least = classes.groupBy("c").agg(F.min("key").alias("component_id"))
+    named = classes.join(least, "c").select("id", "component_id")
+    out = rows.withColumn("set_id", F.when(F.col("n") > 0, F.col("id"))).join(named.withColumnRenamed("id", "set_id"), "set_id", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
