@@ -46,8 +46,16 @@ def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the 400-byte strings that start anywhere else."""
+    from . import suffix_dedup
+
+    done = suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op8_ngram_jaccard]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op8_ngram_jaccard, op9_suffix_dedup]
     return {f.__name__: f for f in own}
 
 
