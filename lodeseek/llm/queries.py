@@ -39,6 +39,13 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix of the sources takes of each document."""
+    from . import mixing
+
+    return mixing.digests(_table(spark, sf_dir, "documents"))
+
+
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Classes of documents with a shingle similarity of 0.75 or more."""
     from . import ngram_join
@@ -55,7 +62,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op8_ngram_jaccard, op9_suffix_dedup]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup]
     return {f.__name__: f for f in own}
 
 
