@@ -30,6 +30,20 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digests(_table(spark, sf_dir, "documents"))
 
 
+def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of embeddings with a cosine of 0.9 or more."""
+    from . import near_vectors
+
+    return near_vectors.near_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of all conversations, read back from their formatted texts."""
+    from . import chat
+
+    return chat.digests(_table(spark, sf_dir, "conversations"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all documents, by the ranks of a public vocabulary."""
     import public_tokenizers
@@ -62,11 +76,11 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import secrets
+    from . import chat, secrets
 
-    return {"op2_secret_scan": secrets.oracle()}
+    return {"op2_secret_scan": secrets.oracle(), "op4_chat_format": chat.oracle()}
