@@ -75,8 +75,15 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics of all documents, and which the rules and the forest keep."""
+    from . import quality
+
+    return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest]
     return {f.__name__: f for f in own}
 
 
