@@ -44,6 +44,13 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(_table(spark, sf_dir, "conversations"))
 
 
+def op5_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language-model scores of all documents, learnt from those that are not held out."""
+    from . import context_mixing
+
+    return context_mixing.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and round trip of all documents, by the ranks of a public vocabulary."""
     import public_tokenizers
@@ -83,7 +90,7 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest]
     return {f.__name__: f for f in own}
 
 
