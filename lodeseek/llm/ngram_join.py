@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower, mixed, prefix_sums, slices, span_hashes, spans_of_words, strings, window_hashes
+from .common import cut, lower, mixed, own_name, prefix_sums, slices, span_hashes, spans_of_words, strings, window_hashes
 from .components import connected_components
 
 #: Buckets of the count table that orders shingles; sent to all executors.
@@ -239,15 +239,12 @@ def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
 
 
-def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """(key, n_shingles, component_id) for each row of ``docs``.
+def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
 
-    key: a long column. component_id is the smallest key reachable by links of similarity
-    ``percent`` / 100 or more, the row's own included; a row with a null key stays null
-    where it is linked with no other. Rows with one key and different texts are documents
-    of their own.
-    """
-    docs = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text"))
+
+def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows with key, mark, n and id of the set; sets with id, key, mark and their component c)."""
     counts = docs.sparkSession.sparkContext.broadcast(_count_table(docs, "text", size))
     rows = cut(_profiles(docs, size, percent, counts))
     # Distinct sets, each with the row that stands for it; copies of a set need no comparison.
@@ -269,8 +266,36 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     links = cut(_linked(pairs, bodies, percent))
     rest = cut(_linked(_across(postings, cut(connected_components(links)), percent), bodies, percent))
     of = connected_components(links.unionByName(rest)).withColumnRenamed("component", "c")
-    classes = cut(sets.select("id", "key").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    classes = cut(sets.select("id", "key", "mark").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    return rows, classes
+
+
+def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """(key, n_shingles, component_id) for each row of ``docs``.
+
+    key: a long column. component_id is the smallest key reachable by links of similarity
+    ``percent`` / 100 or more, the row's own included; a row with a null key stays null
+    where it is linked with no other. Rows with one key and different texts are documents
+    of their own.
+    """
+    rows, classes = _classes(_keyed(docs, key, text), size, percent)
     least = classes.groupBy("c").agg(F.min("key").alias("component_id"))
     named = classes.join(least, "c").select("id", "component_id")
     out = rows.withColumn("set_id", F.when(F.col("n") > 0, F.col("id"))).join(named.withColumnRenamed("id", "set_id"), "set_id", "left")
     return out.select(F.col("key").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "key").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` without near-duplicates: of each class, the row with the least key stays.
+
+    Rows without words are no duplicates of anything and all stay. Null keys come last.
+    """
+    _, classes = _classes(_keyed(docs, key, text), size, percent)
+    best = F.min(F.struct(F.col("key").isNull().alias("unkeyed"), "key", "mark")).alias("best")
+    kept = classes.groupBy("c").agg(best).select(F.coalesce("best.key", F.lit(0)).alias("at"), "best.unkeyed", "best.mark")
+    by = ["at", "unkeyed", "mark"]
+    kept = kept.withColumnsRenamed(dict(zip(by, names := [own_name(docs, f"class_{c}") for c in by], strict=True)))
+    row = docs.withColumns(dict(zip(names, (F.coalesce(key, F.lit(0)), F.col(key).isNull(), F.xxhash64(text)), strict=True)))
+    worded = F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    once = row.where(worded).join(kept, names, "left_semi").dropDuplicates(names)
+    return once.unionByName(row.where(~worded)).select(*docs.columns)
