@@ -1,11 +1,367 @@
-"""The library's queries by name, and the equal SQL where SQL can express them."""
+"""The library's queries by name, and the equal SQL where SQL can express them.
+
+Documents stand for chunks, their vectors come from ``embeddings``; conversations are
+rendered as Markdown, pages as a tree. Search takes as queries every vector whose id is
+divisible by 50, against all points.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodeseek.functions import storage, text, vectors
+from lodeseek.operators import chunking, code_chunks, graph, pages, search
+from lodeseek.sources import store
 
 FLAGSHIP = "vector_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
+
+#: Scores that random vectors reach; the defaults are those of a semantic model.
+LEAST, GATE, TOP, WIDTH = 0.2, 0.72, 5, 20
+FENCE = "```"
+
+_VECTORS = """pts AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+    qry AS (SELECT b.vec_id AS qid, v.variant, CAST(e.embedding AS DOUBLE[]) AS e FROM embeddings b, (VALUES (0), (1), (2)) v(variant), embeddings e WHERE b.vec_id % 50 = 0 AND e.vec_id = b.vec_id + v.variant)"""
+
+
+def _ranked(k: int, queries: str = "qry", points: str = "pts", name: str = "ranked") -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid, variant ORDER BY score DESC, id) AS rank
+        FROM (SELECT qid, variant, p.id, round(list_cosine_similarity(p.e, q.e), 9) AS score FROM {points} p, {queries} q)) WHERE rank <= {k})"""
+
+
+def _fused(name: str = "fused", of: str = "ranked") -> str:
+    return f"""{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, rrf DESC, f.variant, f.rank, id) AS place
+        FROM (SELECT qid, id, max(score) AS score, sum(1.0 / (60 + rank)) AS rrf, min({{'variant': variant, 'rank': rank}}) AS f FROM {of} GROUP BY qid, id))"""
+
+
+def _query(sql: str | None = None):
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+
+def _variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir)
+    asked = points.where("id % 50 = 0").select(F.col("id").alias("qid"), F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("variant"))
+    return asked.join(points, F.col("id") == F.col("qid") + F.col("variant")).select("qid", "variant", "embedding")
+
+
+def _first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _variants(spark, sf_dir).where("variant = 0")
+
+
+def _rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c, k in df.dtypes if k == "double"})
+
+
+def _hits(spark: SparkSession, sf_dir: str, k: int = TOP) -> DataFrame:
+    """The best points of every query with what their documents tell."""
+    found = search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), k).withColumnRenamed("rank", "place")
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", "lang", "source", "n_chars")
+    shown = docs.select("id", "text", F.col("lang").alias("title"), "source", F.col("source").alias("source_id"), F.col("lang").alias("space"), F.concat(F.lit("C:\\"), "source", F.lit("\\"), F.col("id").cast("string")).alias("url"), F.lit("2024-01-01").alias("updated_at"), F.col("n_chars").alias("chunk_idx"))
+    return found.join(shown, "id")
+
+
+_HITS = f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(TOP, "q0")},
+    hits AS (SELECT qid, rank AS place, id, score, text, lang, source, n_chars, 'C:\\' || source || '\\' || id AS url FROM ranked JOIN documents ON doc_id = id)"""
+
+
+@_query(f"WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(TOP, 'q0')} SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), TOP).select("qid", "id", "score", "rank"))
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), picked AS (SELECT pts.* FROM pts JOIN documents ON doc_id = id WHERE lang = 'en'), {_ranked(TOP, 'q0', 'picked')}
+    SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked""")
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = _points(spark, sf_dir).join(_table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang"), "id")
+    return _rounded(search.top_k(search.filtered(points, lang="en", space=None), _first(spark, sf_dir), TOP).select("qid", "id", "score", "rank"))
+
+
+@_query(f"WITH {_VECTORS}, {_ranked(TOP)} SELECT qid, CAST(variant AS INT) AS variant, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked")
+def batch_topk_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.top_k(_points(spark, sf_dir), _variants(spark, sf_dir), TOP))
+
+
+@_query(f"WITH {_VECTORS}, {_ranked(WIDTH)}, {_fused()} SELECT qid, id, round(score, 6) AS score, round(rrf, 6) AS rrf, CAST(place AS INT) AS place FROM fused")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.fuse(search.top_k(_points(spark, sf_dir), _variants(spark, sf_dir), WIDTH)))
+
+
+@_query(f"""WITH {_VECTORS}, mean AS (SELECT a.qid, 0 AS variant, list_transform(list_zip(a.e, b.e), lambda x: (x[1] + x[2]) / 2) AS e FROM qry a JOIN qry b ON a.qid = b.qid AND a.variant = 0 AND b.variant = 1),
+    asked AS (SELECT * FROM mean UNION ALL SELECT * FROM qry WHERE variant > 0), m0 AS (SELECT * FROM asked WHERE variant = 0), {_ranked(TOP, 'm0', name='pass1')},
+    hard AS (SELECT qid FROM pass1 GROUP BY qid HAVING max(score) < {GATE}), h AS (SELECT * FROM asked WHERE qid IN (SELECT qid FROM hard)), {_ranked(WIDTH, 'h')}, {_fused()}
+    SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS place, false AS expanded FROM pass1 WHERE qid NOT IN (SELECT qid FROM hard)
+    UNION ALL SELECT qid, id, round(score, 6), CAST(place AS INT), true FROM fused WHERE place <= {TOP} AND score >= {LEAST}""")
+def gated_expansion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    every = _variants(spark, sf_dir)
+    pair = every.where("variant = 0").join(every.where("variant = 1").select("qid", F.col("embedding").alias("other")), "qid")
+    mean = pair.select("qid", "variant", F.zip_with("embedding", "other", lambda a, b: (a.cast("double") + b.cast("double")) / 2).alias("embedding"))
+    rest = every.where("variant > 0").withColumn("embedding", F.col("embedding").cast("array<double>"))
+    return _rounded(search.gated_search(_points(spark, sf_dir), mean.unionByName(rest), TOP, GATE, LEAST, WIDTH))
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(WIDTH, 'q0')}
+    SELECT qid, count(*) FILTER (WHERE score >= {LEAST}) AS kept, count(*) FILTER (WHERE score < {LEAST}) AS dropped FROM ranked GROUP BY qid""")
+def threshold_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.threshold(search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), WIDTH), LEAST)[1]
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(WIDTH, 'q0')},
+    scored AS (SELECT qid, id, rank, CASE WHEN id % 5 = 0 THEN -1.0 ELSE (id * 7 + qid) % 11 - 5.0 END AS s FROM ranked),
+    placed AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY s DESC, rank) AS place FROM scored WHERE s >= 0)
+    SELECT qid, id, CAST(s AS DOUBLE) AS score, CAST(place AS INT) AS place FROM placed WHERE place <= {TOP}""")
+def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), WIDTH).withColumnRenamed("rank", "place")
+    scores = found.where("id % 5 <> 0").select("qid", "id", ((F.col("id") * 7 + F.col("qid")) % 11 - 5.0).alias("rerank"))
+    return search.rerank(found, scores, TOP)
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(WIDTH, 'q0')}
+    SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS place FROM ranked WHERE score >= {LEAST} AND rank <= {TOP}""")
+def rerank_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), WIDTH).withColumnRenamed("rank", "place")
+    return _rounded(search.rerank(found, None, TOP, fallback=LEAST))
+
+
+@_query(f"WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(TOP, 'q0')} SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM ranked WHERE score >= {LEAST}")
+def code_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(search.code_top_k(_points(spark, sf_dir), _first(spark, sf_dir), TOP, LEAST).select("qid", "id", "score", "rank"))
+
+
+@_query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 50")
+def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.facets(_table(spark, sf_dir, "documents"), "source")
+
+
+@_query(_HITS + " SELECT qid, CAST(place AS INT) AS place, text, source AS document, url AS location FROM hits")
+def concise_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.concise(_hits(spark, sf_dir))
+
+
+@_query(_HITS + " SELECT qid, CAST(place AS INT) AS place, text, lang AS title, source, source AS document, lang AS space, url AS location, '2024-01-01' AS updated, n_chars AS chunk, round(score, 4) AS score FROM hits")
+def detailed_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.detailed(_hits(spark, sf_dir))
+
+
+@_query(_HITS + """, first AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY place) AS nth FROM hits)
+    SELECT qid, 'Источник: ' || string_agg(source || ' (' || replace(url, '\\', '/') || ')', '; ' ORDER BY place) AS citation FROM first WHERE nth = 1 GROUP BY qid""")
+def citation_line(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.citations(_hits(spark, sf_dir))
+
+
+@_query(_HITS.replace(f"rank <= {TOP}", "rank <= 3") + """ SELECT q0.qid, coalesce(bool_or(contains(lower(text), 'enue') OR contains(lower(text), 'stein')), false) AS hit FROM q0 LEFT JOIN hits USING (qid) GROUP BY q0.qid""")
+def eval_marker_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cases = _first(spark, sf_dir).select("qid", F.array(F.lit("ENUE"), F.lit("stein")).alias("markers"))
+    return search.marker_hits(_hits(spark, sf_dir, 3), cases)
+
+
+def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(conv_id, text): a conversation as Markdown, with a fenced line that looks like a heading."""
+    piece = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit(f"\n{FENCE}\n# not a heading\n{FENCE}\n"), "text")
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", piece.alias("piece")))).alias("turns"))
+    body = F.array_join(F.transform("turns", lambda t: t["piece"]), "\n")
+    return turns.select("conv_id", F.concat(F.lit("# conv "), F.col("conv_id").cast("string"), F.lit("\n"), body).alias("text"))
+
+
+_LINES = f"""WITH md AS (SELECT conv_id, '# conv ' || conv_id || chr(10) || string_agg('## ' || role || ' ' || turn || chr(10) || '{FENCE}' || chr(10) || '# not a heading' || chr(10) || '{FENCE}' || chr(10) || text, chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id),
+    each AS (SELECT conv_id, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT conv_id, string_split(text, chr(10)) AS l FROM md)),
+    fenced AS (SELECT *, line LIKE '{FENCE}%' AS mark, sum(CASE WHEN line LIKE '{FENCE}%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY pos) % 2 = 1 AS inside FROM each),
+    marked AS (SELECT *, CASE WHEN NOT mark AND NOT inside AND regexp_matches(line, '^#{{1,6}}\\s') THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END AS level FROM fenced),
+    titled AS (SELECT *, sum(CASE WHEN level > 0 THEN 1 ELSE 0 END) OVER w AS section, last_value(CASE WHEN level = 1 THEN substr(line, 3) END IGNORE NULLS) OVER w AS one, last_value(CASE WHEN level = 2 THEN substr(line, 4) WHEN level = 1 THEN '' END IGNORE NULLS) OVER w AS two FROM marked WINDOW w AS (PARTITION BY conv_id ORDER BY pos)),
+    trail AS (SELECT *, CASE WHEN two = '' THEN one ELSE one || ' - ' || two END AS heading FROM titled),
+    bodies AS (SELECT * FROM (SELECT conv_id, section, max(heading) AS heading, regexp_replace(coalesce(string_agg(CASE WHEN level = 0 THEN line END, chr(10) ORDER BY pos), ''), '^\\s+|\\s+$', '', 'g') AS body FROM trail GROUP BY conv_id, section) WHERE body <> ''),
+    numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY section) - 1 AS idx FROM bodies)"""
+
+
+@_query(_LINES + " SELECT conv_id, CAST(pos AS INT) AS pos, mark OR inside AS fenced FROM marked")
+def fence_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.document_lines(_markdown(spark, sf_dir), "conv_id", "text").select("conv_id", "pos", "fenced")
+
+
+@_query(_LINES + " SELECT conv_id, CAST(pos AS INT) AS pos, CAST(level AS INT) AS level, CAST(section AS BIGINT) AS section, heading FROM trail")
+def heading_trail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = chunking.document_lines(_markdown(spark, sf_dir), "conv_id", "text")
+    return chunking.heading_trail(marked, "conv_id").select("conv_id", "pos", "level", "section", "heading")
+
+
+@_query(_LINES + " SELECT conv_id, CAST(section AS BIGINT) AS section, heading, body FROM bodies")
+def section_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.sections(_markdown(spark, sf_dir), "conv_id", "text")
+
+
+@_query(_LINES + ", h AS (SELECT *, md5('local|' || conv_id || '.md|' || idx) AS m FROM numbered) SELECT conv_id, CAST(idx AS INT) AS chunk_idx, concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) AS id FROM h")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.chunks(_markdown(spark, sf_dir), "conv_id", "text")
+    return chunking.chunk_ids(made, F.lit("local"), F.concat(F.col("conv_id").cast("string"), F.lit(".md"))).select("conv_id", "chunk_idx", "id")
+
+
+@_query(_LINES + " SELECT conv_id, CAST(idx AS INT) AS chunk_idx, heading || chr(10) || chr(10) || body AS input FROM numbered")
+def embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = chunking.chunks(_markdown(spark, sf_dir), "conv_id", "text")
+    return made.select("conv_id", "chunk_idx", vectors.input_text(F.col("heading"), F.col("text")).alias("input"))
+
+
+@_query("""WITH RECURSIVE b AS (SELECT doc_id, regexp_replace(replace(text, chr(10), chr(10) || chr(10)), '^\\s+|\\s+$', '', 'g') AS body FROM documents),
+    p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(body, '\\r?\\n\\s*\\r?\\n'), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS l FROM b WHERE length(body) > 1500),
+    step AS (SELECT doc_id, 1 AS i, 0 AS piece, l[1] AS buf FROM p WHERE len(l) > 0 UNION ALL
+        SELECT s.doc_id, i + 1, CASE WHEN length(buf) + length(l[i + 1]) > 1500 THEN piece + 1 ELSE piece END, CASE WHEN length(buf) + length(l[i + 1]) > 1500 THEN l[i + 1] ELSE buf || chr(10) || chr(10) || l[i + 1] END FROM step s JOIN p ON p.doc_id = s.doc_id WHERE i < len(l))
+    SELECT doc_id, 0 AS piece, body AS text FROM b WHERE length(body) <= 1500 UNION ALL SELECT doc_id, piece, arg_max(buf, i) FROM step GROUP BY doc_id, piece""")
+def paragraph_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = _table(spark, sf_dir, "documents").select("doc_id", text.strip(F.replace("text", F.lit("\n"), F.lit("\n\n"))).alias("body"))
+    return bodies.select("doc_id", F.posexplode(chunking.pack_paragraphs(F.col("body"), 1500)).alias("piece", "text"))
+
+
+@_query("""WITH each AS (SELECT doc_id, len(l) AS total, unnest(range(len(l))) AS pos, unnest(l) AS line FROM (SELECT doc_id, CASE WHEN l[-1] = '' THEN l[:-2] ELSE l END AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents))),
+    w AS (SELECT doc_id, total, pos // 10 AS n, string_agg(line, chr(10) ORDER BY pos) AS piece FROM each GROUP BY ALL)
+    SELECT doc_id, CAST(n * 10 + 1 AS INT) AS line_start, CAST(least(n * 10 + 10, total) AS INT) AS line_end, left(piece, 4000) AS text FROM w WHERE regexp_matches(piece, '\\S')""")
+def line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.line_windows(_table(spark, sf_dir, "documents"), "doc_id", "text", step=10)
+
+
+@_query("SELECT doc_id, '## ' || source || ' ' || doc_id || chr(10) || '```' || chr(10) || rtrim(text, chr(10)) || chr(10) || '```' || chr(10) || 'See — it' || chr(10) AS markdown FROM documents")
+def asciidoc_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = F.concat(F.lit("== "), "source", F.lit(" "), F.col("doc_id").cast("string"), F.lit("\n[source]\n----\n"), F.regexp_replace("text", "\n+$", ""), F.lit("\n----\nimage::x.png[]\nSee -- it((( index )))\n"))
+    return chunking.asciidoc_to_markdown(_table(spark, sf_dir, "documents").select("doc_id", written.alias("text")), "doc_id", "text")
+
+
+@_query("""SELECT doc_id, '# ' || lang || chr(10) || chr(10) || '## ' || source || chr(10) || chr(10) || regexp_replace(regexp_replace(text, '[ \\t]+', ' ', 'g'), '^\\s+|\\s+$', '', 'g') || chr(10) AS markdown FROM documents""")
+def storage_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    escape = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    markup = F.concat(F.lit("<h2>"), "source", F.lit("</h2><p>"), escape, F.lit("</p>"))
+    return _table(spark, sf_dir, "documents").select("doc_id", storage.to_markdown(markup, "lang").alias("markdown"))
+
+
+@_query("SELECT page_id, trim(regexp_replace(regexp_replace(translate(html, chr(160), ' '), '<[^>]+>', ' ', 'g'), '[ \\t]+', ' ', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS text FROM pages")
+def html_fallback_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", storage.plain_text(F.col("html")).alias("text"))
+
+
+@_query("""WITH new AS (SELECT DISTINCT doc_id, source FROM documents JOIN labels USING (doc_id))
+    SELECT source, doc_id, lang, 'old' AS state FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM new) UNION ALL SELECT d.source, d.doc_id, d.lang, 'new' FROM documents d JOIN new USING (doc_id)""")
+def delete_then_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    fresh = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").select("source", "doc_id", "lang", F.lit("new").alias("state"))
+    return store.replaced(docs.withColumn("state", F.lit("old")), fresh, ("source", "doc_id"))
+
+
+def _tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.when(F.col("page_id") > 0, F.expr("page_id div 4")).alias("parent"))
+
+
+_CLOSURE = """WITH RECURSIVE t AS (SELECT page_id AS root, page_id AS id, 0 AS depth FROM pages UNION ALL SELECT t.root, p.page_id, t.depth + 1 FROM t JOIN pages p ON p.page_id // 4 = t.id AND p.page_id > 0)"""
+
+
+@_query(_CLOSURE + " SELECT root, id, CAST(min(depth) AS INT) AS depth FROM t GROUP BY root, id")
+def page_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _tree(spark, sf_dir)
+    return pages.descendants(tree, tree)
+
+
+@_query(_CLOSURE + " SELECT root, count(DISTINCT id) AS pages FROM t GROUP BY root")
+def page_subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = _tree(spark, sf_dir)
+    return pages.subtree_counts(pages.descendants(tree, tree))
+
+
+@_query("SELECT page_id AS id, min(page_id % 3) AS root_ord, page_id AS pos FROM pages GROUP BY page_id")
+def page_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 3).alias("root_ord"), F.col("page_id").alias("pos"))
+    again = listed.withColumn("root_ord", F.col("root_ord") + 1)
+    return pages.first_occurrences(listed.unionByName(again))
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.concat(F.lit("v"), F.expr("page_id % 5 = 0").cast("int").cast("string")).alias("updated"))
+    before = _table(spark, sf_dir, "pages").where("page_id % 7 <> 3").select(F.col("page_id").alias("id"), F.lit("v0").alias("updated"))
+    return pages.change_set(now, before)
+
+
+_CHANGES = "WITH c AS (SELECT page_id AS id, 'v' || CAST(page_id % 5 = 0 AS INT) AS updated, CASE WHEN page_id % 7 = 3 THEN 'new' WHEN page_id % 5 = 0 THEN 'updated' ELSE 'unchanged' END AS action FROM pages)"
+
+
+@_query(_CHANGES + " SELECT * FROM c")
+def page_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _changes(spark, sf_dir)
+
+
+@_query(_CHANGES + " SELECT action, count(*) AS n FROM c GROUP BY action")
+def sync_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.sync_stats(_changes(spark, sf_dir))
+
+
+@_query("""SELECT doc_id, left(CASE WHEN n = '' THEN 'untitled' ELSE n END, 120) AS name FROM (SELECT doc_id, regexp_replace(trim(regexp_replace(text, '[<>:"/\\\\|?*\\x00-\\x1f]', '-', 'g'), '. '), '\\s+', ' ', 'g') AS n FROM documents)""")
+def safe_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", text.safe_name(F.col("text")).alias("name"))
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    name = F.element_at(F.array(*map(F.lit, ("test_a.py", "main.py", "notes.rst", "Dockerfile", "deploy.YML", "latest_x.py"))), (F.col("n_chars") % 6 + 1).cast("int"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo"), F.concat(F.when(F.col("doc_id") % 10 == 0, "vendor").otherwise(F.col("lang")), F.lit("/"), name).alias("path"))
+
+
+_PATHS = "WITH f AS (SELECT doc_id, source AS repo, CASE WHEN doc_id % 10 = 0 THEN 'vendor' ELSE lang END AS dir, ['test_a.py', 'main.py', 'notes.rst', 'Dockerfile', 'deploy.YML', 'latest_x.py'][n_chars % 6 + 1] AS name FROM documents), s AS (SELECT *, dir = 'vendor' OR contains(lower(name), 'test_') OR contains(lower(name), '_test') OR contains(lower(name), 'conftest') AS skipped, name LIKE '%.py' OR name = 'Dockerfile' AS admitted FROM f)"
+
+
+@_query(_PATHS + " SELECT doc_id, skipped, admitted FROM s")
+def skip_predicate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _paths(spark, sf_dir).select("doc_id", code_chunks.skipped(F.col("path")).alias("skipped"), code_chunks.admitted(F.col("path")).alias("admitted"))
+
+
+@_query(_PATHS + " SELECT repo, count(*) AS seen, count(*) FILTER (WHERE admitted AND NOT skipped) AS taken, count(*) FILTER (WHERE skipped) AS skipped_by_name FROM s GROUP BY repo")
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_chunks.scan_report(_paths(spark, sf_dir))
+
+
+@_query(_PATHS + " SELECT regexp_extract(name, '(\\.[^.]+)$', 1) AS ext, count(*) AS n FROM s WHERE NOT admitted GROUP BY 1 ORDER BY n DESC, ext LIMIT 12")
+def ext_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return code_chunks.rejected_extensions(_paths(spark, sf_dir))
+
+
+@_query("""WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS word FROM documents), c AS (SELECT doc_id, CAST('0x' || substr(md5(word), 1, 8) AS BIGINT) % 256 AS bucket, count(*) AS n FROM w GROUP BY ALL)
+    SELECT doc_id, bucket, n, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""")
+def hashed_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(vectors.word_buckets(_table(spark, sf_dir, "documents"), "doc_id", "text", 256))
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tree(spark, sf_dir).where("parent is not null").select(F.col("id").alias("src"), F.col("parent").alias("dst"), F.lit("EXTRACTED").alias("confidence"))
+
+
+_EDGES = "WITH RECURSIVE e AS (SELECT page_id AS src, page_id // 4 AS dst FROM pages WHERE page_id > 0), u AS (SELECT DISTINCT * FROM (SELECT * FROM e UNION ALL SELECT dst, src FROM e) WHERE src <> dst)"
+
+
+@_query(_EDGES + " SELECT src AS id, count(*) AS degree FROM u GROUP BY src")
+def graph_degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(_edges(spark, sf_dir))
+
+
+@_query(_EDGES + " SELECT src AS id, dst AS neighbour FROM u")
+def graph_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.neighbours(_edges(spark, sf_dir), _tree(spark, sf_dir).select("id"))
+
+
+@_query(_EDGES + ", d AS (SELECT CAST(0 AS BIGINT) AS id, 0 AS distance UNION ALL SELECT u.dst, distance + 1 FROM d JOIN u ON u.src = d.id AND u.dst > u.src) SELECT id, CAST(min(distance) AS INT) AS distance FROM d GROUP BY id")
+def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.distances(_edges(spark, sf_dir), 0).withColumn("id", F.col("id").cast("long"))
+
+
+@_query("SELECT (SELECT count(*) FROM pages) AS nodes, (SELECT count(*) FROM pages WHERE page_id > 0) AS edges, (SELECT count(*) FROM pages WHERE page_id > 0) AS extracted, CAST(0 AS BIGINT) AS inferred, CAST(0 AS BIGINT) AS ambiguous")
+def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.stats(_tree(spark, sf_dir), _edges(spark, sf_dir))
