@@ -40,9 +40,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks)
+    done = bpe.encode(docs.select("doc_id", "lang", "source", "text"), ranks, decoded="decoded")
     exact = F.col("decoded") == F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    return bpe.decode(encoded, ranks).select("doc_id", "lang", "source", "n_tokens", "ids", "id_ends", exact.alias("round_trip"))
+    return done.select("doc_id", "lang", "source", "n_tokens", "ids", "id_ends", exact.alias("round_trip"))
 
 
 STAGES = [

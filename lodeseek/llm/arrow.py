@@ -13,6 +13,17 @@ from pyspark.sql import types as T
 ROWS = 512
 
 
+def small_batches(df: DataFrame) -> None:
+    """Let the session send ``ROWS`` rows at once to Python, unless it has a setting of its own.
+
+    The default of 10,000 rows would put tens of megabytes of text into a batch, once in
+    the JVM and once in the worker.
+    """
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(name) == "10000":
+        df.sparkSession.conf.set(name, str(ROWS))
+
+
 def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The batches in views of at most ROWS rows."""
     for batch in batches:
@@ -26,6 +37,7 @@ def with_columns(df: DataFrame, make: Callable[[pa.RecordBatch], dict[str, pa.Ar
     A column of ``df`` with the name of an output, in any case, is replaced. ``make``
     sees a few hundred rows at a time and is called on executors; it returns one value a row.
     """
+    small_batches(df)
     added = T._parse_datatype_string(outputs)
     new = {f.name.lower() for f in added}
     kept = [f for f in df.schema if f.name.lower() not in new]

@@ -39,7 +39,7 @@ LANE = 128
 #: Slices of more bytes are merged one by one with a heap.
 LONG = 64
 #: Distinct slices kept in a worker's cache before it starts anew.
-CACHE = 300_000
+CACHE = 150_000
 _NONE = np.int32(2**31 - 1)
 
 
@@ -307,11 +307,12 @@ def packed(values: np.ndarray, counts: np.ndarray) -> pa.Array:
 _encoders: dict[str, Encoder] = {}
 
 
-def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = True) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool = True, decoded: str | None = None) -> DataFrame:
     """``docs`` with ``n_tokens``, ``ids`` and, if asked for, ``id_ends`` of column ``text``.
 
     vocabulary: path of a rank file, read by the driver and sent to executors (a fixed
-    size). Null and empty texts give 0 tokens; columns of these names are replaced.
+    size). decoded: the name of a column for the bytes that the packed ids decode to, in
+    the same pass. Null and empty texts give 0 tokens; columns of these names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
@@ -321,9 +322,17 @@ def encode(docs: DataFrame, vocabulary: str, text: str = "text", offsets: bool =
             _encoders[vocabulary] = Encoder(shared.value)
         ids, counts, stops = _encoders[vocabulary].encode(batch.column(text), offsets)
         out = {"n_tokens": pa.array(counts, pa.int64()), "ids": packed(ids, counts)}
-        return out | ({"id_ends": packed(stops, counts)} if offsets else {})
+        if offsets:
+            out["id_ends"] = packed(stops, counts)
+        if decoded:
+            out[decoded] = _decoded(shared.value, out["ids"])
+        return out
 
-    return with_columns(docs, make, "n_tokens long, ids binary" + ", id_ends binary" * offsets)
+    return with_columns(docs, make, "n_tokens long, ids binary" + ", id_ends binary" * offsets + (f", `{decoded}` binary" if decoded else ""))
+
+
+def _decoded(v: Vocabulary, ids: pa.Array) -> pa.Array:
+    return pa.array([v.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)).tobytes() for x in ids.to_pylist()], pa.binary())
 
 
 def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
@@ -331,15 +340,12 @@ def decode(encoded: DataFrame, vocabulary: str, ids: str = "ids", out: str = "de
     shared = encoded.sparkSession.sparkContext.broadcast(Vocabulary(vocabulary))
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        v = shared.value
-        made = [v.decode(np.frombuffer(x or b"", "<u4").astype(np.int64)).tobytes() for x in batch.column(ids).to_pylist()]
-        return {out: pa.array(made, pa.binary())}
+        return {out: _decoded(shared.value, batch.column(ids))}
 
     return with_columns(encoded, make, f"`{out}` binary")
 
 
 def digests(docs: DataFrame, vocabulary: str) -> DataFrame:
     """doc_id, n_tokens and the SHA-256 of ids and of the decoded bytes."""
-    encoded = encode(docs.select("doc_id", "text"), vocabulary, offsets=False).select("doc_id", "n_tokens", "ids")
-    done = decode(encoded, vocabulary)
+    done = encode(docs.select("doc_id", "text"), vocabulary, offsets=False, decoded="decoded")
     return done.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

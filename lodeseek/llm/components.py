@@ -29,10 +29,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(id, component) for each node of ``edges`` (a, b long): the least node reachable.
+    """(id, component) for the nodes of ``edges`` (a, b long): the least node reachable.
 
-    Loops and repeated edges do no harm; nodes without another node are left out, so the
-    caller takes the node itself where a join finds nothing. Null ends are ignored.
+    The least nodes themselves and nodes without another node are left out, so the caller
+    takes the node itself where a join finds nothing. Loops and repeated edges do no harm;
+    null ends are ignored.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None

@@ -30,7 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, lower, mixed, own_name, prefix_sums, slices, span_hashes, spans_of_words, strings, window_hashes
+from .arrow import small_batches
+from .common import cut, lower, mixed, own_name, prefix_sums, release, slices, span_hashes, spans_of_words, strings, window_hashes
 from .components import connected_components
 
 #: Buckets of the count table that orders shingles; sent to all executors.
@@ -201,7 +202,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return of.join(left, "a").join(right, "b")
 
     close = cut(both(pairs, "sketch").mapInArrow(near, "a long, b long"))
-    return both(close, "shingles").mapInArrow(same, "a long, b long")
+    linked = cut(both(close, "shingles").mapInArrow(same, "a long, b long"))
+    release(close)
+    return linked
 
 
 def _may_link(percent: int, a: str, b: str) -> str:
@@ -245,6 +248,7 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows with key, mark, n and id of the set; sets with id, key, mark and their component c)."""
+    small_batches(docs)
     counts = docs.sparkSession.sparkContext.broadcast(_count_table(docs, "text", size))
     rows = cut(_profiles(docs, size, percent, counts))
     # Distinct sets, each with the row that stands for it; copies of a set need no comparison.
@@ -263,8 +267,9 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     listed = postings.join(long_lists, "token", "left_semi")
     orders = [[F.xxhash64("id", F.lit(k)), "id"] for k in range(ROUNDS)]
     pairs = reduce(DataFrame.unionByName, [_neighbours(listed, o, percent) for o in orders]).distinct()
-    links = cut(_linked(pairs, bodies, percent))
-    rest = cut(_linked(_across(postings, cut(connected_components(links)), percent), bodies, percent))
+    links = _linked(pairs, bodies, percent)
+    rest = _linked(_across(postings, cut(connected_components(links)), percent), bodies, percent)
+    release(postings, bodies)
     of = connected_components(links.unionByName(rest)).withColumnRenamed("component", "c")
     classes = cut(sets.select("id", "key", "mark").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
     return rows, classes

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .arrow import parts
+from .arrow import parts, small_batches
 from .common import own_name
 
 KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
@@ -283,6 +283,7 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text", spans: str = "pi
     code points of the original text, empty where there is nothing; it is null for a
     null text. A column of the input with that name is kept: the new one gets a number.
     """
+    small_batches(docs)
     spans = own_name(docs, spans)
     kind = T._parse_datatype_string("array<struct<start:int,end:int,kind:string>>")
     schema = T.StructType([*docs.schema.fields, T.StructField(spans, kind)])

@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import with_columns
+from .arrow import small_batches, with_columns
 from .common import SLICE_BYTES, cut, flat, prefix_sums, slices, span_hashes, strings
 
 #: Distinct spans of one anchor beyond which they are compared by hashes.
@@ -253,6 +253,7 @@ def _starts(blocks: DataFrame, length: int) -> DataFrame:
 
 def repeated_ranges(docs: DataFrame, key: str, text: str, length: int = 400, keep: str = "none") -> tuple[DataFrame, DataFrame]:
     """(docs with columns key, mark and text, ranges (key, mark, lo, n) of repeated starts)."""
+    small_batches(docs)
     keep_first = keep == "first"
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(text).alias("text"))
     spans = cut(_spans(docs, length))
