@@ -228,7 +228,9 @@ def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
 
     With c shared prefix shingles, the last of them at positions i and j, two sets share
     c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
-    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1).
+    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Two sets of one group meet on the
+    group's token (position -1); they share their whole prefix, of which only what other
+    groups hold too is listed here, so the count bounds nothing for them.
     """
     p = postings.join(of.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
     split = p.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
@@ -237,8 +239,8 @@ def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
     most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
     enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
     met = a.join(b, [a.token == b.token, F.expr("id_a < id_b and c_a <> c_b"), F.expr(_may_link(percent, "_a", "_b")), F.expr(enough.format(most))])
-    pairs = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-    pairs = pairs.where(F.expr("pos_a < 0 or " + enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")))
+    pairs = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.min("pos_a").alias("first"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    pairs = pairs.where(F.expr("first < 0 or " + enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")))
     return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
 
 

@@ -86,6 +86,17 @@ def test_jaccard_classes(spark, monkeypatch):
     assert ngram_join.jaccard_components(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+def test_sets_of_one_group_that_meet_another_group_on_a_late_token(spark):
+    """A and B have one prefix, whose last shingle the document "q" holds too; 95 of their 100 shingles are the same."""
+    rare, often = [f"p{k}" for k in range(25)], [f"c{k}" for k in range(69)]
+    a, b = ([f"{x}{k}" for k in range(5)] for x in "ab")
+    rows = [(1, rare + ["q"] + often + a), (2, rare + ["q"] + often + b), (3, ["q"])]
+    rows += [(10 + k, often + a + b + [f"f{k}_{j}" for j in range(200)]) for k in range(4)]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], TEXTS)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(docs, size=1).collect()}
+    assert got == {1: 1, 2: 1, 3: 3, 10: 10, 11: 11, 12: 12, 13: 13}
+
+
 def test_deduplicate_keeps_one_of_each(spark):
     rows = [(3, "a b c d e f"), (1, "A b c d e f"), (1, "A b c d e f"), (None, "a b c d e f"), (4, None), (4, None), (5, " "), (6, "else")]
     got = ngram_join.deduplicate(spark.createDataFrame([(*r, "x") for r in rows], TEXTS + ", mark string")).collect()
