@@ -1,7 +1,7 @@
 """Format-preserving pseudonyms for personal data.
 
 Numbers and dates that pass their validation (Luhn, IBAN check digits, real calendar
-days, octets up to 255, assignable social security numbers, dialling plans) are permuted
+days, octets up to 255, assignable social security numbers, lengths of telephone numbers) are permuted
 within their own format by a keyed Feistel network: a card stays a valid card of the same
 network and length, a date a real date in the same notation. Letters and digits of mail
 addresses are permuted class by class. The permutation depends on the key, the kind and
@@ -41,12 +41,12 @@ _FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9]))"
     r"|(?P<iban>\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)"
     r"|(?P<date>(?<![\w.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}|[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}"
-    rf"|(?:{_MONTH}) [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} (?:{_MONTH}) [0-9]{{4}})(?![\w-]|\.[0-9]))"
+    rf"|(?:{_MONTH}) [0-9]{{1,2}}, [0-9]{{4}}|[0-9]{{1,2}} (?:{_MONTH}) [0-9]{{4}})(?:(?![\w-]|\.[0-9])|(?=T[0-9]{{2}})))"
     r"|(?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9]))"
     r"|(?P<card>(?<![\w.-])[2-6][0-9](?:[ -]?[0-9]){11,17}(?![\w]|[.-][0-9]))"
     r"|(?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))"
     r"|(?P<phone>(?<![\w.+-])\+[1-9][0-9]{0,2}(?:[ .-]?\(?[0-9]{1,5}\)?){2,6}(?!\w)"
-    r"|(?<![\w.+-])\(?[2-9][0-9]{2}\)?[ .-][2-9][0-9]{2}[ .-][0-9]{4}(?![\w-]|\.[0-9]))"
+    r"|(?<![\w.+-])(?:1[ .-]?)?\(?[0-9]{3}(?:\)[ .-]?|[ .-])[0-9]{3}[ .-][0-9]{4}(?![\w-]|\.[0-9]))"
 )
 #: A text without a digit or an at sign holds nothing to find.
 _MAYBE = re.compile(r"[0-9@]")
@@ -180,8 +180,8 @@ def _phone(value: str, move: Mapping) -> str | None:
     if not 8 + 2 * (not plus) <= len(digits) <= 15:
         return None
     if digits[0] == "1" and plus or not plus:  # ten digits, area code and exchange from 200
-        code, own = ("1", digits[1:]) if plus else ("", digits)
-        if len(own) != 10 or own[0] in "01" or own[3] in "01":
+        code, own = digits[:-10], digits[-10:]
+        if code not in ("1", "1" * plus) or own[0] in "01" or own[3] in "01":
             return None
         index = (int(own[:3]) - 200) * 8_000_000 + (int(own[3:6]) - 200) * 10_000 + int(own[6:])
         area, rest = divmod(move(index, 800 * 8_000_000, "phone1"), 8_000_000)
@@ -195,6 +195,22 @@ def _phone(value: str, move: Mapping) -> str | None:
     return _put(value, code + f"{move(int(own), 10 ** len(own), 'phone' + code):0{len(own)}d}")
 
 
+def _unassigned(value: str, move: Mapping) -> str | None:
+    """Telephone numbers of the ten-digit plan with an area code or exchange below 200, among themselves."""
+    digits = re.sub(r"[^0-9]", "", value)
+    plus = value[0] == "+"
+    code, own = digits[:-10], digits[-10:]
+    if len(own) != 10 or code not in ("1", "1" * plus) or own[0] not in "01" and own[3] not in "01":
+        return None
+    low = 200 * 10**7  # area codes below 200; after them, exchanges below 200 of the other areas
+    index = int(own) if own[0] in "01" else low + (int(own[:3]) - 200) * 2_000_000 + int(own[3:])
+    y = move(index, low + 800 * 2_000_000, "phone0")
+    if y < low:
+        return _put(value, f"{code}{y:010d}")
+    area, rest = divmod(y - low, 2_000_000)
+    return _put(value, f"{code}{area + 200}{rest:07d}")
+
+
 def _ip(value: str, move: Mapping) -> str | None:
     octets = value.split(".")
     if any(int(o) > 255 or (len(o) > 1 and o[0] == "0") for o in octets):
@@ -230,7 +246,7 @@ def _date(value: str, move: Mapping) -> str | None:
     return None
 
 
-_MAKE: dict[str, Callable[[str, Mapping], str | None]] = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "ip": _ip, "date": _date}
+_MAKE: dict[str, Callable[[str, Mapping], str | None]] = {"email": _email, "iban": _iban, "card": _card, "ssn": _ssn, "phone": _phone, "unassigned": _unassigned, "ip": _ip, "date": _date}
 
 
 class Pseudonyms:
@@ -254,6 +270,8 @@ class Pseudonyms:
         at = 0
         while m := _FIND.search(text, at):
             made = self.of(m.lastgroup, m[0])
+            if made is None and m.lastgroup == "phone":  # by format alone
+                made = self.of("unassigned", m[0])
             if made is None:  # what starts with a failed match may hold another kind
                 at = m.start() + 1
                 while at < m.end() and text[at - 1].isalnum() and text[at].isalnum():

@@ -52,6 +52,19 @@ def test_pseudonyms_keep_their_format():
     assert made.endswith("; version 4.0. of 3.5") and "jo.d3" not in made
 
 
+def test_telephone_numbers_are_found_by_format():
+    names = pii.Pseudonyms("key")
+    values = ["+1 (017) 555-7713", "+1 415 055 2671", "(017) 555-7713", "1-800-555-1234", "(800)555-1234", "1 (800) 155-1234"]
+    for v in values:
+        made, spans = names.replace(f"call {v}, or not")
+        assert [(s["start"], s["end"], s["kind"]) for s in spans] == [(5, 5 + len(v), "phone")]
+        assert v not in made and re.sub("[0-9]", "0", made) == re.sub("[0-9]", "0", f"call {v}, or not")
+    assert re.sub("[^0-9]", "", names.replace("+1 (017) 555-7713")[0]) == "1" + re.sub("[^0-9]", "", names.replace("017-555-7713")[0])
+    made, spans = names.replace("at 2024-01-05T10:00")
+    assert [(s["start"], s["end"], s["kind"]) for s in spans] == [(3, 13, "date")] and made.endswith("T10:00") and "2024-01-05" not in made
+    assert names.replace("+1 415 555 26 and 2024-01-05Tx") == ("+1 415 555 26 and 2024-01-05Tx", [])
+
+
 def test_pseudonymise_nulls_and_clashing_names(spark):
     rows = _docs(spark, [(1, None, "k"), (None, "", None), (2, "ip 10.0.0.7", "k"), (3, "ip 10.0.0.7", "k")], "text string, pii_spans string")
     got = pii.pseudonymise(rows, "key").orderBy("doc_id").collect()
