@@ -17,7 +17,7 @@ import datetime
 import hashlib
 import hmac
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +52,15 @@ _FIND = re.compile(
 _MAYBE = re.compile(r"[0-9@]")
 
 
+#: Countries by the characters of their IBANs; those of other countries may have any length.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD FK", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_IBAN_LENGTH = {country: n for n, some in IBAN_LENGTHS.items() for country in some.split()}
+
+
 class Permutation:
     """Keyed permutations of ranges of integers: an unbalanced Feistel network with cycle walking."""
 
@@ -265,20 +274,25 @@ class Pseudonyms:
             self.known[at] = _MAKE[kind](value, self.move)
         return self.known[at]
 
+    def _valid(self, kind: str, value: str) -> str | None:
+        made = self.of(kind, value)
+        return self.of("unassigned", value) if made is None and kind == "phone" else made  # by format alone
+
     def spans(self, text: str) -> Iterator[tuple[int, int, str, str]]:
         """(start, end, kind, pseudonym) of all findings, leftmost first."""
         at = 0
         while m := _FIND.search(text, at):
-            made = self.of(m.lastgroup, m[0])
-            if made is None and m.lastgroup == "phone":  # by format alone
-                made = self.of("unassigned", m[0])
+            kind, value = m.lastgroup, m[0]
+            made = self._valid(kind, value)
+            if made is None:
+                value, made = next(((v, x) for v in _shorter(kind, value) if (x := self._valid(kind, v)) is not None), (value, None))
             if made is None:  # what starts with a failed match may hold another kind
                 at = m.start() + 1
                 while at < m.end() and text[at - 1].isalnum() and text[at].isalnum():
                     at += 1
                 continue
-            yield m.start(), m.end(), m.lastgroup, made
-            at = m.end()
+            at = m.start() + len(value)
+            yield m.start(), at, kind, made
 
     def replace(self, text: str) -> tuple[str, list[dict]]:
         if not _MAYBE.search(text):
@@ -291,6 +305,33 @@ class Pseudonyms:
         return ("".join(out) + text[at:] if found else text), found
 
 
+def _card_lengths(digits: str) -> Sequence[int]:
+    """The lengths that the card networks of a number's first digits use."""
+    two, four = int(digits[:2]), int(digits[:4])
+    if digits[0] == "4":
+        return 13, 16, 19
+    if two in (34, 37):
+        return (15,)
+    if two in (30, 36, 38, 39):
+        return range(14, 20)
+    if 51 <= two <= 55 or 2221 <= four <= 2720:
+        return (16,)
+    if 3528 <= four <= 3589 or two == 62:
+        return range(16, 20)
+    return range(13, 20)
+
+
+def _shorter(kind: str, value: str) -> Iterator[str]:
+    """What starts a failed match and may be valid itself: up to a break between groups, the longest first."""
+    if kind not in ("card", "iban", "phone"):
+        return
+    for k in range(len(value) - 1, 0, -1):
+        if value[k] in " .-(" and value[k - 1] not in " .-(":
+            flat = re.sub(r"[^0-9A-Z]", "", value[:k])
+            if kind == "phone" or kind == "card" and len(flat) in _card_lengths(flat) or kind == "iban" and len(flat) == _IBAN_LENGTH.get(flat[:2], len(flat)):
+                yield value[:k]
+
+
 _workers: dict[str, Pseudonyms] = {}
 
 

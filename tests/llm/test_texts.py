@@ -65,6 +65,16 @@ def test_telephone_numbers_are_found_by_format():
     assert names.replace("+1 415 555 26 and 2024-01-05Tx") == ("+1 415 555 26 and 2024-01-05Tx", [])
 
 
+def test_numbers_that_other_groups_follow():
+    names = pii.Pseudonyms("key")
+    cards = ["4111 1111 1111 1111", "4111111111111111", "4111-1111-1111-1111", "3782 822463 10005"]
+    for v, more in [(v, m) for v in cards for m in (" 12/27", " 123", " 1")] + [("BE68539007547034", " EUR"), ("BE68 5390 0754 7034", " ABCD 1234"), ("+1 (415) 555-2671", " 12"), ("+1 (017) 555-7713", " 2024")]:
+        made, spans = names.replace(f"no. {v}{more}")
+        assert [(s["start"], s["end"]) for s in spans] == [(4, 4 + len(v))], v + more
+        assert v not in made and made.endswith(more)
+    assert names.replace("4111 1111 1111 1112 123") == ("4111 1111 1111 1112 123", [])
+
+
 def test_pseudonymise_nulls_and_clashing_names(spark):
     rows = _docs(spark, [(1, None, "k"), (None, "", None), (2, "ip 10.0.0.7", "k"), (3, "ip 10.0.0.7", "k")], "text string, pii_spans string")
     got = pii.pseudonymise(rows, "key").orderBy("doc_id").collect()
