@@ -1,10 +1,12 @@
 """Mixing sources to target weights by a low-discrepancy schedule.
 
 The documents of a source, in an order shuffled by a keyed hash, are a stream of words
-that may be read twice. It is cut into blocks of equally many words. Slot k of the mix
-takes the golden-ratio point frac(k * phi), maps it through the cumulative targets of the
-sources, and gets the next unread block of the source it falls on: any stretch of the mix
-holds the sources close to their shares. A slot's rank within its source is the number of
+that may be read twice. Slot k of the mix takes the golden-ratio point frac(k * phi), maps
+it through the cumulative targets of the sources, and gets the next unread block of the
+source it falls on: any stretch of the mix holds the sources close to their shares. The
+target of a source, in whole words, is cut into as many blocks as it has slots, of equally
+many words but one; a source that no point falls on is one block, beside that of another
+source. So all of every target is taken at every size. A slot's rank within its source is the number of
 its block; both ranks and stream positions come from sums over ranges that are dealt to
 many tasks, so a source with most of the rows is no task's business.
 
@@ -78,8 +80,8 @@ def _weighed(sized: DataFrame) -> list[dict]:
     return [{"sid": k, "source": r.source, "source_size": r.size, "target": t} for k, (r, t) in enumerate(zip(rows, wanted, strict=True))]
 
 
-def _slots(spark, sources: list[dict], block: int) -> DataFrame:
-    """(slot, sid, block): the schedule. A source's blocks are numbered in slot order."""
+def _slots(spark, sources: list[dict], block: int) -> tuple[DataFrame, list[int]]:
+    """((slot, sid, block): the schedule; how many slots each source has). A source's blocks are numbered in slot order."""
     ends = np.cumsum([s["target"] for s in sources])
     n = int(ends[-1] // block) + 1 if len(ends) and ends[-1] > 0 else 0
     ends = ends / ends[-1] if n else ends
@@ -92,10 +94,19 @@ def _slots(spark, sources: list[dict], block: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sid.astype(np.int64)), pa.array(slot // RANGE)], names=["slot", "sid", "part"])
 
     placed = cut(spark.range(n).mapInArrow(place, "slot long, sid long, part long"))
+    counts = [0] * len(sources)
+    for r in placed.groupBy("sid").count().collect():
+        counts[r.sid] = r["count"]
+    missed = [k for k, s in enumerate(sources) if s["target"] > 0 and not counts[k]]
+    if missed:  # their places are spread by the golden ratio, too
+        at = [((j + 1) * _PHI % 2**64) * n >> 64 for j in range(len(missed))]
+        placed = placed.unionByName(spark.createDataFrame([(a, k, a // RANGE) for a, k in zip(at, missed, strict=True)], "slot long, sid long, part long"))
+        for k in missed:
+            counts[k] = 1
     before = Window.partitionBy("sid").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = placed.groupBy("sid", "part").count().select("sid", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
     rank = F.row_number().over(Window.partitionBy("sid", "part").orderBy("slot")) - 1
-    return placed.withColumn("rank", rank).join(base, ["sid", "part"]).select("slot", "sid", (F.col("base") + F.col("rank")).alias("block"))
+    return placed.withColumn("rank", rank).join(base, ["sid", "part"]).select("slot", "sid", (F.col("base") + F.col("rank")).alias("block")), counts
 
 
 def _streams(sized: DataFrame, order: list, rows: int) -> DataFrame:
@@ -114,23 +125,33 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
     documents: a row for each row of ``docs`` with ``key``, ``source``, ``size``,
     ``source_size``, ``target``, ``sid`` and ``start`` (its place in the stream).
     schedule: (slot, sid, start, epoch, first, words, key): slot by slot the words of
-    documents that the mix takes, ``first`` being the number of the first word.
+    documents that the mix takes, ``first`` being the number of the first word. A slot may
+    hold blocks of several sources.
     """
     spark = docs.sparkSession
     sized = cut(word_counts(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.col(source).alias("source")), "text", "size").drop("text"))
     sources = _weighed(sized)
-    schema = "sid long, source string, source_size long, target double"
+    total = sum(s["target"] for s in sources)
+    slots, counts = _slots(spark, sources, int(min(MOST_WORDS, max(1, total // SLOTS))))
+    for s, n in zip(sources, counts, strict=True):  # the first ``longer`` blocks have a word more than ``block_words``
+        s["wanted"] = max(1, round(s["target"])) if s["target"] > 0 else 0
+        s["block_words"], s["longer"] = divmod(s["wanted"], max(1, min(n, s["wanted"])))
+    schema = "sid long, source string, source_size long, target double, wanted long, block_words long, longer long"
     named = spark.createDataFrame([tuple(s.values()) for s in sources], schema)
     named = F.broadcast(named) if len(sources) <= 10_000 else named
-    total = sum(s["target"] for s in sources)
-    block = int(min(MOST_WORDS, max(1, total // SLOTS)))
-    known = sized.join(named, sized.source.eqNullSafe(named.source)).select("key", sized.source, "size", "source_size", "target", "sid")
-    rows = cut(_streams(known, ["key"], sized.count()))
-    epochs = rows.where("size > 0").select("sid", "key", "start", "size", F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.struct(e.alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")))).alias("e")).select("sid", "key", "start", "size", "e.*")
-    blocks = epochs.withColumn("block", F.explode(F.sequence(F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}"))))
-    low, high = F.greatest("at", F.col("block") * block), F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * block)
+    cuts = ["wanted", "block_words", "longer"]
+    known = sized.join(named, sized.source.eqNullSafe(named.source)).select("key", sized.source, "size", "source_size", "target", "sid", *cuts)
+    placed = cut(_streams(known, ["key"], sized.count()))
+    rows = placed.drop(*cuts)
+    epochs = placed.where("size > 0").select("sid", "key", "start", "size", *cuts, F.explode(F.transform(F.sequence(F.lit(0), F.lit(EPOCHS - 1)), lambda e: F.struct(e.alias("epoch"), (F.col("start") + e * F.col("source_size")).alias("at")))).alias("e")).select("sid", "key", "start", "size", *cuts, "e.*")
+    epochs = epochs.where("at < wanted").withColumn("end", F.least(F.col("at") + F.col("size"), "wanted"))
+    edge = "longer * (block_words + 1)"
+    of = f"if({{0}} < {edge}, {{0}} div (block_words + 1), longer + ({{0}} - {edge}) div block_words)"
+    blocks = epochs.withColumn("block", F.explode(F.sequence(F.expr(of.format("at")), F.expr(of.format("(end - 1)")))))
+    begin = F.col("block") * F.col("block_words") + F.least("block", "longer")
+    low, high = F.greatest("at", begin), F.least("end", begin + F.col("block_words") + (F.col("block") < F.col("longer")).cast("long"))
     pieces = blocks.select("sid", "block", "key", "start", "epoch", (low - F.col("at")).alias("first"), (high - low).alias("words"))
-    schedule = pieces.join(_slots(spark, sources, block), ["sid", "block"]).select("slot", "sid", "start", "epoch", "first", "words", "key")
+    schedule = pieces.join(slots, ["sid", "block"]).select("slot", "sid", "start", "epoch", "first", "words", "key")
     return rows, schedule
 
 

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lodeseek.llm import components, context_mixing, mixing, near_vectors, ngram_join, suffix_dedup
@@ -206,6 +207,14 @@ def test_mix_reaches_its_targets(spark):
     assert again.taken.tolist() == got.sort_values("doc_id").taken.tolist()
 
 
+def test_small_sources_reach_their_targets_in_large_blocks(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "SLOTS", 16)
+    sizes = {"hot": 200, **{f"s{k}": k for k in range(1, 6)}}
+    rows = [(k, "w " * 7, name) for name, n in sizes.items() for k in range(n)]
+    got = mixing.digests(spark.createDataFrame(rows, TEXTS + ", source string")).groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 6 and all(r.taken == round(r.target) for r in got)
+
+
 def test_mix_of_odd_rows(spark):
     rows = [(1, "a b", "x"), (1, "a b", "x"), (2, None, "x"), (None, "c d e", None), (3, "", "y")]
     docs = spark.createDataFrame([(*r, "z") for r in rows], TEXTS + ", source string, size string")
