@@ -1,13 +1,14 @@
 """Search: exact cosine top-k for batches of queries, fusion, gates, thresholds, projections.
 
-Queries (qid, variant, embedding) are a batch of checked size that goes to every task;
-points (id, embedding) are scored where they are read, and each batch of them sends on
-the best k of every query only.
+Queries (qid, variant, embedding) go to every task in blocks of bounded size, one pass over
+the points for each block; points (id, embedding) are scored where they are read, and each
+batch of them sends on the best k of every query only.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +18,8 @@ from pyspark.sql import functions as F
 from lodeseek.config import DEFAULTS
 from lodeseek.functions.text import forward_slashes
 
-#: Queries of one call; a larger batch has to be split by the caller.
-MAX_QUERIES = 20_000
+#: Queries of one block, and of them those that a batch of points is scored for at once.
+MAX_QUERIES, STEP = 20_000, 1_000
 
 
 def clamp(top_k: int, most: int = DEFAULTS.top_k_most) -> int:
@@ -31,37 +32,57 @@ def _unit(vectors: pa.Array, dims: int) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
+def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
+    """Tables of at most ``MAX_QUERIES`` queries, which hold all of them; only one is read at a time."""
+    asked = queries.select("qid", "variant", "embedding")
+    some = asked.limit(MAX_QUERIES + 1).toArrow()
+    if some.num_rows <= MAX_QUERIES:
+        parts = 1
+    else:
+        parts = -(-asked.count() // MAX_QUERIES) + 1
+    for part in range(parts):
+        if parts > 1:
+            some = asked.where(F.pmod(F.xxhash64("qid", "variant"), F.lit(parts)) == part).toArrow()
+        for at in range(0, some.num_rows, MAX_QUERIES):
+            yield some.slice(at, MAX_QUERIES)
+
+
 def top_k(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, variant, id, score, rank): the best ``k`` points of every query, ties by id.
 
     Scores are rounded to nine places, so that they don't depend on how rows are batched.
     """
-    batch = queries.select("qid", "variant", "embedding").limit(MAX_QUERIES + 1).toArrow()
-    if batch.num_rows > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries in a batch: split it")
     kind = points.schema["id"].dataType.simpleString()
     schema = f"qid long, variant int, id {kind}, score double"
-    if not batch.num_rows:
+    scored = points.where("embedding is not null").select("id", "embedding")
+
+    def found(batch: pa.Table) -> DataFrame:
+        vectors = batch.column("embedding").combine_chunks()
+        dims = len(vectors[0])
+        asked = points.sparkSession.sparkContext.broadcast((batch.column("qid").to_numpy(), batch.column("variant").to_numpy(), _unit(vectors, dims)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, variants, every = asked.value
+            for some in batches:
+                unit = _unit(some.column("embedding"), dims)
+                for at in range(0, len(qids), STEP):
+                    qid, variant, q = (x[at : at + STEP] for x in (qids, variants, every))
+                    score = np.round(unit @ q.T, 9)
+                    n = len(score)
+                    if n > k:  # all points as good as the k-th, so that ties are decided later
+                        least = np.partition(score, n - k, 0)[n - k]
+                        row, col = np.nonzero(score >= least)
+                    else:
+                        row, col = np.divmod(np.arange(score.size), len(qid))
+                    yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(variant[col].astype(np.int32)), some.column("id").take(pa.array(row)), pa.array(score[row, col])], names=["qid", "variant", "id", "score"])
+
+        return scored.mapInArrow(run, schema)
+
+    passes = [found(batch) for batch in _blocks(queries)]
+    if not passes:
         return points.sparkSession.createDataFrame([], schema + ", rank int")
-    vectors = batch.column("embedding").combine_chunks()
-    dims = len(vectors[0])
-    asked = points.sparkSession.sparkContext.broadcast((batch.column("qid").to_numpy(), batch.column("variant").to_numpy(), _unit(vectors, dims)))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, variant, q = asked.value
-        for some in batches:
-            score = np.round(_unit(some.column("embedding"), dims) @ q.T, 9)
-            n = len(score)
-            if n > k:  # all points as good as the k-th, so that ties are decided later
-                least = np.partition(score, n - k, 0)[n - k]
-                row, col = np.nonzero(score >= least)
-            else:
-                row, col = np.divmod(np.arange(score.size), len(qid))
-            yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(variant[col].astype(np.int32)), some.column("id").take(pa.array(row)), pa.array(score[row, col])], names=["qid", "variant", "id", "score"])
-
-    found = points.where("embedding is not null").select("id", "embedding").mapInArrow(run, schema)
     rank = F.row_number().over(Window.partitionBy("qid", "variant").orderBy(F.desc("score"), "id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, passes).withColumn("rank", rank).where(F.col("rank") <= k)
 
 
 def fuse(ranked: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:

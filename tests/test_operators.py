@@ -146,3 +146,12 @@ def test_stream_into_store(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(source))
     ingest(stream, table, index, str(tmp_path / "cp")).awaitTermination(60)
     assert [(r.heading, r.text) for r in table.read().collect()] == [("H", "text")]
+
+
+def test_more_queries_than_a_block_holds(spark, monkeypatch):
+    points = spark.createDataFrame([(k, [float(k % 7), float(k % 5), 1.0]) for k in range(60)], "id long, embedding array<float>")
+    asked = spark.createDataFrame([(k // 2, k % 2, [1.0, float(k % 3), float(k)]) for k in range(23)] + [(0, 0, [1.0, 0.0, 0.0])], "qid long, variant int, embedding array<float>")
+    want = sorted(map(str, search.top_k(points, asked, 4).collect()))
+    monkeypatch.setattr(search, "MAX_QUERIES", 3)
+    monkeypatch.setattr(search, "STEP", 2, raising=False)
+    assert sorted(map(str, search.top_k(points, asked, 4).collect())) == want and len(want) == 23 * 4
