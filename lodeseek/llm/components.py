@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -38,7 +38,8 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
     for _ in range(rounds):
-        now = cut(_star(_star(now, True), False))
+        before, now = now, cut(_star(_star(now, True), False))
+        release(before)
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if mark == seen:
             break

@@ -1,19 +1,24 @@
 """Exact self-join of documents by the Jaccard similarity of their word shingles.
 
-Grouped prefix join. Shingles are ordered by how often their bucket occurs in the corpus
-(a count table of fixed size), rare ones first. Two sets of similarity t or more share a
-shingle among the first ``n - ceil(t n) + 1`` of either. Documents with the same size
-and the same prefix form one group; only groups are indexed, once each, and only prefix
-shingles with two groups or more go on. Their groups are then expanded to the distinct
-sets in them, and pairs of sets are verified exactly.
-
-A posting list of m sets is not expanded to its m (m - 1) / 2 pairs. A few rounds verify
-neighbours in differently shuffled orders of the list, whose links give provisional
-components; then every pair that the prefix, size and position filters leave and that
-lies across two components is verified. Pairs inside a component cannot change it, so
-the components are those of all links. Pairs are first held against parity sketches of
-256 bits, in the join, and of 2,048 bits, whose Hamming distances bound the symmetric
-difference from below.
+Grouped prefix join. Shingles are ordered by how many documents hold them, rare ones
+first. Two sets of similarity t or more share a shingle among the first
+``n - ceil(t n) + 1`` of either. Documents with the same size and the same prefix form
+one group, which has one posting for each of its prefix shingles; pairs of groups are
+filtered by size, position and the number of shared postings, and only then expanded to
+the distinct sets in them, which are verified exactly.
+
+The counts are those of all documents, and no table of them is broadcast: documents are
+dealt to slices, a slice sends its distinct shingles to ranges of hash values, a range
+adds them up and answers each slice with the counts in the order of its question. The
+texts are shuffled once, for both the question and the use of the answer. A shingle that
+only one document holds can't be shared and gets no posting.
+
+A posting list of m groups is not expanded to its m (m - 1) / 2 pairs. A few rounds verify
+neighbours in differently shuffled orders of the list, and of the sets of a group; their
+links give provisional components, and only pairs that lie across two components go on.
+Pairs inside a component cannot change it, so the components are those of all links.
+Pairs of sets are first held against parity sketches of 2,048 bits, whose Hamming
+distance bounds the symmetric difference from below.
 
 Words are runs of non-space bytes after lower-casing A-Z. A document of fewer words than
 the shingle size has its whole word sequence as its only shingle; one without words, or
@@ -34,18 +39,16 @@ from .arrow import small_batches
 from .common import cut, lower, mixed, own_name, prefix_sums, release, slices, span_hashes, spans_of_words, strings, window_hashes
 from .components import connected_components
 
-#: Buckets of the count table that orders shingles; sent to all executors.
-COUNT_BITS = 20
-#: Buckets of the table in one row while it is summed.
-COUNT_CHUNK = 1 << 14
+#: Text bytes of a slice, and shingles of a range, on average.
+SLICE, RANGE = 4 << 20, 1 << 20
+#: Text bytes for each shingle, about; only the number of ranges depends on it.
+PER_SHINGLE = 6
 #: 64-bit words of a parity sketch.
 SKETCH = 32
 #: Shuffled orders whose neighbours are verified before the rest.
 ROUNDS = 3
-#: Posting lists of more sets go through the rounds first.
-LONG = 8
-#: Columns of the small parity sketch.
-SMALL = ("s0", "s1", "s2", "s3")
+#: Posting lists of more groups go through the rounds first; so many of a list are put in order at once.
+LONG, CHUNK = 8, 4096
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -69,9 +72,8 @@ def _needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _order_keys(found: np.ndarray, counts: np.ndarray, percent: int) -> np.ndarray:
-    """The prefix of a set, as keys that sort by bucket count and then by hash."""
-    often = counts[(found >> np.uint64(64 - COUNT_BITS)).astype(np.int64)]
+def prefix(found: np.ndarray, often: np.ndarray, percent: int) -> np.ndarray:
+    """The prefix of a set, as keys that sort by (scaled) count and then by hash."""
     keys = np.sort((often.astype(np.uint64) << np.uint64(55)) | (found >> np.uint64(9)))
     return keys[: len(keys) - _needed(len(keys), percent) + 1]
 
@@ -82,100 +84,104 @@ def _digest(values: np.ndarray, salt: int) -> int:
     return int(mixed(np.array([int(h.sum(dtype=np.uint64)) ^ len(values)], np.uint64))[0] >> np.uint64(1))
 
 
-def _count_table(docs: DataFrame, text: str, size: int) -> np.ndarray:
-    """Log-scaled counts (0..255) of shingle buckets over all documents, 2**COUNT_BITS bytes."""
+def _scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts on a log scale in a byte: 0 for 1, 12 more each time they double."""
+    return np.minimum(255, np.round(12 * np.log2(counts))).astype(np.uint8)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << COUNT_BITS, np.int64)
-        for batch in batches:
-            for found in shingle_sets(batch.column(0), size):
-                np.add.at(total, (found >> np.uint64(64 - COUNT_BITS)).astype(np.int64), 1)
-        chunks = total.reshape(-1, COUNT_CHUNK)
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(chunks)), pa.int32()), pa.array([c.astype("<i8").tobytes() for c in chunks])], names=["chunk", "counts"])
 
-    def add(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNT_CHUNK, np.int64)
-        for part in parts:
-            for x in part.column("counts"):
-                total += np.frombuffer(x.as_buffer(), "<i8")
-        scaled = np.minimum(255, np.round(12 * np.log2(1 + total))).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([scaled.tobytes()])], names=["chunk", "scaled"])
+def _asked(found: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct leading ``32 + bits`` bits of the hashes, how often each); the first ``bits`` tell the range."""
+    return np.unique(found >> np.uint64(32 - bits), return_counts=True)
 
-    rows = docs.select(text).mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, scaled binary").collect()
-    out = np.zeros((1 << COUNT_BITS) // COUNT_CHUNK, f"V{COUNT_CHUNK}")
-    table = np.frombuffer(bytearray(out.tobytes()), np.uint8).reshape(-1, COUNT_CHUNK)
-    for r in rows:
-        table[r.chunk] = np.frombuffer(r.scaled, np.uint8)
-    return table.ravel()
 
+def _planes(x: np.ndarray) -> bytes:
+    """Byte planes of an array, which compress better than the values."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
 
-def _small_sketch(found: np.ndarray) -> np.ndarray:
-    """256 parities of a set as four 64-bit values; they differ at no more places than the sets do."""
-    bits = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
+def _values(data: pa.Buffer, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
-def _profiles(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """One row a document: key, mark, n (set size), grp (size and prefix), id (of the set), check, s0..s3."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, grp, a, b, sketch = [], [], [], [], []
-            for found in shingle_sets(batch.column(2), size):
-                n.append(len(found))
-                grp.append(_digest(_order_keys(found, counts.value, percent), len(found)) if len(found) else None)
-                a.append(_digest(found, 11))
-                b.append(_digest(found, 12))
-                sketch.append(_small_sketch(found))
-            four = np.array(sketch, np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *[pa.array(x, pa.int64()) for x in (n, grp, a, b)], *[pa.array(four[:, k].copy()) for k in range(4)]], names=["key", "mark", "n", "grp", "id", "check", *SMALL])
+def _sketch(found: np.ndarray) -> bytes:
+    bits = np.bincount((mixed(found) >> np.uint64(53)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(bits.astype(np.uint8)).tobytes()
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", "mark", "text").mapInArrow(run, f"key {kind}, mark long, n long, grp long, id long, check long, " + ", ".join(f"{c} long" for c in SMALL))
 
+def _counted(sliced: DataFrame, size: int, bits: int) -> DataFrame:
+    """(slice, part, scaled): for each range of a slice's distinct shingles, in order, in how many documents they are."""
 
-def _prefixes(docs: DataFrame, size: int, percent: int, counts) -> DataFrame:
-    """(token, grp, pos): the prefix shingles of each group, once a batch at least."""
+    def ask(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [s for b in batches for s in shingle_sets(b.column("text"), size)]
+        keys, times = _asked(np.concatenate(found), bits)
+        part = (keys >> np.uint64(32)).astype(np.int32)
+        first = np.flatnonzero(np.diff(part, prepend=-1))
+        spans = list(zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True)) if len(keys) else []
+        low = [_planes(keys[a:b].astype("<u4")) for a, b in spans]
+        each = [_planes(np.minimum(times[a:b], 65_535).astype("<u2")) for a, b in spans]
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()] * len(spans), pa.int64()), pa.array(part[first]), pa.array(low, pa.binary()), pa.array(each, pa.binary())], names=["slice", "part", "low", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, groups, places, seen = [], [], [], set()
-            for found in shingle_sets(batch.column(0), size):
-                if not len(found):
-                    continue
-                keys = _order_keys(found, counts.value, percent)
-                grp = _digest(keys, len(found))
-                if grp not in seen:
-                    seen.add(grp)
-                    tokens.append(keys.astype(np.int64))
-                    places.append(np.arange(len(keys), dtype=np.int32))
-                    groups.append(np.full(len(keys), grp, np.int64))
-            if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, groups, places)], names=["token", "grp", "pos"])
-
-    return docs.select("text").mapInArrow(run, "token long, grp long, pos int")
-
-
-def _sets(docs: DataFrame, size: int, wanted: DataFrame) -> DataFrame:
-    """(id, shingles, sketch) of the sets in ``wanted`` (id, key, mark), their hashes packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed, sketches = [], []
-            for found in shingle_sets(batch.column(1), size):
-                packed.append(found.astype("<u8").tobytes())
-                bits = np.bincount((mixed(found) >> np.uint64(53)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketches.append(np.packbits(bits.astype(np.uint8)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array(sketches, pa.binary())], names=["id", "shingles", "sketch"])
-
-    row = [F.coalesce("key", F.lit(0)).alias("at"), F.col("key").isNull().alias("unkeyed"), "mark"]
-    by = ["at", "unkeyed", "mark"]
-    some = docs.select(*row, "text").dropDuplicates(by).join(wanted.select(*row, "id"), by)
-    return some.select("id", "text").mapInArrow(run, "id long, shingles binary, sketch binary")
+    def answer(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = pa.Table.from_batches(list(batches))
+        low = [_values(x.as_buffer(), "<u4") for x in got.column("low")]
+        times = np.concatenate([_values(x.as_buffer(), "<u2") for x in got.column("times")])
+        _, of = np.unique(np.concatenate(low), return_inverse=True)
+        scaled = _scaled(np.bincount(of, times))[of]
+        ends = np.cumsum([len(x) for x in low]).tolist()
+        told = [scaled[a:b].tobytes() for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        yield pa.RecordBatch.from_arrays([*[got.column(c).combine_chunks() for c in ("slice", "part")], pa.array(told, pa.binary())], names=["slice", "part", "scaled"])
+
+    questions = sliced.groupBy("slice").applyInArrow(ask, "slice long, part int, low binary, times binary")
+    return questions.groupBy("part").applyInArrow(answer, "slice long, part int, scaled binary")
+
+
+def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """One row a document: key, mark, n (set size), id and check (of the set), grp (size and prefix), slice, and with postings:
+
+    tokens and places (prefix shingles of other documents, too; once for each group of a
+    slice), sketch and shingles (once for each set of a slice).
+    """
+    total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = min(31, max(0, (total // (PER_SHINGLE * RANGE)).bit_length()))
+    sliced = docs.withColumn("slice", F.pmod(F.xxhash64("key", "mark"), F.lit(total // SLICE + 1)))
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = {c: [] for c in ("n", "id", "check", "grp", "tokens", "places", "sketch", "shingles")}
+        sets = [s for b in left.select(["text"]).to_batches() for s in shingle_sets(b.column(0), size)]
+        keys, _ = _asked(np.concatenate(sets), bits) if sets else (None, None)
+        right = right.sort_by("part")
+        told = np.frombuffer(b"".join(right.column("scaled").to_pylist()), np.uint8)
+        if sets and len(told) != len(keys):
+            raise RuntimeError("a slice has changed between its question and the answer")
+        groups, seen = set(), set()
+        for found in sets:
+            row = dict.fromkeys(out) | {"n": len(found), "id": _digest(found, 11), "check": _digest(found, 12)}
+            if len(found):
+                often = told[np.searchsorted(keys, found >> np.uint64(32 - bits))]
+                first = prefix(found, often, percent)
+                row["grp"] = grp = _digest(first, len(found))
+                common = np.flatnonzero(first >> np.uint64(55))
+                if len(common) and grp not in groups:
+                    groups.add(grp)
+                    row |= {"tokens": first[common].astype(np.int64), "places": common.astype(np.int32)}
+                if len(common) and row["id"] not in seen:
+                    seen.add(row["id"])
+                    row |= {"sketch": _sketch(found), "shingles": found.astype("<u8").tobytes()}
+            for c, x in out.items():
+                x.append(row[c])
+        made = [pa.array(out[f.name], f.type) for f in schema]
+        return pa.table([left.column("key"), left.column("mark"), left.column("slice"), *made], names=["key", "mark", "slice", *schema.names])
+
+    long, int_ = pa.int64(), pa.int32()
+    schema = pa.schema([("n", long), ("id", long), ("check", long), ("grp", long), ("tokens", pa.list_(long)), ("places", pa.list_(int_)), ("sketch", pa.binary()), ("shingles", pa.binary())])
+    kind = docs.schema["key"].dataType.simpleString()
+    ddl = f"key {kind}, mark long, slice long, n long, id long, check long, grp long, tokens array<long>, places array<int>, sketch binary, shingles binary"
+    return sliced.groupBy("slice").cogroup(_counted(sliced, size, bits).groupBy("slice")).applyInArrow(run, ddl)
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b, na, nb) whose sets have a similarity of ``percent`` or more."""
+def _linked(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, na, nb) of sets that have a similarity of ``percent`` or more."""
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,8 +203,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("a", "b")], names=["a", "b"]).filter(pa.array(fit, pa.bool_()))
 
     def both(of: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("id").alias("a"), F.col(column).alias("sa"))
-        right = sets.select(F.col("id").alias("b"), F.col(column).alias("sb"))
+        left = bodies.select(F.col("id").alias("a"), F.col(column).alias("sa"))
+        right = bodies.select(F.col("id").alias("b"), F.col(column).alias("sb"))
         return of.join(left, "a").join(right, "b")
 
     close = cut(both(pairs, "sketch").mapInArrow(near, "a long, b long"))
@@ -207,41 +213,42 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return linked
 
 
-def _may_link(percent: int, a: str, b: str) -> str:
-    """What sizes and small sketches allow, as a condition on columns with suffixes ``a`` and ``b``."""
-    apart = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in SMALL)
-    return f"100 * least(n{a}, n{b}) >= {percent} * greatest(n{a}, n{b}) and {100 + percent} * ({apart}) <= {100 - percent} * (n{a} + n{b})"
+def _pairs(rows: DataFrame) -> DataFrame:
+    """Distinct (a, b, na, nb) with a < b, of rows (id, n, id_p, n_p)."""
+    low = F.col("id") < F.col("id_p")
+    return rows.select(F.least("id", "id_p").alias("a"), F.greatest("id", "id_p").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_p")).alias("na"), F.when(low, F.col("n_p")).otherwise(F.col("n")).alias("nb")).distinct()
 
 
-def _neighbours(postings: DataFrame, order: list, percent: int) -> DataFrame:
-    """Distinct pairs of sets that are next to each other in an order of each long posting list."""
-    w = Window.partitionBy("token").orderBy(*order)
-    fields = ["id", "n", *SMALL]
-    prior = postings.select(*fields, F.lag(F.struct(*fields)).over(w).alias("p")).where("p is not null and id <> p.id")
-    prior = prior.select(*fields, *[F.col(f"p.{c}").alias(f"{c}_p") for c in fields]).where(_may_link(percent, "", "_p"))
-    low = F.col("id") < F.col("id_p")
-    return prior.select(F.least("id", "id_p").alias("a"), F.greatest("id", "id_p").alias("b"), F.when(low, F.col("n")).otherwise(F.col("n_p")).alias("na"), F.when(low, F.col("n_p")).otherwise(F.col("n")).alias("nb")).distinct()
+def _sizes_fit(percent: int, a: str, b: str) -> str:
+    return f"100 * least({a}, {b}) >= {percent} * greatest({a}, {b})"
 
 
-def _across(postings: DataFrame, of: DataFrame, percent: int) -> DataFrame:
-    """Distinct pairs of sets of different components that the filters leave.
+def _neighbours(lists: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, n, id_p, n_p) of entries (list, length, id, n) that are next to each other in shuffled order ``k`` of a list."""
+    mixed_up = F.xxhash64("id", F.lit(k))
+    chunk = F.pmod(F.xxhash64("id", F.lit(-1 - k)), F.ceil(F.col("length") / CHUNK).cast("long"))
+    w = Window.partitionBy("list", "chunk").orderBy("mixed_up", "id")
+    prior = lists.withColumn("chunk", chunk).withColumn("mixed_up", mixed_up).select("id", "n", F.lag(F.struct("id", "n")).over(w).alias("p"))
+    return prior.where("p is not null and id <> p.id").select("id", "n", F.col("p.id").alias("id_p"), F.col("p.n").alias("n_p")).where(_sizes_fit(percent, "n", "n_p"))
+
+
+def _group_pairs(postings: DataFrame, of_group: DataFrame, percent: int) -> DataFrame:
+    """(grp_a, grp_b) of groups that the filters leave and whose sets are not all in one component.
 
     With c shared prefix shingles, the last of them at positions i and j, two sets share
     c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
-    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Two sets of one group meet on the
-    group's token (position -1); they share their whole prefix, of which only what other
-    groups hold too is listed here, so the count bounds nothing for them.
+    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1).
     """
-    p = postings.join(of.withColumnRenamed("component", "c"), "id", "left").withColumn("c", F.coalesce("c", "id"))
-    split = p.groupBy("token").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("token")
+    p = postings.join(of_group, "grp")
+    split = p.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
     p = p.join(split, "token", "left_semi")
-    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("id", "n", "pos", "c", *SMALL)]) for side in "ab")
-    most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
+    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("grp", "n", "pos", "low", "high")]) for side in "ab")
     enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
-    met = a.join(b, [a.token == b.token, F.expr("id_a < id_b and c_a <> c_b"), F.expr(_may_link(percent, "_a", "_b")), F.expr(enough.format(most))])
-    pairs = met.groupBy("id_a", "id_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.min("pos_a").alias("first"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-    pairs = pairs.where(F.expr("first < 0 or " + enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")))
-    return pairs.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb"))
+    most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
+    across = "grp_a < grp_b and least(low_a, low_b) < greatest(high_a, high_b)"
+    met = a.join(b, [a.token == b.token, F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most))])
+    pairs = met.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
+    return pairs.where(enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")).select("grp_a", "grp_b")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -251,30 +258,35 @@ def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows with key, mark, n and id of the set; sets with id, key, mark and their component c)."""
     small_batches(docs)
-    counts = docs.sparkSession.sparkContext.broadcast(_count_table(docs, "text", size))
-    rows = cut(_profiles(docs, size, percent, counts))
+    rows = cut(_profiles(docs, size, percent))
     # Distinct sets, each with the row that stands for it; copies of a set need no comparison.
     best = F.min(F.struct(F.col("key").isNull().alias("unkeyed"), "key", "mark")).alias("first")
-    sets = cut(rows.where("n > 0").groupBy("id", "check", "n", "grp", *SMALL).agg(best).select("id", "n", "grp", *SMALL, "first.key", "first.mark"))
-    w = Window.partitionBy("token").orderBy("grp")
-    tokens = _prefixes(docs, size, percent, counts).select("*", F.lag("grp").over(w).alias("x"), F.lead("grp").over(w).alias("y"))
-    shared = tokens.where("x <> grp or y <> grp").select("token", "grp", "pos").distinct()
-    of_groups = shared.join(sets.select("grp", "id", "n", *SMALL), "grp").select("token", "id", "n", "pos", *SMALL)
-    several = sets.groupBy("grp").agg(F.count("*").alias("k")).where("k > 1").select("grp")
-    in_groups = sets.join(several, "grp", "left_semi").select(F.xxhash64("grp", F.lit("group")).alias("token"), "id", "n", F.lit(-1).alias("pos"), *SMALL)
-    postings = cut(of_groups.unionByName(in_groups))
-    wanted = sets.join(postings.select("id").distinct(), "id", "left_semi").select("id", "key", "mark")
-    bodies = cut(_sets(docs, size, wanted))
-    long_lists = postings.groupBy("token").agg(F.count("*").alias("k")).where(F.col("k") > LONG).select("token")
-    listed = postings.join(long_lists, "token", "left_semi")
-    orders = [[F.xxhash64("id", F.lit(k)), "id"] for k in range(ROUNDS)]
-    pairs = reduce(DataFrame.unionByName, [_neighbours(listed, o, percent) for o in orders]).distinct()
-    links = _linked(pairs, bodies, percent)
-    rest = _linked(_across(postings, cut(connected_components(links)), percent), bodies, percent)
-    release(postings, bodies)
+    sets = cut(rows.where("n > 0").groupBy("id", "check", "n", "grp").agg(best, F.min(F.when(F.col("shingles").isNotNull(), F.col("slice"))).alias("slice")).select("id", "n", "grp", "slice", "first.key", "first.mark"))
+    every = rows.where("tokens is not null").select("grp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "grp", "n", F.col("x.places").alias("pos")).distinct()
+    lists = every.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
+    postings = cut(every.join(lists, "token"))
+    groups = sets.groupBy("grp").agg(F.count("*").alias("length"), F.min("id").alias("id"))
+    several = groups.where("length > 1").select(F.col("grp").alias("list"), "length")
+    met = postings.select("grp").distinct().unionByName(several.select(F.col("list").alias("grp"))).distinct()
+    wanted = sets.join(met, "grp", "left_semi").select("id", "slice")
+    bodies = cut(rows.where("shingles is not null").select("id", "slice", "sketch", "shingles").join(wanted, ["id", "slice"]))
+    listed = postings.where(F.col("length") > LONG).join(groups.select("grp", "id"), "grp").select(F.col("token").alias("list"), "length", "id", "n")
+    inside = sets.withColumnRenamed("grp", "list").join(several, "list").select("list", "length", "id", "n")
+    some = cut(listed.unionByName(inside))
+    near = reduce(DataFrame.unionByName, [_neighbours(some, k, percent) for k in range(ROUNDS)])
+    links = _linked(_pairs(near), bodies, percent)
+    provisional = connected_components(links).withColumnRenamed("component", "c")
+    members = cut(sets.join(met, "grp", "left_semi").select("grp", "id", "n").join(provisional, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    of_group = members.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    torn = of_group.where("low < high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
+    pairs = cut(_group_pairs(postings, of_group, percent).unionByName(torn))
+    a, b = (members.select(*[F.col(x).alias(f"{x}_{side}") for x in ("grp", "id", "n", "c")]) for side in "ab")
+    expanded = pairs.join(a, "grp_a").join(b, "grp_b").where("c_a <> c_b and (grp_a <> grp_b or id_a < id_b)")
+    rest = _linked(_pairs(expanded.select(F.col("id_a").alias("id"), F.col("n_a").alias("n"), F.col("id_b").alias("id_p"), F.col("n_b").alias("n_p"))), bodies, percent)
     of = connected_components(links.unionByName(rest)).withColumnRenamed("component", "c")
     classes = cut(sets.select("id", "key", "mark").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    return rows, classes
+    release(sets, postings, bodies, some, links, members, pairs, rest)
+    return rows.select("key", "mark", "n", "id"), classes
 
 
 def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
