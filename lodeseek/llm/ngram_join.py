@@ -17,8 +17,9 @@ A posting list of m groups is not expanded to its m (m - 1) / 2 pairs. A few rou
 neighbours in differently shuffled orders of the list, and of the sets of a group; their
 links give provisional components, and only pairs that lie across two components go on.
 Pairs inside a component cannot change it, so the components are those of all links.
-Pairs of sets are first held against parity sketches of 2,048 bits, whose Hamming
-distance bounds the symmetric difference from below.
+Pairs are held against parity sketches, whose Hamming distance bounds the symmetric
+difference from below: of 256 bits while groups of one set are paired, of 2,048 bits before
+two sets are compared.
 
 Words are runs of non-space bytes after lower-casing A-Z. A document of fewer words than
 the shingle size has its whole word sequence as its only shingle; one without words, or
@@ -45,8 +46,10 @@ SLICE, RANGE = 4 << 20, 1 << 20
 PER_SHINGLE = 6
 #: 64-bit words of a parity sketch.
 SKETCH = 32
-#: Shuffled orders whose neighbours are verified before the rest.
-ROUNDS = 3
+#: Columns of the small parity sketch.
+SMALL = ("s0", "s1", "s2", "s3")
+#: Shuffled orders whose neighbours are verified before the rest, and how far apart those may be.
+ROUNDS, NEAR = 3, 3
 #: Posting lists of more groups go through the rounds first; so many of a list are put in order at once.
 LONG, CHUNK = 8, 4096
 
@@ -104,6 +107,12 @@ def _values(data: pa.Buffer, kind: str) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
 
 
+def _small_sketch(found: np.ndarray) -> np.ndarray:
+    """256 parities of a set as four 64-bit values; they differ at no more places than the sets do."""
+    bits = np.bincount((found & np.uint64(255)).astype(np.int64), minlength=256) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def _sketch(found: np.ndarray) -> bytes:
     bits = np.bincount((mixed(found) >> np.uint64(53)).astype(np.int64), minlength=64 * SKETCH) & 1
     return np.packbits(bits.astype(np.uint8)).tobytes()
@@ -140,14 +149,14 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """One row a document: key, mark, n (set size), id and check (of the set), grp (size and prefix), slice, and with postings:
 
     tokens and places (prefix shingles of other documents, too; once for each group of a
-    slice), sketch and shingles (once for each set of a slice).
+    slice), sketch, s0..s3 and shingles (once for each set of a slice).
     """
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = min(31, max(0, (total // (PER_SHINGLE * RANGE)).bit_length()))
     sliced = docs.withColumn("slice", F.pmod(F.xxhash64("key", "mark"), F.lit(total // SLICE + 1)))
 
     def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        out = {c: [] for c in ("n", "id", "check", "grp", "tokens", "places", "sketch", "shingles")}
+        out = {c: [] for c in ("n", "id", "check", "grp", "tokens", "places", "sketch", "shingles", *SMALL)}
         sets = [s for b in left.select(["text"]).to_batches() for s in shingle_sets(b.column(0), size)]
         keys, _ = _asked(np.concatenate(sets), bits) if sets else (None, None)
         right = right.sort_by("part")
@@ -167,16 +176,16 @@ def _profiles(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     row |= {"tokens": first[common].astype(np.int64), "places": common.astype(np.int32)}
                 if len(common) and row["id"] not in seen:
                     seen.add(row["id"])
-                    row |= {"sketch": _sketch(found), "shingles": found.astype("<u8").tobytes()}
+                    row |= {"sketch": _sketch(found), "shingles": found.astype("<u8").tobytes()} | dict(zip(SMALL, _small_sketch(found).tolist(), strict=True))
             for c, x in out.items():
                 x.append(row[c])
         made = [pa.array(out[f.name], f.type) for f in schema]
         return pa.table([left.column("key"), left.column("mark"), left.column("slice"), *made], names=["key", "mark", "slice", *schema.names])
 
     long, int_ = pa.int64(), pa.int32()
-    schema = pa.schema([("n", long), ("id", long), ("check", long), ("grp", long), ("tokens", pa.list_(long)), ("places", pa.list_(int_)), ("sketch", pa.binary()), ("shingles", pa.binary())])
+    schema = pa.schema([("n", long), ("id", long), ("check", long), ("grp", long), ("tokens", pa.list_(long)), ("places", pa.list_(int_)), ("sketch", pa.binary()), ("shingles", pa.binary()), *((c, long) for c in SMALL)])
     kind = docs.schema["key"].dataType.simpleString()
-    ddl = f"key {kind}, mark long, slice long, n long, id long, check long, grp long, tokens array<long>, places array<int>, sketch binary, shingles binary"
+    ddl = f"key {kind}, mark long, slice long, n long, id long, check long, grp long, tokens array<long>, places array<int>, sketch binary, shingles binary, s0 long, s1 long, s2 long, s3 long"
     return sliced.groupBy("slice").cogroup(_counted(sliced, size, bits).groupBy("slice")).applyInArrow(run, ddl)
 
 
@@ -228,7 +237,7 @@ def _neighbours(lists: DataFrame, k: int, percent: int) -> DataFrame:
     mixed_up = F.xxhash64("id", F.lit(k))
     chunk = F.pmod(F.xxhash64("id", F.lit(-1 - k)), F.ceil(F.col("length") / CHUNK).cast("long"))
     w = Window.partitionBy("list", "chunk").orderBy("mixed_up", "id")
-    prior = lists.withColumn("chunk", chunk).withColumn("mixed_up", mixed_up).select("id", "n", F.lag(F.struct("id", "n")).over(w).alias("p"))
+    prior = lists.withColumn("chunk", chunk).withColumn("mixed_up", mixed_up).select("id", "n", F.array(*[F.lag(F.struct("id", "n"), j).over(w) for j in range(1, NEAR + 1)]).alias("before")).select("id", "n", F.explode("before").alias("p"))
     return prior.where("p is not null and id <> p.id").select("id", "n", F.col("p.id").alias("id_p"), F.col("p.n").alias("n_p")).where(_sizes_fit(percent, "n", "n_p"))
 
 
@@ -237,16 +246,18 @@ def _group_pairs(postings: DataFrame, of_group: DataFrame, percent: int) -> Data
 
     With c shared prefix shingles, the last of them at positions i and j, two sets share
     c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
-    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1).
+    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Small sketches are those of groups
+    that consist of one set.
     """
     p = postings.join(of_group, "grp")
     split = p.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
     p = p.join(split, "token", "left_semi")
-    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("grp", "n", "pos", "low", "high")]) for side in "ab")
+    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("grp", "n", "pos", "low", "high", *SMALL)]) for side in "ab")
     enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
     most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
+    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SMALL)
     across = "grp_a < grp_b and least(low_a, low_b) < greatest(high_a, high_b)"
-    met = a.join(b, [a.token == b.token, F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most))])
+    met = a.join(b, [a.token == b.token, F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most)), F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b), true)")])
     pairs = met.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     return pairs.where(enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")).select("grp_a", "grp_b")
 
@@ -261,7 +272,7 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     rows = cut(_profiles(docs, size, percent))
     # Distinct sets, each with the row that stands for it; copies of a set need no comparison.
     best = F.min(F.struct(F.col("key").isNull().alias("unkeyed"), "key", "mark")).alias("first")
-    sets = cut(rows.where("n > 0").groupBy("id", "check", "n", "grp").agg(best, F.min(F.when(F.col("shingles").isNotNull(), F.col("slice"))).alias("slice")).select("id", "n", "grp", "slice", "first.key", "first.mark"))
+    sets = cut(rows.where("n > 0").groupBy("id", "check", "n", "grp").agg(best, F.min(F.when(F.col("shingles").isNotNull(), F.col("slice"))).alias("slice"), *[F.min(c).alias(c) for c in SMALL]).select("id", "n", "grp", "slice", *SMALL, "first.key", "first.mark"))
     every = rows.where("tokens is not null").select("grp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("x")).select(F.col("x.tokens").alias("token"), "grp", "n", F.col("x.places").alias("pos")).distinct()
     lists = every.groupBy("token").agg(F.count("*").alias("length")).where("length > 1")
     postings = cut(every.join(lists, "token"))
@@ -276,8 +287,8 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     near = reduce(DataFrame.unionByName, [_neighbours(some, k, percent) for k in range(ROUNDS)])
     links = _linked(_pairs(near), bodies, percent)
     provisional = connected_components(links).withColumnRenamed("component", "c")
-    members = cut(sets.join(met, "grp", "left_semi").select("grp", "id", "n").join(provisional, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    of_group = members.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"))
+    members = cut(sets.join(met, "grp", "left_semi").select("grp", "id", "n", *SMALL).join(provisional, "id", "left").withColumn("c", F.coalesce("c", "id")))
+    of_group = members.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in SMALL])
     torn = of_group.where("low < high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
     pairs = cut(_group_pairs(postings, of_group, percent).unionByName(torn))
     a, b = (members.select(*[F.col(x).alias(f"{x}_{side}") for x in ("grp", "id", "n", "c")]) for side in "ab")
