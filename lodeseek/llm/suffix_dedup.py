@@ -9,13 +9,15 @@ consecutive and make a span; equal strings have equal anchors at equal distances
 2. The distinct spans of the other anchors are dealt to buckets. A bucket concatenates
    its spans in corpus order, sorts its suffixes by prefix doubling up to ``length``
    bytes, and takes from the previous and next smaller positions in that order each
-   suffix's longest previous factor. Where it has ``length`` bytes or more, the string
-   occurs earlier.
+   suffix's longest previous factor (and, by the larger positions, its longest next one).
+   Where a factor has ``length`` bytes, the string occurs earlier (later).
 3. Anchors with more than ``HOT`` distinct spans would make a bucket grow with the
-   corpus. Their spans are cut into blocks of ``BLOCK`` starts by the distance to the
-   anchor, kept where the bytes common to all strings of a block occur twice, and
-   then compared start by start by 128-bit hashes with an aggregate that combines
-   before it shuffles.
+   corpus. Their spans are split into pieces of ``BLOCK`` starts by the distance to the
+   anchor, and the pieces dealt to buckets by a hash of the bytes common to all their
+   strings: equal strings still meet. Alone in its bucket, a piece has no repeats. A
+   bucket with more than ``HOT`` distinct pieces is split once more, into single starts:
+   all its strings are equal then, and an aggregate that combines before it shuffles
+   takes the place of the order.
 
 Matches do not cross rows. Null texts are empty; texts shorter than ``length`` stay
 whole. Repeated rows are copies of each other; order is by key, nulls first, then by a
@@ -36,11 +38,11 @@ from pyspark.sql import functions as F
 from .arrow import small_batches, with_columns
 from .common import SLICE_BYTES, cut, flat, prefix_sums, slices, span_hashes, strings
 
-#: Distinct spans of one anchor beyond which they are compared by hashes.
+#: Distinct spans of one anchor, and pieces of a bucket, beyond which they are split.
 HOT = 1000
-#: Starts in a block of such a span.
+#: Starts in a piece of such a span.
 BLOCK = 32
-#: Spans that a bucket gets on average.
+#: Spans that a bucket gets on average (of pieces, which are shorter, four times as many).
 BUCKET = 1500
 _PLACE = np.uint64(2 * SLICE_BYTES - 1)
 
@@ -138,8 +140,11 @@ def _with_bytes(docs: DataFrame, spans: DataFrame, length: int) -> DataFrame:
     return found.mapInArrow(run, outputs)
 
 
-def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all suffixes by their first ``length`` bytes (zeros beyond the end), by prefix doubling."""
+def suffix_ranks(raw: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """(reach, ranks of all suffixes by their first ``reach`` bytes), for reaches up to ``length``, by prefix doubling.
+
+    Beyond the end stand zeros.
+    """
     n = len(raw)
     padded = np.concatenate([raw, np.zeros(length + 8, np.uint8)])
     rank = np.zeros(n, np.uint64)
@@ -147,29 +152,67 @@ def suffix_ranks(raw: np.ndarray, length: int) -> np.ndarray:
     for k in range(reach):
         rank = rank << np.uint64(8) | padded[k : k + n].astype(np.uint64)
     rank = np.unique(rank, return_inverse=True)[1].astype(np.uint64)
+    levels = [(reach, rank.astype(np.int32))]
     while reach < length:
         step = min(reach, length - reach)
         later = np.zeros(n, np.uint64)
         later[: n - step] = rank[step:] + np.uint64(1)
         rank = np.unique(rank * np.uint64(n + 1) + later, return_inverse=True)[1].astype(np.uint64)
         reach += step
-    return rank.astype(np.int64)
+        levels.append((reach, rank.astype(np.int32)))
+    return levels
+
+
+def nearest_smaller(values: np.ndarray) -> np.ndarray:
+    """For each value the index of the nearest smaller one before it, -1 where there is none."""
+    near = np.arange(-1, len(values) - 1)
+    left = np.flatnonzero(near >= 0)
+    while len(left := left[values[near[left]] > values[left]]):
+        near[left] = near[near[left]]  # all that lies between is larger still
+        left = left[near[left] >= 0]
+    return near
+
+
+def _common(raw: np.ndarray, levels: list[tuple[int, np.ndarray]], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many bytes, of the largest reach at most, the suffixes at ``i`` and ``j`` share; 0 where ``j`` is negative."""
+    length, last = levels[-1]
+    whole = (j >= 0) & (last[i] == last[j])
+    out = np.where(whole, length, 0)
+    some = np.flatnonzero((j >= 0) & ~whole)
+    i, j, n = i[some], j[some], len(raw)
+    common = np.zeros(len(some), np.int64)
+    steps = [(reach, rank) for reach, rank in levels[:-1]][::-1] + [(1, raw)] * min(7, length - 1)
+    for reach, rank in steps:
+        a, b = i + common, j + common
+        same = (a < n) & (b < n)
+        same[same] = rank[a[same]] == rank[b[same]]
+        common += reach * same
+    out[some] = np.minimum(common, length - 1)
+    return out
 
 
 def factors(raw: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Whether the suffixes at ascending positions ``at`` have a previous, and a next, factor of ``length`` bytes.
+    """Lengths of the longest previous and the longest next factors of the suffixes at ascending positions ``at``.
 
-    In suffix order, ties by position, a suffix that shares ``length`` bytes with an
-    earlier one has it as the previous smaller position next to it; with a later one,
-    as the next entry.
+    Lengths end at ``length``. Of the suffixes that start earlier, one of those next to it
+    in suffix order shares most with a suffix: its previous or next smaller position.
+    Ties in the order of the first ``length`` bytes are in order of position.
     """
-    rank = suffix_ranks(raw, length)[at]
-    order = np.argsort(rank, kind="stable")
-    same = rank[order[1:]] == rank[order[:-1]]
-    previous, following = np.zeros(len(at), bool), np.zeros(len(at), bool)
-    previous[order[1:][same]] = True
-    following[order[:-1][same]] = True
-    return previous, following
+    levels = suffix_ranks(raw, length)
+    order = np.argsort(levels[-1][1][at], kind="stable")
+    place = at[order]
+    out = []
+    for value in (place, -place):
+        near = []
+        before = nearest_smaller(value)
+        after = len(value) - 1 - nearest_smaller(value[::-1])[::-1]
+        for side in (before, after):
+            there = (side >= 0) & (side < len(value))
+            near.append(_common(raw, levels, place, np.where(there, place[np.where(there, side, 0)], -1)))
+        lengths = np.zeros(len(at), np.int64)
+        lengths[order] = np.maximum(*near)
+        out.append(lengths)
+    return out[0], out[1]
 
 
 def _runs(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,28 +226,30 @@ def _runs(flags: np.ndarray, owner: np.ndarray, place: np.ndarray) -> tuple[np.n
     return at[first], np.diff(np.append(first, len(at)))
 
 
-def _by_suffixes(spans: DataFrame, buckets: int, length: int, keep_first: bool) -> DataFrame:
-    """Ranges (gram, body, skip, n) of starts that occur elsewhere in their bucket."""
+def _by_suffixes(spans: DataFrame, length: int, keep_first: bool) -> DataFrame:
+    """Ranges (gram, body, skip, n) of starts that occur elsewhere in their bucket.
+
+    spans: bucket, gram, body, base (starts of the span before these), key, mark, lo, n, bytes.
+    """
 
     def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = pa.Table.from_batches(list(parts))
         got = got.take(pc.sort_indices(got, sort_keys=[(c, "ascending") for c in ("key", "mark", "lo")], null_placement="at_start"))
         twice = np.zeros(len(got), bool)  # a repeated row brings its spans again
-        gram, body = (got.column(c).to_numpy() for c in ("gram", "body"))
-        twice[1:] = (gram[1:] == gram[:-1]) & (body[1:] == body[:-1])
+        gram, body, base = (got.column(c).to_numpy() for c in ("gram", "body", "base"))
+        twice[1:] = (gram[1:] == gram[:-1]) & (body[1:] == body[:-1]) & (base[1:] == base[:-1])
         got = got.filter(pa.array(~twice))
         n = got.column("n").to_numpy().astype(np.int64)
         raw, offsets = flat(got.column("bytes").combine_chunks().cast(pa.large_binary()))
         owner = np.repeat(np.arange(len(n)), n)
         place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
         previous, following = factors(raw, offsets[owner] + place, length)
-        first, size = _runs(previous if keep_first else previous | following, owner, place)
+        first, size = _runs((previous if keep_first else np.maximum(previous, following)) >= length, owner, place)
         rows = pa.array(owner[first])
         some = got.take(rows).combine_chunks()
-        yield pa.RecordBatch.from_arrays([*[some.column(c).combine_chunks() for c in ("gram", "body")], pa.array(place[first]), pa.array(size)], names=["gram", "body", "skip", "n"])
+        yield pa.RecordBatch.from_arrays([*[some.column(c).combine_chunks() for c in ("gram", "body")], pa.array(place[first] + some.column("base").to_numpy()), pa.array(size)], names=["gram", "body", "skip", "n"])
 
-    dealt = spans.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
-    return dealt.groupBy("bucket").applyInArrow(run, "gram long, body long, skip long, n long")
+    return spans.groupBy("bucket").applyInArrow(run, "gram long, body long, skip long, n long")
 
 
 def _block(length: int) -> int:
@@ -257,7 +302,7 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, length: int = 400, kee
     keep_first = keep == "first"
     docs = docs.select(F.col(key).alias("key"), F.xxhash64(F.col(key), F.col(text)).alias("mark"), F.col(text).alias("text"))
     spans = cut(_spans(docs, length))
-    grams = spans.groupBy("gram").agg(F.count("*").alias("all"), F.min("body").alias("low"), F.max("body").alias("high")).where("all > 1")
+    grams = cut(spans.groupBy("gram").agg(F.count("*").alias("all"), F.min("body").alias("low"), F.max("body").alias("high")).where("all > 1"))
     met = cut(spans.join(grams.selectExpr("gram", "low <> high as differ"), "gram"))
     order = F.struct("key", "mark", "lo")
     bodies = cut(met.groupBy("gram", "body", "differ").agg(F.count("*").alias("copies"), F.min(F.struct("key", "mark", "lo", "n", "gap")).alias("first")))
@@ -269,17 +314,25 @@ def repeated_ranges(docs: DataFrame, key: str, text: str, length: int = 400, kee
     sizes = mixed.groupBy("gram").agg(F.count("*").alias("bodies"))
     texts = cut(_with_bytes(docs, mixed.join(sizes, "gram"), length))
     few, many = texts.where(F.col("bodies") <= HOT), texts.where(F.col("bodies") > HOT).dropDuplicates(["gram", "body"])
-    parts = [_by_suffixes(few.select("gram", "body", "key", "mark", "lo", "n", "bytes"), max(1, few.count() // BUCKET), length, keep_first)]
+    of = ["gram", "body", "base", "key", "mark", "lo", "n", "bytes"]
+    bucket = F.pmod(F.xxhash64("gram"), F.lit(max(1, few.count() // BUCKET)))
+    dealt = few.withColumn("base", F.lit(0).cast("long")).select(bucket.alias("bucket"), *[F.col(c).cast("long") if c == "n" else F.col(c) for c in of])
+    parts = []
     if many.limit(1).count():
         blocks = cut(_blocks(many, length).withColumn("block", F.expr(f"gap div {_block(length)}")))
-        twice = blocks.select("gram", "block", "core", "body").distinct().groupBy("gram", "block", "core").agg(F.count("*").alias("k")).where("k > 1").drop("k")
-        left = blocks.join(twice, ["gram", "block", "core"], "left_semi").select("gram", "body", "skip", F.col("n").alias("m"))
-        starts = cut(_starts(many.drop("n").join(left, ["gram", "body"]).withColumnRenamed("m", "n"), length))
+        by = ["gram", "block", "core"]
+        twice = blocks.select(*by, "body").distinct().groupBy(*by).agg(F.count("*").alias("k")).where("k > 1")
+        left = cut(blocks.join(twice, by).select(*by, "k", "body", "skip", F.col("n").alias("m")))
+        pieces = many.drop("n").join(left, ["gram", "body"]).withColumnRenamed("m", "n")
+        small = pieces.where(F.col("k") <= HOT).select(F.xxhash64(*by).alias("bucket"), "gram", "body", F.col("skip").alias("base"), "key", "mark", (F.col("lo") + F.col("skip")).alias("lo"), "n", F.expr(f"substring(bytes, int(skip) + 1, int(n) + {length - 1})").alias("bytes"))
+        dealt = dealt.unionByName(small.withColumn("bucket", F.pmod("bucket", F.lit(max(1, left.where(F.col("k") <= HOT).count() // (4 * BUCKET))))))
+        starts = cut(_starts(pieces.where(F.col("k") > HOT).drop("k", "block", "core"), length))
         classes = starts.groupBy("one", "two").agg(F.count("*").alias("k"), F.min(F.struct("key", "mark", "lo", "skip")).alias("first")).where("k > 1")
         again = starts.join(classes, ["one", "two"])
         if keep_first:
             again = again.where(F.struct("key", "mark", "lo", "skip") > F.col("first"))
         parts.append(again.select("gram", "body", "skip", F.lit(1).cast("long").alias("n")))
+    parts.append(_by_suffixes(dealt, length, keep_first))
     ranges = reduce(DataFrame.unionByName, parts)
     # A body's first copy stands for it; without keep_first, bodies with copies are whole already.
     firsts = mixed.select("gram", "body", "key", "mark", "lo")
