@@ -8,7 +8,8 @@ addresses are permuted class by class. The permutation depends on the key, the k
 the value only, so equal values get equal pseudonyms in every document and task, nothing
 is looked up or shuffled, and whoever has the key can undo it.
 
-A null text stays null; a text without findings stays as it is.
+A null text stays null; a text without findings stays as it is. Repeated rows stay
+repeated, with equal pseudonyms; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ KINDS = ("email", "iban", "card", "ssn", "phone", "ip", "date")
 ROUNDS = 10
 #: Pseudonyms kept in a worker before it starts anew.
 CACHE = 100_000
-#: Days that dates are permuted in: 1900-01-01 and the days up to 2099-12-31.
-FIRST_DAY, DAYS = datetime.date(1900, 1, 1).toordinal(), 73_049
+#: First days of the spans of time that dates are permuted within; the last one is the end.
+ERAS = tuple(datetime.date(y, 1, 1).toordinal() for y in (1, 1900, 2100)) + (datetime.date.max.toordinal() + 1,)
 #: English month names.
 MONTHS = ("January", "February", "March", "April", "May", "June", "July", "August", "September", "October", "November", "December")
 
@@ -228,6 +229,13 @@ def _ip(value: str, move: Mapping) -> str | None:
     return ".".join(map(str, y.to_bytes(4, "big")))
 
 
+def _day(day: datetime.date, move: Mapping) -> datetime.date:
+    """The image of a day, in its own span of ``ERAS``."""
+    at = day.toordinal()
+    first, end = next((a, b) for a, b in zip(ERAS, ERAS[1:], strict=False) if a <= at < b)
+    return datetime.date.fromordinal(first + move(at - first, end - first, f"date{first}"))
+
+
 def _date(value: str, move: Mapping) -> str | None:
     """Slashed dates are month first where that is a day of the calendar, else day first."""
     numbers = [int(x) for x in re.findall("[0-9]+", value)]
@@ -236,19 +244,16 @@ def _date(value: str, move: Mapping) -> str | None:
     for order in orders:
         y, m, d = (numbers if order == "ymd" else (numbers[-1], named, numbers[0]) if named else (numbers[2], numbers[0], numbers[1]) if order == "md" else (numbers[2], numbers[1], numbers[0]))
         try:
-            day = datetime.date(y, m, d).toordinal() - FIRST_DAY
+            new = _day(datetime.date(y, m, d), move)
         except ValueError:
             continue
-        if not 0 <= day < DAYS:
-            return None
-        new = datetime.date.fromordinal(FIRST_DAY + move(day, DAYS, "date"))
         if named:
-            return f"{MONTHS[new.month - 1]} {new.day}, {new.year}" if value[0].isalpha() else f"{new.day} {MONTHS[new.month - 1]} {new.year}"
+            return f"{MONTHS[new.month - 1]} {new.day}, {new.year:04d}" if value[0].isalpha() else f"{new.day} {MONTHS[new.month - 1]} {new.year:04d}"
         if order == "ymd":
-            return new.strftime("%Y-%m-%d").replace("-", value[4])
+            return f"{new.year:04d}-{new.month:02d}-{new.day:02d}".replace("-", value[4])
         mark = "/" if "/" in value else "."
         while order == "dm" and mark == "/" and new.day <= 12:  # else it would be read as month first
-            new = datetime.date.fromordinal(FIRST_DAY + move(new.toordinal() - FIRST_DAY, DAYS, "date"))
+            new = _day(new, move)
         first, second = (new.month, new.day) if order == "md" else (new.day, new.month)
         wide = 2 if value[0] == "0" or value.split(mark)[1][0] == "0" or len(value) == 10 else 1
         return f"{first:0{wide}d}{mark}{second:0{wide}d}{mark}{new.year:04d}"
