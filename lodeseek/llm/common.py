@@ -6,6 +6,7 @@ back, so that a lost executor costs one task and not the whole lineage.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -30,9 +31,11 @@ _powers: list[np.ndarray] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a temporary one where that is unset (tests)."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, a temporary one in a single JVM, else an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="lodeseek-shared-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -170,7 +170,8 @@ def digests(docs: DataFrame) -> DataFrame:
 def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` that the mix reads, each as often as at least half of its words are taken.
 
-    A row whose words are taken once and a half stands there twice. Documents without
+    Of rows equal in key, text and source, those that differ elsewhere are ordered by a
+    hash of all columns. A row whose words are taken once and a half stands there twice. Documents without
     words are not in the mix.
     """
     mark = own_name(docs, "mark")
@@ -180,7 +181,8 @@ def mixed_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", so
     times = taken(rows, schedule).where("size > 0").groupBy(F.col("key").alias(mark)).agg(F.sum(F.floor(F.col("taken") / F.col("size") + F.lit(0.5))).cast("long").alias("mix_times"), F.count("*").alias("mix_copies")).where("mix_times > 0")
     repeat, copies, rank = (own_name(docs, c) for c in ("mix_times", "mix_copies", "mix_rank"))
     met = keyed.join(times.withColumnsRenamed({"mix_times": repeat, "mix_copies": copies}), mark)
-    first = F.row_number().over(Window.partitionBy(mark).orderBy(mark))
+    hashable = [f.name for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    first = F.row_number().over(Window.partitionBy(mark).orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in hashable])))
     several = met.where(F.col(copies) > 1).withColumn(rank, first)
     several = several.withColumn(repeat, F.expr(f"`{repeat}` div `{copies}` + int(`{rank}` <= `{repeat}` % `{copies}`)")).drop(rank)
     every = met.where(F.col(copies) == 1).unionByName(several).where(F.col(repeat) > 0)

@@ -33,8 +33,10 @@ from .components import connected_components
 
 #: Leading principal axes of the grid.
 AXES = 8
-#: Vectors of a block, intervals of the sequence at most, and vectors that are compared at once.
-BLOCK, INTERVALS, LEAF = 4096, 256, 512
+#: Vectors of a block, and vectors that are compared at once.
+BLOCK, LEAF = 4096, 512
+#: Intervals of the sequence; beyond their square in blocks, as many as the root of the blocks.
+INTERVALS = 256
 _SLACK = 1e-6
 
 
@@ -105,7 +107,7 @@ def _places(x: np.ndarray, axes: np.ndarray) -> np.ndarray:
     return np.hstack([y, np.zeros((len(x), AXES - y.shape[1])), rest[:, None]])
 
 
-def _blocks(nodes: DataFrame, axes, kind: str, eps: float, intervals: int) -> DataFrame:
+def _blocks(nodes: DataFrame, axes, kind: str, eps: float, intervals: int, block: int) -> DataFrame:
     """The grid order in blocks: (dims, part, idx, lo, hi, ids, weights, vectors)."""
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,8 +129,8 @@ def _blocks(nodes: DataFrame, axes, kind: str, eps: float, intervals: int) -> Da
             at = 0
             dims = rows.column("dims").to_numpy()
             while at < len(dims):
-                end = int(min(at + BLOCK, np.searchsorted(dims, dims[at], "right")))
-                if end == len(dims) and end - at < BLOCK and not last:
+                end = int(min(at + block, np.searchsorted(dims, dims[at], "right")))
+                if end == len(dims) and end - at < block and not last:
                     break
                 one = rows.slice(at, end - at)
                 d = int(dims[at])
@@ -211,7 +213,7 @@ def _leaf(a: dict, b: dict, i: slice, j: slice, least: float, same: bool):
     return p, q
 
 
-def _join(a: dict, b: dict, i: slice, j: slice, eps: float, same: bool):
+def _join(a: dict, b: dict, i: slice, j: slice, eps: float, same: bool, leaf: int):
     """The leaves of the recursion that are not provably distant."""
     if same and j.stop <= i.start:
         return
@@ -219,17 +221,17 @@ def _join(a: dict, b: dict, i: slice, j: slice, eps: float, same: bool):
     if (gap * gap).sum() > (eps + _SLACK) ** 2:
         return
     n, m = i.stop - i.start, j.stop - j.start
-    if max(n, m) <= LEAF:
+    if max(n, m) <= leaf:
         yield i, j
     elif n >= m:
         for half in (slice(i.start, i.start + n // 2), slice(i.start + n // 2, i.stop)):
-            yield from _join(a, b, half, j, eps, same)
+            yield from _join(a, b, half, j, eps, same, leaf)
     else:
         for half in (slice(j.start, j.start + m // 2), slice(j.start + m // 2, j.stop)):
-            yield from _join(a, b, i, half, eps, same)
+            yield from _join(a, b, i, half, eps, same, leaf)
 
 
-def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, eps: float) -> DataFrame:
+def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, eps: float, leaf: int) -> DataFrame:
     """(node, links, root): for each vector of a block pair with links, how many vectors, and one of its component."""
 
     def side(row: pa.Table, letter: str, d: int) -> dict:
@@ -243,7 +245,7 @@ def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, e
         a, b = side(row, "a", d), side(row, "b", d)
         n, m = len(a["ids"]), 0 if same else len(b["ids"])
         forest, links = _Forest(n + m), np.zeros(n + m)
-        for i, j in _join(a, b, slice(0, n), slice(0, len(b["ids"])), eps, same):
+        for i, j in _join(a, b, slice(0, n), slice(0, len(b["ids"])), eps, same, leaf):
             p, q = _leaf(a, b, i, j, least, same)
             if len(p):
                 at = q if same else q + n
@@ -260,12 +262,13 @@ def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, e
     return met.groupBy("dims", "pa", "ia", "pb", "ib").applyInArrow(run, "node long, links long, root long")
 
 
-def near_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.9) -> DataFrame:
+def near_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
     """(key, n_links, component_id, kept) for each row of ``vectors``.
 
     n_links: other rows with a cosine of ``least`` or more. component_id: the smallest key
     reachable by links, the row's own included (a null key counts as none; a row that
-    reaches no key has null). kept: key = component_id. ``least`` is over 0.
+    reaches no key has null). kept: key = component_id. ``least`` is over 0. ``block`` and
+    ``leaf`` are how many vectors stand in a block and are compared at once.
     """
     eps = math.sqrt(max(0.0, 2 - 2 * least))
     clean, kind = _clean(vectors, key, embedding)
@@ -274,9 +277,9 @@ def near_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "e
     n = nodes.count()
     spark = vectors.sparkSession
     axes = spark.sparkContext.broadcast(_principal_axes(nodes, kind))
-    blocks = cut(_blocks(nodes, axes, kind, max(eps, 1e-3), max(1, min(INTERVALS, n // BLOCK))))
+    blocks = cut(_blocks(nodes, axes, kind, max(eps, 1e-3), max(1, min(max(INTERVALS, math.isqrt(n // block)), n // block)), block))
     pairs = cut(_block_pairs(blocks, eps))
-    found = cut(_links(pairs, blocks, axes, kind, least, eps))
+    found = cut(_links(pairs, blocks, axes, kind, least, eps, leaf))
     of = connected_components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnsRenamed({"id": "node", "component": "c"})
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     told = cut(nodes.select("node", "copies", "low").join(counts, "node", "left").join(of, "node", "left").withColumn("c", F.coalesce("c", "node")))

@@ -9,6 +9,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -123,25 +124,70 @@ def _repeats(rows, length):
     return sorted(out)
 
 
-def test_repeated_strings(spark, monkeypatch):
+def _repeating_rows():
     rng = random.Random(1)
     base = ["".join(rng.choice("ab c\né") for _ in range(400)) for _ in range(6)]
     rows = [(k, "".join((b := rng.choice(base))[(s := rng.randrange(300)) : s + rng.randrange(10, 150)] for _ in range(rng.randrange(1, 7)))) for k in range(200)]
-    rows += [(None, base[0]), (None, base[0]), (300, ""), (301, None), (302, "ab" * 200)]
-    for hot in (1000, 3):
-        monkeypatch.setattr(suffix_dedup, "HOT", hot)
-        got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, TEXTS), length=40).collect()
-        assert sorted(str((*r[:4], bytes(r[4]))) for r in got) == _repeats(rows, 40)
+    return rows + [(None, base[0]), (None, base[0]), (300, ""), (301, None), (302, "ab" * 200)]
+
+
+@pytest.mark.parametrize("hot", [1000, 8, 3])
+def test_repeated_strings(spark, monkeypatch, hot):
+    """With all anchors in one bucket each, with pieces in buckets, and with single starts."""
+    rows = _repeating_rows()
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, TEXTS), length=40).collect()
+    assert sorted(str((*r[:4], bytes(r[4]))) for r in got) == _repeats(rows, 40)
+
+
+@pytest.mark.parametrize("hot", [1000, 3])
+def test_all_but_the_first_of_repeated_strings(spark, monkeypatch, hot):
+    """Every start but the first in (key, hash, position) order goes; rows have keys of their own."""
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    rows = [(k, t) for k, (_, t) in enumerate(_repeating_rows())]
+    seen, want = set(), {}
+    for k, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for at in range(len(b) - 39):
+            if (x := b[at : at + 40]) in seen:
+                gone[at : at + 40] = b"\1" * 40
+            seen.add(x)
+        want[k] = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(rows, TEXTS), length=40, keep="first")
+    assert {r.doc_id: bytes(r.kept) for r in got.collect()} == want
+
+
+def test_repeats_in_a_long_text_and_empty_tables(spark):
+    rng = np.random.default_rng(2)
+    text = bytes(rng.integers(97, 123, 1_300_000, dtype=np.uint8)).decode()
+    rows = [(1, text), (2, "x" + text[1_048_000:1_049_500]), (3, text[:399])]
+    got = suffix_dedup.remove_repeats(spark.createDataFrame([(*r, "y") for r in rows], TEXTS + ", kept string"))
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in got.collect()} == {1: (1_300_000, 1500, 1), 2: (1501, 1500, 1), 3: (399, 0, 0)}
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], TEXTS)).count() == 0
 
 
+def test_longest_factors():
+    rng = np.random.default_rng(3)
+    for n, letters, length in ((300, 2, 12), (500, 3, 30), (40, 1, 9), (1, 2, 5)):
+        raw = rng.integers(97, 97 + letters, n, dtype=np.uint8)
+        at = np.sort(rng.choice(n, max(1, n // 2), replace=False))
+        text = bytes(raw) + bytes(length)
+        share = lambda i, j: next((k for k in range(length) if text[i + k] != text[j + k]), length)  # noqa: B023, E731
+        previous, following = suffix_dedup.factors(raw, at, length)
+        for k, i in enumerate(at.tolist()):
+            if i + length <= n:
+                assert previous[k] == max((share(i, j) for j in at[:k].tolist()), default=0)
+                assert following[k] == max((share(i, j) for j in at[k + 1 :].tolist()), default=0)
+
+
 def test_the_first_of_repeated_strings_may_stay(spark):
     rows = [(1, "x" + "abcdefghij" * 3), (2, "y" + "abcdefghij" * 3)]
     got = {r.doc_id: bytes(r.kept) for r in suffix_dedup.remove_repeats(spark.createDataFrame(rows, TEXTS), length=30, keep="first").collect()}
     assert got == {1: rows[0][1].encode(), 2: b"y"}
 
 
-def test_near_vectors(spark, monkeypatch):
+def test_near_vectors(spark):
     rng = np.random.default_rng(0)
     base = rng.normal(size=(20, 16))
     rows = [(k, (base[k % 20] + rng.normal(size=16) * (0.05 + 0.05 * (k % 7))).tolist()) for k in range(300)]
@@ -152,9 +198,7 @@ def test_near_vectors(spark, monkeypatch):
     least = _least([k for k, _ in rows], _classes(len(rows), linked))
     want = sorted(str((k, n[i], c, k is not None and k == c)) for i, ((k, _), c) in enumerate(zip(rows, least, strict=True)))
     for block, leaf in ((4096, 512), (40, 16)):
-        monkeypatch.setattr(near_vectors, "BLOCK", block)
-        monkeypatch.setattr(near_vectors, "LEAF", leaf)
-        got = near_vectors.near_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+        got = near_vectors.near_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), block=block, leaf=leaf)
         assert sorted(str(tuple(r)) for r in got.collect()) == want
     assert near_vectors.near_components(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
