@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +30,53 @@ def embed(texts: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     return texts.join(dense, key, "left").withColumn("embedding", F.when(F.col("weights").isNull(), zero).otherwise(filled)).drop("weights")
 
 
+def vectors_of(payload: str, dims: int, asked: int) -> list[list[float]]:
+    """The vectors in the JSON answer of an embedding service, in either shape; an error unless they are as asked for.
+
+    Shapes: ``{"data": [{"embedding": [..]}, ..]}`` and ``{"embeddings": [[..], ..]}``.
+    """
+    answer = json.loads(payload)
+    found = [item["embedding"] for item in answer["data"]] if "data" in answer else answer.get("embeddings", [])
+    return checked(found, dims, asked)
+
+
+def variants_of(payload: str) -> list[str]:
+    """The query variants in the JSON answer of a chat service, in either shape; none where it holds no such list."""
+    try:
+        answer = json.loads(payload)
+        message = answer["choices"][0]["message"] if "choices" in answer else answer["message"]
+        found = json.loads(message["content"]).get("queries", [])
+    except (ValueError, LookupError, TypeError, AttributeError):
+        return []
+    return [q for q in found if isinstance(q, str)] if isinstance(found, list) else []
+
+
+def checked(found: list, dims: int, asked: int) -> list:
+    """``found``, if it is one vector of ``dims`` components for each text."""
+    if len(found) != asked:
+        raise ValueError(f"{len(found)} vectors came back for {asked} texts")
+    wrong = next((len(v) for v in found if len(v) != dims), None)
+    if wrong is not None:
+        raise ValueError(f"a vector has {wrong} components, the table {dims}: it is another model's")
+    return found
+
+
+def embedder(call: Callable[[list[str]], list], dims: int, batch: int = 64) -> Callable[[Column], Column]:
+    """A column function that sends texts to a model in batches, one after another in each task.
+
+    call: gives a list of vectors for a list of texts; it is pickled to the executors. A
+    null text is sent as an empty one.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for part in parts:
+            texts = part.fillna("").tolist()
+            yield pd.Series([v for at in range(0, len(texts), batch) for v in checked(call(texts[at : at + batch]), dims, len(texts[at : at + batch]))], dtype=object)
+
+    return run
+
+
 def input_text(heading: Column, text: Column) -> Column:
     """What is embedded of a document chunk: the heading, a blank line and the text."""
     return F.when(F.coalesce(heading, F.lit("")) != "", F.concat(heading, F.lit("\n\n"), text)).otherwise(text)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lodeseek.sources.shared import levels, written
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
@@ -31,14 +33,51 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).join(counted, F.lit(True))
 
 
-def distances(edges: DataFrame, source, most: int = 20) -> DataFrame:
-    """(id, distance) of the nodes within ``most`` steps of ``source``: one join and an aggregate a step."""
+def _reached(edges: DataFrame, source, most: int | None) -> DataFrame:
+    """(id, via, distance): ``via`` is the least neighbour one step nearer to ``source``."""
+    graph = written(undirected(edges))
+    start = graph.sparkSession.range(1).select(F.lit(source).cast(graph.schema["src"].dataType).alias("id"), F.lit(None).cast(graph.schema["src"].dataType).alias("via"))
+
+    def step(front: DataFrame) -> DataFrame:
+        return graph.join(front.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("via"))
+
+    return levels(start, step, ["id"], "distance", most)
+
+
+def distances(edges: DataFrame, source, most: int | None = None) -> DataFrame:
+    """(id, distance) of the nodes within ``most`` steps of ``source`` (None: of all that can be reached)."""
+    return _reached(edges, source, most).select("id", "distance")
+
+
+def path(edges: DataFrame, source, target) -> DataFrame:
+    """(step, id) of a shortest way from ``source`` to ``target``, by the least nodes; no rows where there is none."""
+    found = _reached(edges, source, None)
+    kind = found.schema["id"].dataType.simpleString()
+    way, at = [], target
+    while at is not None and (row := found.where(F.col("id") == F.lit(at)).first()):
+        way.append((row.distance, row.id))
+        at = row.via
+    return edges.sparkSession.createDataFrame(way[::-1], f"step int, id {kind}")
+
+
+def lookup(nodes: DataFrame, text: str, columns: tuple[str, ...] = ("id", "label")) -> DataFrame:
+    """The nodes with ``text`` in one of ``columns``, in any case; those with ``exact`` first have it whole."""
+    known = [F.lower(F.col(c).cast("string")) for c in columns if c in nodes.columns]
+    wanted = F.lit(text.lower())
+    exact = F.coalesce(F.greatest(F.lit(False), *[c == wanted for c in known]), F.lit(False))
+    return nodes.where(F.greatest(F.lit(False), *[F.contains(c, wanted) for c in known])).withColumn("exact", exact)
+
+
+def communities(edges: DataFrame, rounds: int = 5) -> DataFrame:
+    """(id, community) by label propagation: in each round, the most frequent label around a node, the least in ties.
+
+    A node starts with its own id as label, and its own label counts as one neighbour's.
+    """
     graph = undirected(edges)
-    found = graph.sparkSession.range(1).select(F.lit(source).alias("id"), F.lit(0).alias("distance"))
-    for step in range(1, most + 1):
-        front = found.where(F.col("distance") == step - 1)
-        new = graph.join(front.select(F.col("id").alias("src")), "src").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
-        if new.isEmpty():
-            break
-        found = found.unionByName(new.withColumn("distance", F.lit(step)))
-    return found
+    around = written(graph.unionByName(graph.select("src", F.col("src").alias("dst")).distinct()))
+    labels = around.select(F.col("src").alias("id"), F.col("src").alias("community")).distinct()
+    for _ in range(rounds):
+        votes = around.join(labels, around.dst == labels.id).groupBy("src", "community").agg(F.count("*").alias("n"))
+        best = votes.groupBy("src").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("best"))
+        labels = written(best.select(F.col("src").alias("id"), F.col("best.community").alias("community")))
+    return labels

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodeseek.functions.storage import to_markdown
 from lodeseek.functions.text import safe_name
+from lodeseek.sources.shared import levels, written
+
+
+def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
+    """(root, id, depth): the roots and all pages below, by edges (id, parent), each at its least depth.
 
+    A page that a root has already reached is not followed again, so cycles end. depth:
+    how many levels to go down, None for all.
+    """
+    below = written(edges.select(F.col("parent").alias("above"), F.col("id").alias("page")))
 
-def descendants(edges: DataFrame, roots: DataFrame, depth: int = 50) -> DataFrame:
-    """(root, id, depth): the roots and all pages below, by edges (id, parent); a cycle ends at ``depth``."""
-    level = roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("depth"))
-    found = level
-    for _ in range(depth):
-        level = level.alias("l").join(edges.alias("e"), F.col("e.parent") == F.col("l.id")).select("l.root", "e.id", (F.col("l.depth") + 1).alias("depth"))
-        if level.isEmpty():
-            break
-        found = found.unionByName(level)
-    return found.groupBy("root", "id").agg(F.min("depth").alias("depth"))
+    def step(front: DataFrame) -> DataFrame:
+        return front.join(below, front.id == below.above).select("root", F.col("page").alias("id"))
+
+    return levels(roots.select(F.col("id").alias("root"), "id"), step, ["root", "id"], "depth", depth)
 
 
 def subtree_counts(tree: DataFrame) -> DataFrame:
@@ -59,3 +67,52 @@ def new_state(state: DataFrame, changes: DataFrame, synced_at: str) -> DataFrame
     seen = changes.select("id", "updated", "title", "space", "file")
     rest = state.select(*seen.columns).join(seen, "id", "left_anti")
     return rest.unionByName(seen).withColumn("synced_at", F.lit(synced_at))
+
+
+STATE = "id string, updated string, title string, space string, file string"
+
+
+def load_state(spark: SparkSession, path: str) -> DataFrame:
+    """The state (STATE) that ``save_state`` wrote; empty, which means a full run, where there is none or it can't be read."""
+    try:
+        found = spark.read.schema(STATE + ", synced_at string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
+        if found.where(F.col("_corrupt").isNotNull() | F.col("id").isNull()).isEmpty():
+            return found.select("id", "updated", "title", "space", "file")
+    except AnalysisException:
+        pass
+    return spark.createDataFrame([], STATE)
+
+
+def iso_now() -> Column:
+    """The time of the query as an ISO timestamp."""
+    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+
+
+def save_state(state: DataFrame, path: str, dry_run: bool = False) -> None:
+    """Writes a state as JSON lines, with the time of the run; nothing in a dry run.
+
+    path: a new folder for each run, since ``state`` may still read the last one.
+    """
+    if not dry_run:
+        state.select("id", "updated", "title", "space", "file").withColumn("synced_at", iso_now()).write.json(path)
+
+
+def write_markdown(files: DataFrame, root: str, dry_run: bool = False) -> DataFrame:
+    """(id, file, chars) of ``files`` (id, file, markdown), written below ``root`` unless it is a dry run.
+
+    root: a folder or address that all executors reach. Repeated tasks write the same
+    files again. Nothing is written before the result is computed.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = pafs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        for batch in batches:
+            for file, markdown in zip(*(batch.column(c).to_pylist() for c in ("file", "markdown")), strict=True):
+                fs.create_dir(f"{base}/{file.rpartition('/')[0]}", recursive=True)
+                with fs.open_output_stream(f"{base}/{file}") as out:
+                    out.write((markdown or "").encode())
+            yield batch
+
+    rows = files.select("id", "file", "markdown")
+    rows = rows if dry_run else rows.mapInArrow(run, rows.schema)
+    return rows.select("id", "file", F.length("markdown").alias("chars"))

@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from lodeseek.config import DEFAULTS
 from lodeseek.functions.text import forward_slashes
 
-#: Queries of one block, and of them those that a batch of points is scored for at once.
-MAX_QUERIES, STEP = 20_000, 1_000
+#: Queries of one block; of them those, and of a batch the points, that are multiplied at once.
+MAX_QUERIES, STEP, TILE = 20_000, 1_000, 2_048
 
 
 def clamp(top_k: int, most: int = DEFAULTS.top_k_most) -> int:
@@ -27,6 +27,9 @@ def clamp(top_k: int, most: int = DEFAULTS.top_k_most) -> int:
 
 
 def _unit(vectors: pa.Array, dims: int) -> np.ndarray:
+    lengths = vectors.value_lengths()
+    if lengths.null_count or vectors.flatten().null_count or (lengths.to_numpy() != dims).any():
+        raise ValueError(f"every vector has to have {dims} components, none of them null")
     x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
@@ -51,6 +54,8 @@ def top_k(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, variant, id, score, rank): the best ``k`` points of every query, ties by id.
 
     Scores are rounded to nine places, so that they don't depend on how rows are batched.
+    A point without a vector is never found; vectors of other lengths than the first
+    query's, or with null components, are an error.
     """
     kind = points.schema["id"].dataType.simpleString()
     schema = f"qid long, variant int, id {kind}, score double"
@@ -63,7 +68,7 @@ def top_k(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             qids, variants, every = asked.value
-            for some in batches:
+            for some in (b.slice(at, TILE) for b in batches for at in range(0, b.num_rows, TILE)):
                 unit = _unit(some.column("embedding"), dims)
                 for at in range(0, len(qids), STEP):
                     qid, variant, q = (x[at : at + STEP] for x in (qids, variants, every))
@@ -180,6 +185,12 @@ def marker_hits(hits: DataFrame, cases: DataFrame) -> DataFrame:
     return met.select("qid", F.coalesce(F.exists("markers", lambda m: F.contains("whole", F.lower(m))), F.lit(False)).alias("hit"))
 
 
+def hit_rate(hits: DataFrame, seconds: DataFrame | None = None) -> DataFrame:
+    """One row over (qid, hit) and, if given, (qid, seconds): questions, hits, hit_rate and mean_seconds."""
+    met = hits.withColumn("seconds", F.lit(None).cast("double")) if seconds is None else hits.join(seconds, "qid", "left")
+    return met.agg(F.count("*").alias("questions"), F.count_if("hit").alias("hits"), F.avg(F.col("hit").cast("double")).alias("hit_rate"), F.avg("seconds").alias("mean_seconds"))
+
+
 def no_hit_reason(dropped: Column, has_filter: Column) -> Column:
     """Why a query has no hits: off topic, filtered away, or worth rephrasing."""
     return F.when(dropped > 0, "below_threshold").when(has_filter, "try_without_filters").otherwise("rephrase")

@@ -7,6 +7,7 @@ divisible by 50, against all points.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from lodeseek.functions import storage, text, vectors
 from lodeseek.operators import chunking, code_chunks, graph, pages, search
 from lodeseek.sources import store
+from lodeseek.sources.shared import shared_dir
 
 FLAGSHIP = "vector_topk"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -365,3 +367,35 @@ def graph_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT (SELECT count(*) FROM pages) AS nodes, (SELECT count(*) FROM pages WHERE page_id > 0) AS edges, (SELECT count(*) FROM pages WHERE page_id > 0) AS extracted, CAST(0 AS BIGINT) AS inferred, CAST(0 AS BIGINT) AS ambiguous")
 def graph_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.stats(_tree(spark, sf_dir), _edges(spark, sf_dir))
+
+
+@_query(_EDGES + ", p AS (SELECT max(page_id) AS id FROM pages UNION ALL SELECT id // 4 FROM p WHERE id > 0) SELECT id, CAST(row_number() OVER (ORDER BY id) - 1 AS INT) AS step FROM p")
+def graph_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    last = _table(spark, sf_dir, "pages").agg(F.max("page_id")).first()[0]
+    return graph.path(_edges(spark, sf_dir), 0, last)
+
+
+@_query("SELECT page_id AS id, url AS label, lower(url) = '12' OR CAST(page_id AS VARCHAR) = '12' AS exact FROM pages WHERE contains(lower(url), '12') OR contains(CAST(page_id AS VARCHAR), '12')")
+def graph_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.lookup(_table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("url").alias("label")), "12")
+
+
+def _votes(n: int) -> str:
+    return f", l{n} AS (SELECT src AS id, community FROM (SELECT a.src, l.community, row_number() OVER (PARTITION BY a.src ORDER BY count(*) DESC, l.community) AS place FROM a JOIN l{n - 1} l ON a.dst = l.id GROUP BY a.src, l.community) WHERE place = 1)"
+
+
+@_query(_EDGES + ", a AS (SELECT * FROM u UNION SELECT src, src FROM u), l0 AS (SELECT DISTINCT src AS id, src AS community FROM u)" + "".join(map(_votes, (1, 2, 3))) + " SELECT * FROM l3")
+def graph_communities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.communities(_edges(spark, sf_dir), rounds=3)
+
+
+@_query("""WITH new AS (SELECT DISTINCT doc_id FROM labels)
+    SELECT source, doc_id, lang, CASE WHEN n.doc_id IS NULL THEN 'old' ELSE 'new' END AS state FROM documents d LEFT JOIN new n USING (doc_id) WHERE d.doc_id % 10 <> 3""")
+def store_upsert_and_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of documents after a first write, an upsert of those with labels and a purge of some."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    table = store.Store(spark, f"{shared_dir(spark)}/lodeseek-store-{uuid.uuid4().hex}", "source string, doc_id long, lang string, state string")
+    table.write(docs.withColumn("state", F.lit("old")))
+    table.upsert(docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("state", F.lit("new")), ("source", "doc_id"))
+    table.purge(docs.where("doc_id % 10 = 3").select("source", "doc_id"))
+    return table.read()

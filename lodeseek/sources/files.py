@@ -48,13 +48,17 @@ def with_source_labels(docs: DataFrame) -> DataFrame:
     return docs.withColumn("source", F.when(F.size(first) > 1, first[0]).otherwise(F.lit("local")))
 
 
-def code_files(spark: SparkSession, root: str) -> DataFrame:
-    """(repo, path, content) of all files of repositories below ``root``; those to be read have content."""
-    rows = _files(spark, root)
-    rows = rows.where(F.contains("rel", F.lit("/")))
+def code_files(spark: SparkSession, root: str, not_repos: tuple[str, ...] = (".git", "graph")) -> DataFrame:
+    """(repo, path, content) of all files of repositories below ``root``; those to be read have content.
+
+    Where ``root`` has a folder ``repos``, the repositories are those in it.
+    """
+    rows = _files(spark, root).where(F.contains("rel", F.lit("/")))
+    if not rows.where(F.startswith("rel", F.lit("repos/"))).isEmpty():
+        rows = rows.where(F.startswith("rel", F.lit("repos/"))).withColumn("rel", F.substring("rel", 7, 1 << 30)).where(F.contains("rel", F.lit("/")))
     path = F.regexp_replace("rel", "^[^/]+/", "")
     wanted = admitted(path) & ~skipped(path)
-    return rows.select(F.split("rel", "/")[0].alias("repo"), path.alias("path"), F.when(wanted, _text(F.col("content"))).alias("content")).where("repo not in ('.git', 'graph')")
+    return rows.select(F.split("rel", "/")[0].alias("repo"), path.alias("path"), F.when(wanted, _text(F.col("content"))).alias("content")).where(~F.col("repo").isin(*not_repos))
 
 
 def asciidoc(spark: SparkSession, root: str, least: int = DEFAULTS.asciidoc_chars) -> DataFrame:

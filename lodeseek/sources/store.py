@@ -1,4 +1,4 @@
-"""Chunk tables in Parquet: replaced by key, partitioned by source, always swapped in whole."""
+"""Chunk tables in Parquet: replaced by key, partitioned by source, a version at a time."""
 
 from __future__ import annotations
 
@@ -12,40 +12,123 @@ CODE_CHUNKS = "id string, repo string, path string, symbol string, kind string,
 
 
 class Store:
-    """A table below ``root``. A pointer file names the current snapshot, so readers see whole tables only."""
+    """A table below ``root``, partitioned by ``partition``, for one writer and many readers.
 
-    def __init__(self, spark: SparkSession, root: str, schema: str = CHUNKS, partition: str = "source"):
-        self.spark, self.root, self.schema, self.partition = spark, root.rstrip("/"), schema, partition
+    A version is a table of its own in ``versions``: which data folder holds which
+    partition. It counts once it is complete, and the highest complete one is current, so
+    there is one at any time, a reader sees whole tables only, and a crash leaves the last
+    version in force. A write touches the partitions that it has rows for; the others stay
+    in their folders. The ``keep`` newest versions stay readable, older ones are deleted
+    with the folders that only they use.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schema: str = CHUNKS, partition: str = "source", keep: int = 2):
+        self.spark, self.root, self.schema, self.partition, self.keep = spark, root.rstrip("/"), schema, partition, keep
+
+    def _path(self, name: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        return path, path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _names(self, folder: str) -> list[str]:
+        path, fs = self._path(folder)
+        return [f.getPath().getName() for f in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _delete(self, name: str) -> None:
+        path, fs = self._path(name)
+        fs.delete(path, True)
+
+    def versions(self) -> list[int]:
+        """The complete versions, ascending."""
+        return sorted(int(v) for v in self._names("versions") if "_SUCCESS" in self._names(f"versions/{v}"))
 
     def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/current")
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
+        return bool(self.versions())
+
+    def _folders(self, version: int) -> dict[str | None, str]:
+        """Data folders by value of the partition column."""
+        return {r.value: r.folder for r in self.spark.read.schema("value string, folder string").parquet(f"{self.root}/versions/{version}").collect()}
+
+    def _current(self) -> dict[str | None, str]:
+        known = self.versions()
+        if known:
+            return self._folders(known[-1])
+        if self._names("data"):
+            raise RuntimeError(f"{self.root} has data but no complete version: its first write has not ended")
+        raise LookupError(f"there is no store at {self.root} yet: index something into it first")
+
+    def _rows(self, folders: dict[str | None, str]) -> DataFrame:
+        out = self.spark.createDataFrame([], self.schema)
+        for folder in sorted(set(folders.values())):
+            values = [v for v, f in folders.items() if f == folder]
+            some = F.col(self.partition).isin([v for v in values if v is not None])
+            some = some | F.col(self.partition).isNull() if None in values else some
+            out = out.unionByName(self.spark.read.schema(out.schema).parquet(f"{self.root}/{folder}").where(some).select(*out.columns))
+        return out
 
     def read(self) -> DataFrame:
-        """The current rows; an empty table where there is none yet."""
-        if not self.exists():
-            return self.spark.createDataFrame([], self.schema)
-        name = self.spark.read.text(f"{self.root}/current").first().value
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/{name}")
+        """The current rows; an error where there is no store."""
+        return self._rows(self._current())
+
+    def _commit(self, rows: DataFrame, rest: dict[str | None, str]) -> None:
+        columns = self.spark.createDataFrame([], self.schema).columns
+        folder = f"data/{uuid.uuid4().hex}"
+        rows.select(*columns).write.partitionBy(self.partition).parquet(f"{self.root}/{folder}")
+        new = self.spark.read.schema(self.schema).parquet(f"{self.root}/{folder}").select(self.partition).distinct().collect()
+        known = self.versions()
+        entries = list((rest | {r[0]: folder for r in new}).items())
+        number = known[-1] + 1 if known else 0
+        if str(number) in self._names("versions"):  # what a crash has left incomplete
+            self._delete(f"versions/{number}")
+        self.spark.createDataFrame(entries, "value string, folder string").coalesce(1).write.parquet(f"{self.root}/versions/{number}")
+        old, kept = (known + [number])[: -self.keep], (known + [number])[-self.keep :]
+        used = {f for v in kept for f in self._folders(v).values()}
+        for v in old:
+            for f in set(self._folders(v).values()) - used:
+                self._delete(f)
+            self._delete(f"versions/{v}")
 
     def write(self, rows: DataFrame) -> None:
         """Replaces the whole table."""
-        columns = self.spark.createDataFrame([], self.schema).columns
-        name = f"snapshot-{uuid.uuid4().hex}"
-        rows.select(*columns).write.partitionBy(self.partition).parquet(f"{self.root}/{name}")
-        self.spark.createDataFrame([(name,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.root}/current")
+        self._commit(rows, {})
 
     def upsert(self, rows: DataFrame, keys: tuple[str, ...] = ("source", "source_id"), purge_missing: bool = False) -> None:
-        """Rows of the keys in ``rows`` are replaced; with ``purge_missing``, other keys of the same partitions go too."""
-        self.write(replaced(self.read(), rows, (self.partition,) if purge_missing else keys))
+        """Rows of the keys in ``rows`` are replaced; with ``purge_missing``, other keys of the same partitions go too.
+
+        keys: the partition column among them. Only partitions with new rows are read and written.
+        """
+        if self.partition not in keys:
+            raise ValueError(f"{self.partition} has to be one of the keys")
+        folders = self._current() if self.exists() or self._names("data") and self._names("versions") else {}
+        touched = {r[0] for r in rows.select(self.partition).distinct().collect()}
+        if not touched:
+            return
+        rest = {v: f for v, f in folders.items() if v not in touched}
+        old = self._rows({v: f for v, f in folders.items() if v in touched})
+        self._commit(replaced(old, rows, (self.partition,) if purge_missing else keys), rest)
+
+    def purge(self, wanted: DataFrame) -> None:
+        """Deletes the rows whose values in the columns of ``wanted``, the partition column among them, it lists."""
+        folders = self._current()
+        touched = {r[0] for r in wanted.select(self.partition).distinct().collect()} & set(folders)
+        if touched:
+            old = self._rows({v: folders[v] for v in touched})
+            self._commit(removed(old, wanted), {v: f for v, f in folders.items() if v not in touched})
 
     def count(self) -> int:
-        return self.read().count()
+        """How many rows there are; none where there is no store yet."""
+        return self.read().count() if self.exists() else 0
+
+
+def removed(old: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``old`` without the rows that ``wanted`` lists by some columns; null equals null."""
+    gone = wanted.distinct()
+    same = [old[c].eqNullSafe(gone[c]) for c in wanted.columns]
+    return old.join(gone, same, "left_anti")
 
 
 def replaced(old: DataFrame, new: DataFrame, keys: tuple[str, ...]) -> DataFrame:
     """``old`` without the keys of ``new``, and ``new``."""
-    return old.join(new.select(*keys).distinct(), list(keys), "left_anti").select(*old.columns).unionByName(new.select(*old.columns))
+    return removed(old, new.select(*keys)).select(*old.columns).unionByName(new.select(*old.columns))
 
 
 def changed_only(new: DataFrame, old: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:

@@ -26,6 +26,9 @@ def fetch(url: str, token: str, tries: int = 3, wait: float = 1.0) -> dict:
         except urllib.error.HTTPError as e:
             if e.code not in _AGAIN or attempt == tries:
                 raise RuntimeError(f"{url}: {_EXPLAINED.get(e.code, f'answer {e.code}')}") from e
+        except (urllib.error.URLError, TimeoutError, ConnectionError) as e:  # a lost connection may come back
+            if attempt == tries:
+                raise RuntimeError(f"{url}: can't be reached ({e})") from e
         except json.JSONDecodeError as e:
             raise RuntimeError(f"{url}: the answer isn't JSON") from e
         time.sleep(wait * 2**attempt)
