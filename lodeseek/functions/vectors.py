@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -18,8 +18,8 @@ def word_buckets(texts: DataFrame, key: str, text: str, dims: int) -> DataFrame:
     words = texts.select(key, F.explode(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))).alias("word"))
     bucket = F.conv(F.substring(F.md5("word"), 1, 8), 16, 10).cast("long") % dims
     counts = words.groupBy(key, bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    return counts.join(norms, key).select(key, "bucket", "n", (F.col("n") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
+    return counts.select(key, "bucket", "n", (F.col("n") / norm).alias("weight"))
 
 
 def embed(texts: DataFrame, key: str, text: str, dims: int) -> DataFrame:

@@ -399,3 +399,34 @@ def store_upsert_and_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     table.upsert(docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("state", F.lit("new")), ("source", "doc_id"))
     table.purge(docs.where("doc_id % 10 = 3").select("source", "doc_id"))
     return table.read()
+
+
+@_query("""SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '### Deep ' || lang || chr(10) || chr(10) || '```sql' || chr(10) || 'SELECT ' || doc_id || ' < 3' || chr(10) || '```' || chr(10) || chr(10) || '> note ' || source || chr(10) || chr(10)
+    || '- ' || source || chr(10) || '  1. in ' || lang || chr(10) || '- end' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' || chr(10) || chr(10) || '```' || chr(10) || 'x  y' || chr(10) || '```' || chr(10) || chr(10) || 'see «' || source || '» & — it' || chr(10) AS markdown FROM documents""")
+def storage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macros, lists, tables, preformatted text, links, entities and unknown elements around values of the documents."""
+    number = F.col("doc_id").cast("string")
+    pieces = ["<h3>Deep ", "lang", '</h3><ac:structured-macro ac:name="code"><ac:parameter ac:name="language">sql</ac:parameter><ac:plain-text-body><![CDATA[SELECT ', number, ' < 3]]></ac:plain-text-body></ac:structured-macro><ac:structured-macro ac:name="warning"><p>note ', "source", "</p></ac:structured-macro><ul><li>", "source", "<ol><li>in ", "lang", "</li></ol></li><li>end</li></ul><table><tbody><tr><th>a</th><th>b</th></tr><tr><td>", number, '</td></tr></tbody></table><pre>x  y</pre><layout><p>see <ac:link><ri:page ri:content-title="', "source", '"/></ac:link> &amp; &mdash;&nbsp;it</p></layout>']
+    markup = F.concat(*[p if not isinstance(p, str) else F.col(p) if p in ("lang", "source") else F.lit(p) for p in pieces])
+    return _table(spark, sf_dir, "documents").select("doc_id", storage.to_markdown(markup, number).alias("markdown"))
+
+
+@_query("""WITH h(n, heading, body) AS (VALUES (0, 'A - B - C - D - E - F', 'six'), (1, 'A - B - C - D - G', 'five'), (2, 'A - H', 'two'), (3, 'A - H - I', 'four'), (4, 'J', 'one'))
+    SELECT doc_id, heading, body || ' ' || lang AS body FROM documents, h""")
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sections under headings of all six levels, with levels left out and closed."""
+    parts = ["# A\n## B\n### C\n#### D\n##### E\n###### F\nsix ", "\n##### G\nfive ", "\n## H\ntwo ", "\n#### I\nfour ", "\n# J\none "]
+    text_ = F.concat(*[x for p in parts for x in (F.lit(p), F.col("lang"))])
+    return chunking.sections(_table(spark, sf_dir, "documents").select("doc_id", text_.alias("text")), "doc_id", "text").select("doc_id", "heading", "body")
+
+
+@_query("""WITH s(symbol, kind, signature, doc, line_start, line_end) AS (VALUES ('read', 'function', 'def read(a, b)', 'Doc of it.', 3, 5), ('Big', 'class', 'class Big(Base)', '', 7, 9), ('Big.go', 'asyncfunction', 'async def go(self)', '', 8, 9))
+    SELECT source AS repo, 'm' || doc_id || '.py' AS path, symbol, kind, signature, doc, line_start, line_end FROM documents, s
+    UNION ALL SELECT source, 'c' || doc_id || '.py', 'c' || doc_id, 'module', '', '', 1, 4 FROM documents""")
+def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols of Python modules, of one with constants only, and of one that doesn't parse."""
+    module = 'import x\n\ndef read(a, b):\n    """Doc of it."""\n    return "%s"\n\nclass Big(Base):\n    async def go(self):\n        pass\n'
+    docs = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), "doc_id", "lang")
+    made = [docs.select("repo", F.concat(F.lit(name), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.format_string(body, "lang").alias("content")) for name, body in (("m", module), ("c", "A = 1\nB = 2\nC = 3\nD = '%s'\n"), ("bad", "def (%s"))]
+    found = code_chunks.code_chunks(made[0].unionByName(made[1]).unionByName(made[2]))
+    return found.select("repo", "path", "symbol", "kind", "signature", "doc", "line_start", "line_end")
