@@ -2,10 +2,12 @@
 
 import base64
 import collections
+import math
 import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import tiktoken
@@ -168,3 +170,50 @@ def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
         _labels(spark).write.parquet(f"{folder}/labels.parquet")
         rows = corpus_pipeline.run(spark, folder).collect()
         assert all(r.round_trip for r in rows)
+
+
+def test_score_is_the_sum_of_bit_predictions(spark, monkeypatch):
+    """Against a plain walk over every bit of every word, with the counts and weights that the model learnt."""
+    learnt = {}
+    scored = context_mixing._scored
+
+    def keep(counts, tables, mixer, tails):
+        learnt.update(tables=tables.value, mixer=mixer.value, tails=tails.value)
+        return scored(counts, tables, mixer, tails)
+
+    monkeypatch.setattr(context_mixing, "_scored", keep)
+    rows = [(k, t) for k, t in enumerate(["The cat sat.\nThe cat  ran.", "the cat", "a Dog sat\ton the mat ", "", "é zebra!", "the the the cat sat on the mat"] * 4)] + [(100, None)]
+    got = {r.doc_id: r for r in context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    tables, mixer, tails = learnt["tables"], learnt["mixer"], learnt["tails"]
+
+    def level(n):
+        return sum(n >= x for x in (1, 3, 31))
+
+    def word_score(word):
+        total = 0.0
+        symbols, contexts, _, _ = next(context_mixing._symbols(pa.array([word], pa.binary()), np.array([1])))
+        for at, symbol in enumerate(symbols.tolist()):
+            node = 1
+            for bit in range(8):
+                value = symbol >> (7 - bit) & 1
+                seen = []
+                for k, table in enumerate(tables):
+                    slot = int(context_mixing._slots(contexts[k][at : at + 1], np.array([node], np.uint64), len(table).bit_length() - 1)[0])
+                    seen.append(tuple(int(x) for x in table[slot]))
+                inputs = [math.log(o + context_mixing.DELTA) - math.log(z + context_mixing.DELTA) for z, o in seen] + [0.3]
+                gate = (level(sum(seen[context_mixing.ORDERS.index(0)])) * 4 + level(sum(seen[context_mixing.ORDERS.index(3)]))) * 8 + bit
+                dot = max(-12.0, min(12.0, sum(x * w for x, w in zip(inputs, mixer.weights[gate].tolist(), strict=True))))
+                bucket = min(context_mixing.BUCKETS - 1, max(0, int(dot / 0.5 + context_mixing.BUCKETS / 2)))
+                refined = (mixer.ones[gate, bucket] + 0.02) / (mixer.seen[gate, bucket] + 0.04)
+                p = min(1 - 1e-6, max(1e-6, 0.5 / (1 + math.exp(-dot)) + 0.5 * refined))
+                total += math.log10(p if value else 1 - p)
+                node = node * 2 + value
+        return total
+
+    for key, text in rows:
+        raw, want, at = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode(), 0.0, 0
+        for m in [*re.finditer(rb"[\x20\x09-\x0D]", raw), None]:
+            word, mark = raw[at : m.start() if m else len(raw)], raw[m.start()] if m else 0
+            want += word_score(word) + tails[word[-1] if word else 0][mark]
+            at = m.end() if m else at
+        assert abs(got[key].score - want) < 1e-3 * max(1, abs(want)), (key, got[key].score, want)
