@@ -41,11 +41,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` written as Parquet to the shared folder and read again."""
+def cut(df: DataFrame, group: int = 0) -> DataFrame:
+    """``df`` written as Parquet to the shared folder and read again; ``group``: rows of a row group, for rows of megabytes."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/lodeseek-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**{"parquet.block.row.count.limit": group} if group else {}).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.cut_path = path
     return out

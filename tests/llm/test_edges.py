@@ -173,47 +173,105 @@ def test_pipeline_of_empty_and_odd_tables(spark, tmp_path):
 
 
 def test_score_is_the_sum_of_bit_predictions(spark, monkeypatch):
-    """Against a plain walk over every bit of every word, with the counts and weights that the model learnt."""
+    """Against a plain walk over every bit of every word, with counts of its own and the weights that the model learnt."""
     learnt = {}
     scored = context_mixing._scored
 
-    def keep(counts, tables, mixer, tails):
-        learnt.update(tables=tables.value, mixer=mixer.value, tails=tails.value)
-        return scored(counts, tables, mixer, tails)
+    def keep(counted, tables, model, totals, kind):
+        learnt.update(tables=tables.value, model=model.value)
+        return scored(counted, tables, model, totals, kind)
 
     monkeypatch.setattr(context_mixing, "_scored", keep)
-    rows = [(k, t) for k, t in enumerate(["The cat sat.\nThe cat  ran.", "the cat", "a Dog sat\ton the mat ", "", "é zebra!", "the the the cat sat on the mat"] * 4)] + [(100, None)]
+    texts = ["The cat sat.\nThe cat  ran.", "the cat", "a Dog sat\ton the mat ", "", "é zebra!", "the the the cat sat on the mat", "  "]
+    rows = [(k, t if k % 3 else t + f" only{k} {k}") for k, t in enumerate(texts * 5)] + [(100, None), (101, " ".join(f"the w{k % 40}" for k in range(300)))]
     got = {r.doc_id: r for r in context_mixing.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    tables, mixer, tails = learnt["tables"], learnt["mixer"], learnt["tails"]
-
-    def level(n):
-        return sum(n >= x for x in (1, 3, 31))
-
-    def word_score(word):
-        total = 0.0
-        symbols, contexts, _, _ = next(context_mixing._symbols(pa.array([word], pa.binary()), np.array([1])))
+    tables, model = learnt["tables"], learnt["model"]
+    pieces = {}
+    for key, text in rows:
+        raw = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode()
+        cuts = [m.start() for m in re.finditer(rb"[\x20\x09-\x0D]", raw)]
+        pieces[key] = [(raw[a:b], raw[b] if b < len(raw) else 0) for a, b in zip([0, *[c + 1 for c in cuts]], [*cuts, len(raw)], strict=True)]
+    train = [k for k in pieces if not got[k].held_out]
+    assert 0 < len(train) < len(rows)
+    counts = collections.Counter(w for k in train for w, _ in pieces[k])
+    pairs = collections.Counter((a, w) for k in train for a, (w, _) in zip([None, *[x for x, _ in pieces[k]]], pieces[k], strict=False))
+    ends = collections.Counter((w[-1] if w else 0, d) for k in train for w, d in pieces[k])
+    total = sum(counts.values())
+
+    def refined(mixer, inputs, gate):
+        dot = max(-12.0, min(12.0, sum(x * w for x, w in zip(inputs, mixer.weights[gate].tolist(), strict=True))))
+        bucket = min(context_mixing.BUCKETS - 1, max(0, int(dot / 0.5 + context_mixing.BUCKETS / 2)))
+        seen = (mixer.ones[gate, bucket] + 0.02) / (mixer.seen[gate, bucket] + 0.04)
+        return min(1 - 1e-6, max(1e-6, 0.5 / (1 + math.exp(-dot)) + 0.5 * seen))
+
+    def spelled(word):
+        level, out = lambda n: sum(n >= x for x in (1, 3, 31)), 0.0
+        symbols, contexts, _ = next(context_mixing._symbols(pa.array([word], pa.binary())))
         for at, symbol in enumerate(symbols.tolist()):
             node = 1
             for bit in range(8):
-                value = symbol >> (7 - bit) & 1
-                seen = []
+                value, seen = symbol >> (7 - bit) & 1, []
                 for k, table in enumerate(tables):
                     slot = int(context_mixing._slots(contexts[k][at : at + 1], np.array([node], np.uint64), len(table).bit_length() - 1)[0])
-                    seen.append(tuple(int(x) for x in table[slot]))
+                    pair = [int(x) for x in table[slot]]
+                    pair[value] = max(0, pair[value] - (counts[word] == 1))
+                    seen.append(pair)
                 inputs = [math.log(o + context_mixing.DELTA) - math.log(z + context_mixing.DELTA) for z, o in seen] + [0.3]
-                gate = (level(sum(seen[context_mixing.ORDERS.index(0)])) * 4 + level(sum(seen[context_mixing.ORDERS.index(3)]))) * 8 + bit
-                dot = max(-12.0, min(12.0, sum(x * w for x, w in zip(inputs, mixer.weights[gate].tolist(), strict=True))))
-                bucket = min(context_mixing.BUCKETS - 1, max(0, int(dot / 0.5 + context_mixing.BUCKETS / 2)))
-                refined = (mixer.ones[gate, bucket] + 0.02) / (mixer.seen[gate, bucket] + 0.04)
-                p = min(1 - 1e-6, max(1e-6, 0.5 / (1 + math.exp(-dot)) + 0.5 * refined))
-                total += math.log10(p if value else 1 - p)
+                p = refined(model.spelling, inputs, (level(sum(seen[context_mixing.ORDERS.index(0)])) * 4 + level(sum(seen[context_mixing.ORDERS.index(3)]))) * 8 + bit)
+                out += math.log10(p if value else 1 - p)
                 node = node * 2 + value
-        return total
-
-    for key, text in rows:
-        raw, want, at = re.sub("[A-Z]", lambda m: m[0].lower(), text or "").encode(), 0.0, 0
-        for m in [*re.finditer(rb"[\x20\x09-\x0D]", raw), None]:
-            word, mark = raw[at : m.start() if m else len(raw)], raw[m.start()] if m else 0
-            want += word_score(word) + tails[word[-1] if word else 0][mark]
-            at = m.end() if m else at
+        return out
+
+    def choice(n, value, contexts, gate, without):
+        inputs = []
+        for k, c in enumerate(contexts):
+            slot = int(context_mixing.mixed(np.array([c * 16 + 4 * k + n], np.uint64))[0]) >> (64 - context_mixing.CHOICE_BITS)
+            pair = model.table[slot].tolist()
+            pair[value] = max(0, pair[value] - without)
+            inputs.append(math.log(pair[1] + 0.4) - math.log(pair[0] + 0.4))
+        p = refined(model.choices, [*inputs, 0.3], n * 80 + gate)
+        return math.log10(p if value else 1 - p)
+
+    size = lambda x: min(15, x.bit_length())
+    for key in pieces:
+        own, want, levels, prior_pair = int(not got[key].held_out), 0.0, [4, 4, 4], 0
+        earlier, followed = collections.Counter(), 0
+        for at, (word, mark) in enumerate(pieces[key]):
+            before = pieces[key][at - 1][0] if at else None
+            often = max(0, (counts[before] if at else len(train)) - own)
+            pair, known = max(0, pairs[before, word] - own), max(0, counts[word] - own)
+            grade = size(often)
+            contexts = [((grade * 5 + levels[-1]) * 5 + levels[-2]) * 5 + levels[-3], often if often >= 32 else grade * 5 + levels[-1], followed * 8 // max(1, at) * 16 + size(at), (grade * 16 + size(prior_pair)) * 5 + levels[-1]]
+            asks = [(often > 0, pair > 0, pair / max(1, often)), (at > 0, earlier[word] > 0, earlier[word] / max(1, at))]
+            taken = sum(max(0, counts[w] - own) for w in earlier if earlier[w]) / (total - own)
+            asks.append((total > own, known > 0, min(1, known / (total - own) / (1 - min(taken, 0.999)))))
+            level = 3
+            for n, (asked, yes, share) in enumerate(asks):
+                if asked:
+                    want += choice(n, int(yes), contexts, grade * 5 + levels[-1], own)
+                    if yes:
+                        level, want = n, want + math.log10(share)
+                        break
+            if level == 3:
+                want += spelled(word)
+            last = word[-1] if word else 0
+            want += math.log10((ends[last, mark] + 0.05) / (sum(ends[last, d] for d in (0, *context_mixing.SPACES)) + 0.35))
+            levels.append(level)
+            followed += level == 0
+            prior_pair = pair
+            earlier[word] += 1
         assert abs(got[key].score - want) < 1e-3 * max(1, abs(want)), (key, got[key].score, want)
+
+
+def test_copies_are_told_from_single_texts_and_held_out_texts_beat_the_base(spark):
+    """Over all documents of the folder, some of them twice: bits of a byte fall where a training text has a copy."""
+    docs = _documents(spark).select("doc_id", "text")
+    rows = context_mixing.score_documents(docs).where("held_out").groupBy().sum("score", "base_score").first()
+    assert rows[0] > rows[1]
+    rng = np.random.default_rng(5)
+    fresh = [(10**6 + k, " ".join(f"w{x}" for x in rng.zipf(1.3, 120) % 900)) for k in range(60)]
+    twice = fresh + [(k + 10**6, t) for k, t in fresh[:20]]
+    got = {r.doc_id: r for r in context_mixing.score_documents(spark.createDataFrame(twice, docs.schema)).collect()}
+    copied = [got[k].bits_per_byte for k, _ in fresh[:20] if not got[k].held_out and not got[k + 10**6].held_out]
+    single = [got[k].bits_per_byte for k, _ in fresh[20:] if not got[k].held_out]
+    assert max(copied) < min(single)
