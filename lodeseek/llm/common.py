@@ -98,13 +98,16 @@ def lower(raw: np.ndarray) -> np.ndarray:
     return _LOWER[raw]
 
 
-def spans_of_words(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of all words, and the index of each row's first word (one more at the end)."""
+def spans_of_words(raw: np.ndarray, offsets: np.ndarray, kind: np.ndarray = _IS_WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of all words, and the index of each row's first word (one more at the end).
+
+    kind: for each of the 256 bytes, whether words are made of it.
+    """
     if not len(raw):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offsets), np.int64)
     word = np.zeros(len(raw) + 2, bool)
-    word[1:-1] = _IS_WORD[raw]
+    word[1:-1] = kind[raw]
     first = word[1:-1] & ~word[:-2]
     last = word[1:-1] & ~word[2:]
     edge = offsets[1:-1]

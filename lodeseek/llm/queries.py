@@ -90,12 +90,19 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents that lie in windows of benchmark items, and which items those are."""
+    from . import decontaminate
+
+    return decontaminate.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest, op13_decontaminate]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, secrets
+    from . import chat, decontaminate, secrets
 
-    return {"op2_secret_scan": secrets.oracle(), "op4_chat_format": chat.oracle()}
+    return {"op2_secret_scan": secrets.oracle(), "op4_chat_format": chat.oracle(), "op13_decontaminate": decontaminate.oracle()}
