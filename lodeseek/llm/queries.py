@@ -90,6 +90,17 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings along the leading components of their covariance, with unit variance.
+
+    deviation is null where the exact value, in deviation_exact, is beyond a long.
+    """
+    from . import whitening
+
+    done = whitening.whiten(_table(spark, sf_dir, "embeddings")).withColumnRenamed("deviation", "deviation_exact")
+    return done.select("vec_id", "component", "n", F.col("deviation_exact").try_cast("long").alias("deviation"), "whitened", "explained", "identity_error", "deviation_exact")
+
+
 def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents that lie in windows of benchmark items, and which items those are."""
     from . import decontaminate
@@ -98,7 +109,7 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest, op13_decontaminate]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest, op12_whitening, op13_decontaminate]
     return {f.__name__: f for f in own}
 
 
