@@ -90,6 +90,13 @@ def op10_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.digests(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the prefix trie of all rebuilt conversations."""
+    from . import prefix_trie
+
+    return prefix_trie.prefix_trie(_table(spark, sf_dir, "conversations"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All embeddings along the leading components of their covariance, with unit variance.
 
@@ -109,11 +116,11 @@ def op13_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest, op12_whitening, op13_decontaminate]
+    own = [op1_pii_pseudonyms, op2_secret_scan, op3_near_vectors, op4_chat_format, op5_context_mixing, op6_byte_bpe, op7_source_mix, op8_ngram_jaccard, op9_suffix_dedup, op10_quality_forest, op11_prefix_trie, op12_whitening, op13_decontaminate]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat, decontaminate, secrets
+    from . import chat, decontaminate, prefix_trie, secrets
 
-    return {"op2_secret_scan": secrets.oracle(), "op4_chat_format": chat.oracle(), "op13_decontaminate": decontaminate.oracle()}
+    return {"op2_secret_scan": secrets.oracle(), "op4_chat_format": chat.oracle(), "op11_prefix_trie": prefix_trie.oracle(), "op13_decontaminate": decontaminate.oracle()}
