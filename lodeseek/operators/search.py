@@ -1,93 +1,77 @@
 """Search: exact cosine top-k for batches of queries, fusion, gates, thresholds, projections.
 
-Queries (qid, variant, embedding) go to every task in blocks of bounded size, one pass over
-the points for each block; points (id, embedding) are scored where they are read, and each
-batch of them sends on the best k of every query only.
+Queries (qid, variant, embedding) go to every task, points (id, embedding) are scored where
+they are read, and each batch of them sends on the best k of every query only. Too many
+queries for that are joined with the points in tiles. ``operators.ann`` has an index for
+searches that don't read all points.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeseek.config import DEFAULTS
 from lodeseek.functions.text import forward_slashes
+from lodeseek.operators import tiles
 
-#: Queries of one block; of them those, and of a batch the points, that are multiplied at once.
-MAX_QUERIES, STEP, TILE = 20_000, 1_000, 2_048
+#: Queries that are sent to all tasks, and points of a batch that are multiplied at once.
+MAX_QUERIES, TILE = 20_000, 2_048
 
 
 def clamp(top_k: int, most: int = DEFAULTS.top_k_most) -> int:
     return max(1, min(top_k, most))
 
 
-def _unit(vectors: pa.Array, dims: int) -> np.ndarray:
-    lengths = vectors.value_lengths()
-    if lengths.null_count or vectors.flatten().null_count or (lengths.to_numpy() != dims).any():
-        raise ValueError(f"every vector has to have {dims} components, none of them null")
-    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dims)
-    norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
-
-
-def _blocks(queries: DataFrame) -> Iterator[pa.Table]:
-    """Tables of at most ``MAX_QUERIES`` queries, which hold all of them; only one is read at a time."""
-    asked = queries.select("qid", "variant", "embedding")
-    some = asked.limit(MAX_QUERIES + 1).toArrow()
-    if some.num_rows <= MAX_QUERIES:
-        parts = 1
-    else:
-        parts = -(-asked.count() // MAX_QUERIES) + 1
-    for part in range(parts):
-        if parts > 1:
-            some = asked.where(F.pmod(F.xxhash64("qid", "variant"), F.lit(parts)) == part).toArrow()
-        for at in range(0, some.num_rows, MAX_QUERIES):
-            yield some.slice(at, MAX_QUERIES)
-
-
 def top_k(points: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(qid, variant, id, score, rank): the best ``k`` points of every query, ties by id.
 
-    Scores are rounded to nine places, so that they don't depend on how rows are batched.
-    A point without a vector is never found; vectors of other lengths than the first
-    query's, or with null components, are an error.
+    Up to ``MAX_QUERIES`` queries go to every task that reads points. More are dealt with
+    the points in tiles, every query to a tile of each stripe of points. Scores are rounded
+    to nine places, so that they don't depend on how rows are batched. A point without a
+    vector is never found; vectors of other lengths than the first query's, or with null
+    components, are an error.
     """
-    kind = points.schema["id"].dataType.simpleString()
-    schema = f"qid long, variant int, id {kind}, score double"
+    spark = points.sparkSession
+    asked = queries.select("qid", "variant", "embedding")
     scored = points.where("embedding is not null").select("id", "embedding")
+    some = asked.limit(MAX_QUERIES + 1).toArrow()
+    if not some.num_rows:
+        return spark.createDataFrame([], f"qid long, variant int, id {points.schema['id'].dataType.simpleString()}, score double, rank int")
+    dims = len(some.column("embedding")[0])
+    found = _sent(scored, some, dims, k) if some.num_rows <= MAX_QUERIES else _dealt(scored, asked, dims, k)
+    return ranked(found, k)
+
 
-    def found(batch: pa.Table) -> DataFrame:
-        vectors = batch.column("embedding").combine_chunks()
-        dims = len(vectors[0])
-        asked = points.sparkSession.sparkContext.broadcast((batch.column("qid").to_numpy(), batch.column("variant").to_numpy(), _unit(vectors, dims)))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            qids, variants, every = asked.value
-            for some in (b.slice(at, TILE) for b in batches for at in range(0, b.num_rows, TILE)):
-                unit = _unit(some.column("embedding"), dims)
-                for at in range(0, len(qids), STEP):
-                    qid, variant, q = (x[at : at + STEP] for x in (qids, variants, every))
-                    score = np.round(unit @ q.T, 9)
-                    n = len(score)
-                    if n > k:  # all points as good as the k-th, so that ties are decided later
-                        least = np.partition(score, n - k, 0)[n - k]
-                        row, col = np.nonzero(score >= least)
-                    else:
-                        row, col = np.divmod(np.arange(score.size), len(qid))
-                    yield pa.RecordBatch.from_arrays([pa.array(qid[col]), pa.array(variant[col].astype(np.int32)), some.column("id").take(pa.array(row)), pa.array(score[row, col])], names=["qid", "variant", "id", "score"])
-
-        return scored.mapInArrow(run, schema)
-
-    passes = [found(batch) for batch in _blocks(queries)]
-    if not passes:
-        return points.sparkSession.createDataFrame([], schema + ", rank int")
+def ranked(found: DataFrame, k: int) -> DataFrame:
+    """``found`` (qid, variant, id, score) with rank, the best ``k`` of every query."""
     rank = F.row_number().over(Window.partitionBy("qid", "variant").orderBy(F.desc("score"), "id"))
-    return reduce(DataFrame.unionByName, passes).withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _sent(points: DataFrame, some: pa.Table, dims: int, k: int) -> DataFrame:
+    """The best ``k`` of each batch of points, queries being sent to all tasks."""
+    vectors = some.column("embedding").combine_chunks()
+    asked = points.sparkSession.sparkContext.broadcast((some.column("qid").to_numpy(), some.column("variant").to_numpy(), tiles.unit(vectors, dims)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, TILE) for b in batches for at in range(0, b.num_rows, TILE)):
+            yield from tiles.scored(batch.column("id"), tiles.unit(batch.column("embedding"), dims), *asked.value, k)
+
+    return points.mapInArrow(run, f"qid long, variant int, id {points.schema['id'].dataType.simpleString()}, score double")
+
+
+def _dealt(points: DataFrame, asked: DataFrame, dims: int, k: int) -> DataFrame:
+    """The best ``k`` of each stripe of points, stripes and groups of queries being dealt in tiles."""
+    stripes = tiles.stripes_of(points.count(), dims)
+    groups = max(1, points.sparkSession.sparkContext.defaultParallelism // stripes)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = points.withColumn("stripe", F.pmod(F.xxhash64("id"), F.lit(stripes)).cast("int")).select("*", every(groups).alias("part"))
+    right = asked.withColumn("part", F.pmod(F.xxhash64("qid", "variant"), F.lit(groups)).cast("int")).select("*", every(stripes).alias("stripe"))
+    return tiles.tile_top_k(left, right, k, ["stripe", "part"], dims)
 
 
 def fuse(ranked: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:
@@ -97,18 +81,26 @@ def fuse(ranked: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:
     return summed.select("qid", "id", "score", "rrf", F.row_number().over(order).alias("place"))
 
 
-def gated_search(points: DataFrame, queries: DataFrame, limit: int, gate: float = DEFAULTS.gate, least: float = DEFAULTS.score_least, width: int = DEFAULTS.candidates) -> DataFrame:
+def fuse_ranks(lists: DataFrame, k: int = DEFAULTS.rrf_k) -> DataFrame:
+    """(qid, id, rrf, place): lists (qid, variant, id, rank) of unlike scores fused by their reciprocal ranks alone, ties by id."""
+    summed = lists.groupBy("qid", "id").agg(F.sum(1 / (k + F.col("rank"))).alias("rrf"))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("rrf", 12)), "id")
+    return summed.withColumn("place", F.row_number().over(order))
+
+
+def gated_search(points: DataFrame, queries: DataFrame, limit: int, gate: float = DEFAULTS.gate, least: float = DEFAULTS.score_least, width: int = DEFAULTS.candidates, find: Callable[[DataFrame, DataFrame, int], DataFrame] = top_k) -> DataFrame:
     """(qid, id, score, place, expanded): variants are searched only for queries whose best score is below ``gate``.
 
     The second pass takes ``width`` points of every variant, fuses them, cuts to
-    ``width``, then drops scores below ``least`` and cuts to ``limit``.
+    ``width``, then drops scores below ``least`` and cuts to ``limit``. find: ``top_k``, or
+    the search of an index.
     """
-    first = top_k(points, queries.where("variant = 0"), limit)
+    first = find(points, queries.where("variant = 0"), limit)
     best = queries.where("variant = 0").select("qid").distinct().join(first.groupBy("qid").agg(F.max("score").alias("best")), "qid", "left")
     several = queries.groupBy("qid").agg(F.count("*").alias("n")).where("n > 1").select("qid")
     hard = best.where(F.col("best").isNull() | (F.col("best") < gate)).join(several, "qid", "left_semi").select("qid")
     easy = first.join(hard, "qid", "left_anti").select("qid", "id", "score", F.col("rank").alias("place"), F.lit(False).alias("expanded"))
-    second = fuse(top_k(points, queries.join(hard, "qid", "left_semi"), width)).where((F.col("place") <= width) & (F.col("score") >= least) & (F.col("place") <= limit))
+    second = fuse(find(points, queries.join(hard, "qid", "left_semi"), width)).where((F.col("place") <= width) & (F.col("score") >= least) & (F.col("place") <= limit))
     return easy.unionByName(second.select("qid", "id", "score", "place", F.lit(True).alias("expanded")))
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import storage, text, vectors
-from lodeseek.operators import chunking, code_chunks, graph, pages, search
+from lodeseek.operators import ann, chunking, code_chunks, graph, pages, search, sparse
 from lodeseek.sources import store
 from lodeseek.sources.shared import shared_dir
 
@@ -147,6 +147,52 @@ def code_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(search.code_top_k(_points(spark, sf_dir), _first(spark, sf_dir), TOP, LEAST).select("qid", "id", "score", "rank"))
 
 
+@_query(ORACLE["vector_topk"])
+def ivf_topk_all_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of all points, searched in all of its cells."""
+    index = ann.build(_points(spark, sf_dir), f"{shared_dir(spark)}/lodeseek-ivf-{uuid.uuid4().hex}")
+    return _rounded(index.search(_first(spark, sf_dir), TOP).select("qid", "id", "score", "rank"))
+
+
+@_query()
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many of the true best points of each query the index finds with as many probes as calibration asks for."""
+    index = ann.build(_points(spark, sf_dir), f"{shared_dir(spark)}/lodeseek-ivf-{uuid.uuid4().hex}")
+    asked = _first(spark, sf_dir)
+    return ann.recall(index.search(asked, TOP, index.probes_for(asked, TOP, 0.95)), search.top_k(_points(spark, sf_dir), asked, TOP))
+
+
+def _bm25(queries: str, k: int) -> str:
+    """CTEs that end in ``bm25`` (qid, id, score, rank) for ``queries`` (qid, text) over all documents."""
+    return f"""dl AS (SELECT doc_id AS id, regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+') AS w FROM documents),
+    total AS (SELECT count(*) AS n, avg(len(w)) AS mean FROM dl), tf AS (SELECT id, len(w) AS size, term, count(*) AS n FROM (SELECT id, w, unnest(w) AS term FROM dl) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS d FROM tf GROUP BY term), qt AS (SELECT qid, term, count(*) AS n FROM (SELECT qid, unnest(regexp_extract_all(lower(coalesce(text, '')), '[\\p{{L}}\\p{{N}}]+')) AS term FROM {queries}) GROUP BY ALL),
+    bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM (
+        SELECT qid, id, round(sum(qt.n * ln(1 + (total.n - d + 0.5) / (d + 0.5)) * tf.n * 2.2 / (tf.n + 1.2 * (0.25 + 0.75 * size / mean))), 9) AS score FROM qt JOIN df USING (term) JOIN tf USING (term), total GROUP BY qid, id)) WHERE rank <= {k})"""
+
+
+def _sparse(spark: SparkSession, sf_dir: str) -> sparse.Bm25:
+    return sparse.build(_table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/lodeseek-sparse-{uuid.uuid4().hex}", "doc_id")
+
+
+@_query(f"WITH q AS (SELECT item_id AS qid, text FROM benchmark), {_bm25('q', TOP)} SELECT qid, id, round(score, 6) AS score, CAST(rank AS INT) AS rank FROM bm25")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that fit each benchmark item best by their words."""
+    asked = _table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.lit(0).alias("variant"), "text")
+    return _rounded(_sparse(spark, sf_dir).search(asked, TOP).select("qid", "id", "score", "rank"))
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(WIDTH, 'q0')}, q AS (SELECT doc_id AS qid, text FROM documents WHERE doc_id IN (SELECT qid FROM q0)), {_bm25('q', WIDTH)},
+    fused AS (SELECT qid, id, sum(1.0 / (60 + rank)) AS rrf FROM (SELECT qid, id, rank FROM ranked UNION ALL SELECT qid, id, rank FROM bm25) GROUP BY qid, id)
+    SELECT qid, id, round(rrf, 6) AS rrf, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(rrf, 12) DESC, id) AS INT) AS place FROM fused""")
+def hybrid_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vector and word search for the documents of the query vectors, fused by ranks."""
+    dense = _first(spark, sf_dir)
+    asked = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("qid"), F.lit(1).alias("variant"), "text").join(dense.select("qid").distinct(), "qid", "left_semi")
+    lists = search.top_k(_points(spark, sf_dir), dense, WIDTH).unionByName(_sparse(spark, sf_dir).search(asked, WIDTH))
+    return _rounded(search.fuse_ranks(lists))
+
+
 @_query("SELECT source AS value, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, value LIMIT 50")
 def facet_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.facets(_table(spark, sf_dir, "documents"), "source")
