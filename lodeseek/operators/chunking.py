@@ -1,6 +1,10 @@
 """Documents to chunks: lines, fences, headings, sections, packed paragraphs.
 
-Order matters throughout, so lines carry their position and windows run over one document.
+Order matters throughout, so lines carry their position. A long document is scanned in
+segments of ``SEGMENT`` lines: what a segment does to the state of the scan (fences opened,
+headings set) is summed up on its own, the sums are composed over the document's segments,
+of which there are few, and each segment is then read with the state it starts from. So
+windows over lines run over one segment.
 """
 
 from __future__ import annotations
@@ -13,6 +17,28 @@ from lodeseek.functions.text import document_chunk_id, lines, strip
 
 _HEADING = r"^(#{1,6})\s+(.*)$"
 _LEVELS = range(1, 7)
+#: Lines of a segment.
+SEGMENT = 20_000
+
+
+def _segment() -> Column:
+    return F.expr(f"pos div {SEGMENT}").cast("int")
+
+
+def _before(key: str) -> Window:
+    """The segments of a document before one."""
+    return Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _so_far(key: str) -> Window:
+    """The lines of a segment up to one."""
+    return Window.partitionBy(key, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+
+
+def _with_state(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of ``state``, the state at the start of their segment; a null key is a key."""
+    known = state.withColumnsRenamed({key: "state_key", "segment": "state_segment"})
+    return rows.join(known, rows[key].eqNullSafe(known["state_key"]) & (rows["segment"] == known["state_segment"])).drop("state_key", "state_segment")
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,10 +46,12 @@ def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
     A line of three backticks opens or closes a fence and belongs to it as text.
     """
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("segment", _segment())
     fence = F.col("line").rlike(r"^\s*```")
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    inside = F.sum(fence.cast("int")).over(upto) % 2 == 1
+    fences = each.groupBy(key, "segment").agg(F.count_if(fence).alias("fences"))
+    state = fences.select(key, "segment", F.coalesce(F.sum("fences").over(_before(key)), F.lit(0)).alias("opened"))
+    each = _with_state(each, state, key)
+    inside = (F.col("opened") + F.sum(fence.cast("int")).over(_so_far(key))) % 2 == 1
     heading = ~fence & ~F.col("inside") & F.col("line").rlike(_HEADING)
     level = F.when(heading, F.length(F.regexp_extract("line", _HEADING, 1))).otherwise(0)
     title = F.when(heading, strip(F.regexp_extract("line", _HEADING, 2)))
@@ -35,9 +63,15 @@ def heading_trail(marked: DataFrame, key: str) -> DataFrame:
 
     The title of a level holds until a heading of the same or a higher level follows.
     """
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    last = [F.last(F.when(F.col("level") == k, F.struct("pos", "title")), True).over(upto).alias(f"h{k}") for k in _LEVELS]
-    rows = marked.select("*", F.sum((F.col("level") > 0).cast("int")).over(upto).alias("section"), *last)
+    rows = marked.withColumn("segment", _segment())
+    at = {k: F.when(F.col("level") == k, F.struct("pos", "title")) for k in _LEVELS}
+    ends = rows.groupBy(key, "segment").agg(F.count_if(F.col("level") > 0).alias("headings"), *[F.max(at[k]).alias(f"last{k}") for k in _LEVELS])
+    carried = [F.last(f"last{k}", True).over(_before(key)).alias(f"before{k}") for k in _LEVELS]
+    state = ends.select(key, "segment", F.coalesce(F.sum("headings").over(_before(key)), F.lit(0)).alias("closed"), *carried)
+    upto = _so_far(key)
+    last = [F.coalesce(F.last(at[k], True).over(upto), F.col(f"before{k}")).alias(f"h{k}") for k in _LEVELS]
+    section = F.col("closed") + F.sum((F.col("level") > 0).cast("int")).over(upto)
+    rows = _with_state(rows, state, key).select(*marked.columns, section.alias("section"), *last)
     alive: list[Column] = []
     for k in _LEVELS:
         above = [F.coalesce(F.col(f"h{j}.pos"), F.lit(-1)) for j in _LEVELS if j < k]
@@ -84,10 +118,11 @@ def chunk_ids(made: DataFrame, source: Column, source_id: Column) -> DataFrame:
 
 def asciidoc_to_markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, markdown): blocks become fences; images, attributes and index entries go."""
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("segment", _segment())
     mark = F.col("line").rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,})\s*$")
-    upto = Window.partitionBy(key).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    rows = each.withColumns({"mark": mark, "code": F.sum(mark.cast("int")).over(upto) % 2 == 1})
+    marks_ = each.groupBy(key, "segment").agg(F.count_if(mark).alias("marks"))
+    each = _with_state(each, marks_.select(key, "segment", F.coalesce(F.sum("marks").over(_before(key)), F.lit(0)).alias("opened")), key)
+    rows = each.withColumns({"mark": mark, "code": (F.col("opened") + F.sum(mark.cast("int")).over(_so_far(key))) % 2 == 1})
     plain = F.regexp_replace("line", r"\(\(\([^)]*\)\)\)", "")
     dropped = F.col("line").rlike("^image::") | plain.rlike(r"^\[.*\]\s*$")
     heading = r"^(=+)\s+(.*)$"

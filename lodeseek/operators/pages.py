@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeseek.functions.storage import to_markdown
 from lodeseek.functions.text import safe_name
-from lodeseek.sources.shared import levels, written
+from lodeseek.sources.shared import forget, levels, written
 
 
 def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = None) -> DataFrame:
@@ -34,6 +34,34 @@ def subtree_counts(tree: DataFrame) -> DataFrame:
     return tree.groupBy("root").agg(F.count("*").alias("pages"))
 
 
+def subtree_sizes(edges: DataFrame) -> DataFrame:
+    """(root, pages) of every page in ``edges`` (id, parent): the pages in its subtree, itself included.
+
+    By doubling: a page knows how many there are up to 2**k levels below it and its
+    ancestor 2**k levels above; pages add their number to that ancestor's. It takes as many
+    rounds as the depth has bits, each an aggregate and a join over the pages. Pages with
+    several parents, on a cycle or below one are counted by way of ``descendants``.
+    """
+    pairs = edges.select("id", "parent").where("id is not null").distinct()
+    known = pairs.where("parent is not null")
+    ids = pairs.select("id").unionByName(known.select(F.col("parent").alias("id"))).distinct()
+    if not known.groupBy("id").count().where("count > 1").isEmpty():
+        return subtree_counts(descendants(known, ids))
+    now = written(ids.join(known, "id", "left").select("id", F.col("parent").alias("above"), F.lit(1).cast("long").alias("pages")))
+    total, rounds = now.count(), 0
+    while not now.where("above is not null").isEmpty():
+        if 1 << rounds > total:  # whoever still has an ancestor so far up is on a cycle or below one
+            break
+        gained = now.where("above is not null").groupBy(F.col("above").alias("id")).agg(F.sum("pages").alias("more"))
+        further = now.select(F.col("id").alias("above"), F.col("above").alias("next"))
+        before, now = now, written(now.join(further, "above", "left").join(gained, "id", "left").select("id", F.col("next").alias("above"), (F.col("pages") + F.coalesce("more", F.lit(0))).alias("pages")))
+        forget(before)
+        rounds += 1
+    done = now.where("above is null").select(F.col("id").alias("root"), "pages")
+    cyclic = now.where("above is not null").select("id")
+    return done if cyclic.isEmpty() else done.unionByName(subtree_counts(descendants(known, cyclic)))
+
+
 def first_occurrences(listed: DataFrame) -> DataFrame:
     """Pages (root_ord, pos, id, ...) once each, as they are listed first."""
     nth = F.row_number().over(Window.partitionBy("id").orderBy("root_ord", "pos"))

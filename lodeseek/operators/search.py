@@ -9,6 +9,7 @@ searches that don't read all points.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -134,12 +135,23 @@ def facets(points: DataFrame, column: str, most: int = DEFAULTS.facet_most) -> D
     return points.groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "value").limit(most)
 
 
-def filtered(points: DataFrame, **wanted: str | None) -> DataFrame:
-    """Equality filters; an empty value asks for nothing. A value that the facets don't list is an error."""
-    for column, value in wanted.items():
-        if not value:
-            continue
-        known = [r.value for r in facets(points, column).collect()]
+def filtered(points: DataFrame, counts: DataFrame | None = None, /, **wanted: str | None) -> DataFrame:
+    """Equality filters; an empty value asks for nothing. A value that the facets don't list is an error.
+
+    counts: (column, value, n) as a store keeps them, so that points aren't read to know
+    the values; without them, they are counted.
+    """
+    asked = {c: v for c, v in wanted.items() if v}
+    if not asked:
+        return points
+    if counts is None:
+        each = [facets(points, c).select(F.lit(c).alias("column"), F.col("value").cast("string").alias("value")) for c in asked]
+        listed = reduce(DataFrame.unionByName, each).collect()
+    else:
+        order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+        listed = counts.where(F.col("column").isin(*asked)).withColumn("place", F.row_number().over(order)).where(F.col("place") <= DEFAULTS.facet_most).select("column", "value").collect()
+    for column, value in asked.items():
+        known = [r.value for r in listed if r.column == column]
         if known and value not in known:
             raise ValueError(f"{column} has no value {value!r}; it has {', '.join(sorted(str(k) for k in known))}")
         points = points.where(F.col(column) == value)

@@ -447,6 +447,32 @@ def store_upsert_and_purge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table.read()
 
 
+@_query(ORACLE["store_upsert_and_purge"])
+def store_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same store in smaller steps (by key, then whole partitions folded), which gives the same rows."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    table = store.Store(spark, f"{shared_dir(spark)}/lodeseek-store-{uuid.uuid4().hex}", "source string, doc_id long, lang string, state string")
+    fresh = docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("state", F.lit("new"))
+    table.write(docs.withColumn("state", F.lit("old")))
+    for half in (0, 1):
+        table.upsert(fresh.where(F.col("doc_id") % 2 == half), ("source", "doc_id"))
+    table.purge(docs.where("doc_id % 10 = 3").select("source", "doc_id"))
+    table.compact()
+    return table.read()
+
+
+@_query("""WITH d AS (SELECT source, CASE WHEN n.doc_id IS NULL THEN lang ELSE 'new' END AS lang FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) n USING (doc_id) WHERE d.doc_id % 10 <> 3)
+    SELECT 'source' AS "column", source AS value, count(*) AS n FROM d GROUP BY source UNION ALL SELECT 'lang', lang, count(*) FROM d GROUP BY lang""")
+def kept_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of values that a store keeps through an upsert and a purge."""
+    docs = _table(spark, sf_dir, "documents").select("source", "doc_id", "lang")
+    table = store.Store(spark, f"{shared_dir(spark)}/lodeseek-store-{uuid.uuid4().hex}", "source string, doc_id long, lang string", facets=("source", "lang"))
+    table.write(docs)
+    table.upsert(docs.join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_semi").withColumn("lang", F.lit("new")), ("source", "doc_id"))
+    table.purge(docs.where("doc_id % 10 = 3").select("source", "doc_id"))
+    return table.facets()
+
+
 @_query("""SELECT doc_id, '# ' || doc_id || chr(10) || chr(10) || '### Deep ' || lang || chr(10) || chr(10) || '```sql' || chr(10) || 'SELECT ' || doc_id || ' < 3' || chr(10) || '```' || chr(10) || chr(10) || '> note ' || source || chr(10) || chr(10)
     || '- ' || source || chr(10) || '  1. in ' || lang || chr(10) || '- end' || chr(10) || chr(10) || '| a | b |' || chr(10) || '| --- | --- |' || chr(10) || '| ' || doc_id || ' |  |' || chr(10) || chr(10) || '```' || chr(10) || 'x  y' || chr(10) || '```' || chr(10) || chr(10) || 'see «' || source || '» & — it' || chr(10) AS markdown FROM documents""")
 def storage_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -13,6 +13,7 @@ from lodeseek.operators import search
 
 Embedder = Callable[[DataFrame], DataFrame]
 Reranker = Callable[[DataFrame], DataFrame]
+Finder = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
 def _questions(asked: DataFrame) -> None:
@@ -20,20 +21,22 @@ def _questions(asked: DataFrame) -> None:
         raise ValueError("a question is empty")
 
 
-def kb_search(points: DataFrame, asked: DataFrame, embed: Embedder, top_k: int = DEFAULTS.top_k, source: str | None = None, space: str | None = None, detailed: bool = False, variants: DataFrame | None = None, rerank: Reranker | None = None, settings: Settings = DEFAULTS) -> tuple[DataFrame, DataFrame]:
+def kb_search(points: DataFrame, asked: DataFrame, embed: Embedder, top_k: int = DEFAULTS.top_k, source: str | None = None, space: str | None = None, detailed: bool = False, variants: DataFrame | None = None, rerank: Reranker | None = None, settings: Settings = DEFAULTS, facets: DataFrame | None = None, find: Finder = search.top_k) -> tuple[DataFrame, DataFrame]:
     """(hits, answers) for ``asked`` (qid, query).
 
     embed: gives (qid, variant, query) an ``embedding``. variants: (qid, variant, query),
     variants from 1. rerank: gives (qid, id, query, text) a ``rerank`` score. answers:
     (qid, found, dropped, reason, citation), reason being null where there are hits.
+    facets: counts that a store keeps, for the filters. find: ``search.top_k`` over the
+    filtered points, or another search of them.
     """
     _questions(asked)
     limit = search.clamp(top_k, settings.top_k_most)
-    points = search.filtered(points, source=source, space=space)
+    points = search.filtered(points, facets, source=source, space=space)
     every = asked.select("qid", F.lit(0).alias("variant"), "query")
     every = every if variants is None else every.unionByName(variants.select("qid", "variant", "query"))
     wide = settings.candidates if rerank else limit
-    found = search.gated_search(points, embed(every), wide, settings.gate, settings.score_least, settings.candidates)
+    found = search.gated_search(points, embed(every), wide, settings.gate, settings.score_least, settings.candidates, find)
     counted = found.groupBy("qid").agg(F.count("*").alias("all"), F.count_if(F.col("score") < settings.score_least).alias("low"))
     if rerank:
         scores = rerank(found.select("qid", "id").join(points.select("id", "text"), "id").join(asked, "qid"))
@@ -49,9 +52,9 @@ def kb_search(points: DataFrame, asked: DataFrame, embed: Embedder, top_k: int =
     return (search.detailed if detailed else search.concise)(hits), answers
 
 
-def code_search(points: DataFrame, asked: DataFrame, embed: Embedder, top_k: int = DEFAULTS.top_k, repo: str | None = None, full: bool = False, settings: Settings = DEFAULTS) -> DataFrame:
+def code_search(points: DataFrame, asked: DataFrame, embed: Embedder, top_k: int = DEFAULTS.top_k, repo: str | None = None, full: bool = False, settings: Settings = DEFAULTS, facets: DataFrame | None = None) -> DataFrame:
     """Rows of code for ``asked`` (qid, query); an empty question has none."""
     asked = asked.where(strip(F.col("query")) != "").select("qid", F.lit(0).alias("variant"), "query")
-    found = search.code_top_k(search.filtered(points, repo=repo), embed(asked), top_k, settings.code_score_least)
+    found = search.code_top_k(search.filtered(points, facets, repo=repo), embed(asked), top_k, settings.code_score_least)
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     return search.code_rows(found.withColumn("place", place).join(points.drop("embedding"), "id"), full)

@@ -10,13 +10,14 @@ from pyspark.sql.streaming import StreamingQuery
 from lodeseek.sources.store import Store
 
 
-def ingest(rows: DataFrame, store: Store, index: Callable[[DataFrame], DataFrame], checkpoint: str) -> StreamingQuery:
-    """Reads what there is of ``rows`` (a streaming DataFrame) and upserts ``index`` of each batch.
+def ingest(rows: DataFrame, store: Store, index: Callable[[DataFrame], DataFrame], checkpoint: str, keys: tuple[str, ...] = ("source", "source_id")) -> StreamingQuery:
+    """Reads what there is of ``rows`` (a streaming DataFrame) and upserts ``index`` of each batch by ``keys``.
 
-    An upsert by key gives the same table when a batch comes again after a failure.
+    The store notes the batch with the version that it makes, by the stream's checkpoint,
+    so one that comes again after a failure changes nothing.
     """
 
-    def upsert(batch: DataFrame, _: int) -> None:
-        store.upsert(index(batch))
+    def upsert(batch: DataFrame, number: int) -> None:
+        store.upsert(index(batch), keys, stream=(checkpoint, number))
 
     return rows.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
