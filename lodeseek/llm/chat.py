@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import let, running
+
 BEGIN, TEXT, NEXT, END = "<s>[TURN]", "[TEXT]", "[NEXT]", "</s>"
 #: What texts may not hold as it is: this template's controls and those of its relatives.
 _CONTROLS = r"/?s>|/?INST\]|/?SYS\]|TURN\]|TEXT\]|NEXT\]"
@@ -40,30 +42,51 @@ def _split(text: Column, mark: str) -> Column:
 
 
 def _loss_spans(blocks: Column, loss_role: str) -> Column:
-    none = F.array().cast("array<struct<start:int,end:int>>")
+    """(start, end, turn) of the texts of a role, from the sizes of the turns' pieces."""
+
+    def pieces(b: Column) -> Column:
+        last = F.size(b["texts"]) - 1
+        lead = lambda i: F.when(i == 0, F.length(b["role"]) + len(BEGIN) + len(TEXT)).otherwise(len(NEXT))
+        tail = lambda i: F.when(i == last, len(END)).otherwise(0)
+        return F.transform(b["texts"], lambda t, i: F.struct(lead(i).alias("lead"), F.length(t).alias("size"), tail(i).alias("tail"), (b["role"] == loss_role).alias("counts")))
+
+    def spans(parts: Column, starts: Column) -> Column:
+        start = lambda p, i: (F.get(starts, i) + p["lead"]).cast("int")
+        each = F.transform(parts, lambda p, i: F.struct(start(p, i).alias("start"), (start(p, i) + p["size"]).alias("end"), i.alias("turn"), p["counts"].alias("counts")))
+        return F.transform(F.filter(each, lambda s: s["counts"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["turn"].alias("turn")))
+
+    sizes = lambda parts: F.transform(parts, lambda p: p["lead"] + p["size"] + p["tail"])
+    return let(F.flatten(F.transform(blocks, pieces)), lambda parts: let(running(sizes(parts)), lambda starts: spans(parts, starts)))
+
+
+def _blocks(turns: Column) -> Column:
+    """(role, texts), escaped, of runs of adjacent turns of one role."""
 
-    def part(acc: Column, text: Column, counts: Column) -> Column:
-        end = acc["at"] + F.length(text)
-        span = F.array(F.struct(acc["at"].alias("start"), end.alias("end")))
-        return F.struct((end + len(NEXT)).alias("at"), F.when(counts, F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+    def merged(each: Column, starts: Column) -> Column:
+        runs = F.transform(starts, lambda s, k: F.slice(each, s + 1, F.coalesce(F.get(starts, k + 1), F.size(each)) - s))
+        return F.transform(runs, lambda r: F.struct(escaped(F.get(r, F.lit(0))["role"]).alias("role"), F.transform(r, lambda t: escaped(t["text"])).alias("texts")))
 
-    def block(acc: Column, b: Column) -> Column:
-        first = F.struct((acc["at"] + len(BEGIN) + F.length(b["role"]) + len(TEXT)).alias("at"), acc["spans"].alias("spans"))
-        return F.aggregate(b["texts"], first, lambda a, t: part(a, t, b["role"] == loss_role), lambda a: F.struct((a["at"] - len(NEXT) + len(END)).alias("at"), a["spans"].alias("spans")))
+    def begins(each: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(each) - 1), lambda i: (i == 0) | (F.get(each, i)["role"] != F.get(each, i - 1)["role"]))
 
-    return F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("spans")), block, lambda a: a["spans"])
+    return let(turns, lambda each: let(begins(each), lambda starts: merged(each, starts)))
 
 
 def format_conversations(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", loss_role: str = LOSS_ROLE) -> DataFrame:
-    """(conv, formatted, loss_spans) for each conversation; other columns are left out."""
+    """(conv, formatted, loss_spans) for each conversation; other columns are left out.
+
+    loss_spans: (start, end, turn) of each text of ``loss_role``, in code points of the
+    formatted text, and which of the conversation's turns it is.
+    """
     one = F.struct(F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     rows = turns.groupBy(F.col(conv).alias("conv")).agg(F.array_sort(F.collect_list(one)).alias("turns"))
-    fresh = lambda i: (i == 0) | (F.get("turns", i)["role"] != F.get("turns", i - 1)["role"])
-    rows = rows.withColumn("starts", F.filter(F.sequence(F.lit(0), F.size("turns") - 1), fresh))
-    merged = F.transform("starts", lambda s, k: F.slice("turns", s + 1, F.coalesce(F.get("starts", k + 1), F.size("turns")) - s))
-    rows = rows.select("conv", F.transform(merged, lambda b: F.struct(escaped(F.get(b, F.lit(0))["role"]).alias("role"), F.transform(b, lambda t: escaped(t["text"])).alias("texts"))).alias("blocks"))
-    joined = F.transform("blocks", lambda b: F.concat(F.lit(BEGIN), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END)))
-    return rows.select(F.col("conv").alias(conv), F.array_join(joined, "").alias("formatted"), _loss_spans(F.col("blocks"), loss_role).alias("loss_spans"))
+
+    def formatted(blocks: Column) -> Column:
+        joined = F.transform(blocks, lambda b: F.concat(F.lit(BEGIN), b["role"], F.lit(TEXT), F.array_join(b["texts"], NEXT), F.lit(END)))
+        return F.struct(F.array_join(joined, "").alias("formatted"), _loss_spans(blocks, loss_role).alias("loss_spans"))
+
+    done = rows.select("conv", let(_blocks(F.col("turns")), formatted).alias("done"))
+    return done.select(F.col("conv").alias(conv), "done.formatted", "done.loss_spans")
 
 
 def read_back(formatted: Column) -> Column:
@@ -80,8 +103,13 @@ def read_back(formatted: Column) -> Column:
 
 
 def under_mask(formatted: Column, spans: Column) -> Column:
-    """The unescaped texts under the loss mask."""
-    return F.transform(spans, lambda s: unescaped(F.substr(formatted, s["start"] + 1, s["end"] - s["start"])))
+    """The unescaped texts under the loss mask; each is cut from its own turn's piece of the formatted text."""
+    pieces = F.split(formatted, r"(?=<s>\[TURN\]|\[NEXT\])", -1)
+
+    def cut_out(parts: Column, starts: Column) -> Column:
+        return F.transform(spans, lambda s: unescaped(F.substr(F.get(parts, s["turn"]), (s["start"] - F.get(starts, s["turn"]) + 1).cast("int"), s["end"] - s["start"])))
+
+    return let(pieces, lambda parts: let(running(F.transform(parts, F.length)), lambda starts: cut_out(parts, starts)))
 
 
 def digests(conversations: DataFrame) -> DataFrame:

@@ -9,11 +9,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: The bytes of ``[\x20\x09-\x0D]``.
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -68,6 +69,35 @@ def own_name(df: DataFrame, stem: str) -> str:
     return name
 
 
+def let(value: Column, make: Callable[[Column], Column]) -> Column:
+    """``make`` of a value that is computed once, however often it is used."""
+    return F.get(F.transform(F.array(value), make), F.lit(0))
+
+
+def running(sizes: Column) -> Column:
+    """For each entry of an array of integers, the sum of those before it.
+
+    In blocks of the root of its size, so the work grows with its 1.5th power; an
+    accumulator that carries the sums so far would be copied at every step.
+    """
+    add = lambda a, x: a + x
+    none = F.lit(0).cast("long")
+
+    def within(each: Column, wide: Column) -> Column:
+        total = lambda at, n: F.aggregate(F.slice(each, at, n), none, add)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(each) - 1) / wide).cast("int")), lambda b: total(b * wide + 1, wide))
+
+        def out(sums: Column) -> Column:
+            starts = F.transform(sums, lambda _, b: F.aggregate(F.slice(sums, F.lit(1), b), none, add))
+            return let(starts, lambda before: F.transform(each, lambda _, i: F.get(before, F.floor(i / wide).cast("int")) + total(i - i % wide + 1, i % wide)))
+
+        return let(blocks, out)
+
+    wide = lambda each: F.ceil(F.sqrt(F.size(each))).cast("int")
+    made = let(F.transform(sizes, lambda x: x.cast("long")), lambda each: F.when(F.size(each) > 0, let(wide(each), lambda w: within(each, w))).otherwise(F.array().cast("array<bigint>")))
+    return made
+
+
 def strings(column: pa.Array | pa.ChunkedArray) -> pa.Array:
     """One LargeString array without nulls (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
