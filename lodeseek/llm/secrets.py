@@ -20,7 +20,7 @@ from re import _parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, own_name
+from .common import cut, let, own_name, running
 
 
 @dataclass(frozen=True)
@@ -158,15 +158,17 @@ def _matches(text: Column, rule: Rule) -> Column:
     gaps = F.transform(F.split(text, rule.pattern, -1), F.length)
     kept = F.transform(F.regexp_extract_all(text, pattern, F.lit(rule.group)), lambda g: F.length(g) >= rule.least)
     zipped = F.arrays_zip(gaps.alias("gap"), lengths.alias("size"), kept.alias("keep"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
 
-    def step(acc: Column, x: Column) -> Column:
-        a = acc["at"] + x["gap"]
-        b = a + F.coalesce(x["size"], F.lit(0))
-        one = F.array(F.struct(a.alias("start"), b.alias("end")))
-        return F.struct(b.alias("at"), F.when(x["keep"], F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    def placed(pieces: Column) -> Column:
+        ends = running(F.transform(pieces, lambda x: x["gap"] + F.coalesce(x["size"], F.lit(0))))
 
-    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+        def spans(before: Column) -> Column:
+            each = F.transform(pieces, lambda x, i: F.struct((F.get(before, i) + x["gap"]).cast("int").alias("start"), (F.get(before, i) + x["gap"] + x["size"]).cast("int").alias("end"), x["keep"].alias("keep")))
+            return F.transform(F.filter(each, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+        return let(ends, spans)
+
+    return let(zipped, placed)
 
 
 def _spans(text: Column, rule: Rule, place: int, asked: Column) -> Column:
