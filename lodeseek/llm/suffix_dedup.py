@@ -348,7 +348,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     which need not be valid UTF-8; ``n_spans`` counts maximal removed runs.
     """
     rows, ranges = repeated_ranges(docs, key, text, length, keep)
-    lists = ranges.groupBy("key", "mark").agg(F.collect_list(F.struct("lo", "n")).alias("ranges"))
+    lists = ranges.groupBy("key", "mark").agg(F.collect_set(F.struct("lo", "n")).alias("ranges"))  # a repeated row brings its ranges again
     met = rows.join(lists, rows.key.eqNullSafe(lists.key) & (rows.mark == lists.mark), "left").select(rows.key, "text", "ranges")
 
     def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
