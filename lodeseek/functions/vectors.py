@@ -77,6 +77,34 @@ def embedder(call: Callable[[list[str]], list], dims: int, batch: int = 64) -> C
     return run
 
 
+def reranker(call: Callable[[str, list[str]], list[dict]]) -> Callable[[DataFrame], DataFrame]:
+    """A function from candidates (qid, id, query, text) to scores (qid, id, rerank), one call a query.
+
+    call: gives items with the index of a text and its score. Items with an index or a
+    score that isn't one, or with an index out of range, are ignored; a candidate without
+    an item has no row, and a query without any keeps its order, as without a reranker.
+    The candidates of a query are few (a search's width), so they fit a task.
+    """
+
+    def scores(candidates: DataFrame) -> DataFrame:
+        kind = candidates.schema["id"].dataType.simpleString()
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("id", kind="stable")
+            items = call(rows["query"].iloc[0], rows["text"].fillna("").tolist())
+            found = {}
+            for item in items:
+                index, score = (item.get("index"), item.get("score")) if isinstance(item, dict) else (None, None)
+                if type(index) is int and 0 <= index < len(rows) and isinstance(score, int | float) and not isinstance(score, bool):
+                    found[index] = float(score)
+            at = sorted(found)
+            return pd.DataFrame({"qid": rows["qid"].iloc[at], "id": rows["id"].iloc[at], "rerank": [found[k] for k in at]})
+
+        return candidates.select("qid", "id", "query", "text").groupBy("qid").applyInPandas(run, f"qid long, id {kind}, rerank double")
+
+    return scores
+
+
 def input_text(heading: Column, text: Column) -> Column:
     """What is embedded of a document chunk: the heading, a blank line and the text."""
     return F.when(F.coalesce(heading, F.lit("")) != "", F.concat(heading, F.lit("\n\n"), text)).otherwise(text)

@@ -10,6 +10,7 @@ Where there are several, every one gets an edge, and it is AMBIGUOUS.
 from __future__ import annotations
 
 import ast
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -137,39 +138,28 @@ def build(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     contains = told.where("fact = 'node' and owner <> ''").select(F.concat("repo", F.lit(":"), "owner").alias("src"), ident.alias("dst"), F.lit("contains").alias("kind"), F.lit("EXTRACTED").alias("confidence"))
 
     last = F.element_at(F.split("name", r"\."), -1)
-    refs = written(told.where("fact = 'ref'").select("repo", F.concat("repo", F.lit(":"), "owner").alias("src"), "kind", "name", last.alias("last")).distinct())
-    symbols = written(nodes.select("id", "repo", F.col("label").alias("name"), F.col("kind").alias("is"), F.element_at(F.split("label", r"\."), -1).alias("last")))
-    asked = refs.withColumn("ref", F.struct("repo", "src", "kind", "name"))
-
-    def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        """(ref, dst, n): every symbol that fits a reference, and how many do."""
-        table = symbols.select(*on, F.col("id").alias("dst"), "is")
-        counts = table.groupBy(*on).agg(F.count("*").alias("n"))
-        return rows.select(*on, "ref").join(counts, on).join(table, on).select("ref", "dst", "n")
-
-    def rest(rows: DataFrame, found: DataFrame) -> DataFrame:
-        return rows.join(found.select("ref").distinct(), "ref", "left_anti")
-
-    tried, left = [], asked
-    for on, sure in ((["repo", "name"], "EXTRACTED"), (["name"], "EXTRACTED"), (["repo", "last"], "INFERRED"), (["last"], "INFERRED")):
-        if on[-1] == "last":
-            left = left.where("kind <> 'imports'")  # a module isn't known by its last part
-        found = written(met(left, on))
-        tried.append(found.select("ref", "dst", F.when(F.col("n") == 1, sure).otherwise("AMBIGUOUS").alias("confidence")))
-        left = rest(left, found)
-    edges = tried[0]
-    for more in tried[1:]:
-        edges = edges.unionByName(more)
-    edges = written(edges.select("ref.src", "dst", "ref.kind", "confidence"))
-
-    # An import of a name in a module that is known leads to the module if the name isn't a symbol.
-    imports = rest(asked.where("kind = 'imports'"), tried[0].unionByName(tried[1]))
-    above = F.regexp_replace("name", r"\.[^.]*$", "")
-    parents = imports.withColumn("name", above).where(F.col("name") != F.col("ref.name"))
-    of_module = written(met(parents, ["repo", "name"]).select(F.col("ref.src"), "dst", F.col("ref.kind"), F.when(F.col("n") == 1, "EXTRACTED").otherwise("AMBIGUOUS").alias("confidence"), "ref"))
-    outside = rest(imports, of_module)
-    external = outside.select("src", F.concat(F.lit("external:"), F.split("name", r"\.")[0]).alias("dst"), "kind", F.lit("EXTRACTED").alias("confidence"))
-    out = contains.unionByName(edges).unionByName(of_module.drop("ref")).unionByName(external)
+    refs = told.where("fact = 'ref'").select("repo", F.concat("repo", F.lit(":"), "owner").alias("src"), "kind", "name", last.alias("last")).distinct()
+    symbols = written(nodes.select("id", "repo", F.col("label").alias("name"), F.element_at(F.split("label", r"\."), -1).alias("last")))
+    ways = (("repo", "name"), ("name",), ("repo", "last"), ("last",))  # how names are looked up, the surest way first
+    for k, on in enumerate(ways):
+        refs = refs.join(symbols.groupBy(*on).agg(F.count("*").alias(f"n{k}")), list(on), "left")
+    by_last = F.col("kind") != "imports"  # a module isn't known by its last part
+    way = F.coalesce(*[F.when((F.col(f"n{k}") > 0) & (by_last if "last" in on else F.lit(True)), F.lit(k)) for k, on in enumerate(ways)])
+    refs = written(refs.withColumn("way", way))
+    found = []
+    for k, on in enumerate(ways):
+        confidence = F.when(F.col(f"n{k}") > 1, "AMBIGUOUS").otherwise("INFERRED" if "last" in on else "EXTRACTED")
+        some = refs.where(F.col("way") == k).select(*on, "src", "kind", confidence.alias("confidence"))
+        found.append(some.join(symbols.select(*on, F.col("id").alias("dst")), list(on)).select("src", "dst", "kind", "confidence"))
+    edges = reduce(DataFrame.unionByName, found)
+
+    # A name that a known module doesn't define (a variable, say) leads to the module; other imports lead outside.
+    left = refs.where(F.col("way").isNull() & ~by_last).select("repo", "src", "kind", F.col("name").alias("imported"), F.regexp_replace("name", r"\.[^.]*$", "").alias("name"))
+    modules = symbols.groupBy("repo", "name").agg(F.min("id").alias("dst"))
+    met = written(left.join(modules, ["repo", "name"], "left"))
+    of_module = met.where("dst is not null").select("src", "dst", "kind", F.lit("EXTRACTED").alias("confidence"))
+    external = met.where("dst is null").select("src", F.concat(F.lit("external:"), F.split("imported", r"\.")[0]).alias("dst"), "kind", F.lit("EXTRACTED").alias("confidence"))
+    out = contains.unionByName(edges).unionByName(of_module).unionByName(external)
     weight = F.when(F.col("confidence") == "EXTRACTED", 0).when(F.col("confidence") == "INFERRED", 1).otherwise(2)
     out = out.groupBy("src", "dst", "kind").agg(F.min_by("confidence", weight).alias("confidence"))
     strangers = external.select(F.col("dst").alias("id")).distinct().select("id", F.lit("external").alias("kind"), F.substring_index("id", ":", -1).alias("label"), F.lit(None).cast("string").alias("repo"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("line"))

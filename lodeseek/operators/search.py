@@ -114,15 +114,18 @@ def threshold(hits: DataFrame, least: float = DEFAULTS.score_least) -> tuple[Dat
 def rerank(candidates: DataFrame, scores: DataFrame | None, limit: int, least: float = DEFAULTS.rerank_least, fallback: float = DEFAULTS.score_least) -> DataFrame:
     """(qid, id, score, place): candidates (qid, id, score, place) by scores (qid, id, rerank).
 
-    A candidate without a score counts as one below ``least``. Without scores at all the
-    vector order stays, with its own threshold.
+    A candidate without a score counts as one below ``least``. Without scores at all, or
+    for a query that has none, the vector order stays, with its own threshold.
     """
+    kept = lambda rows: rows.where(F.col("score") >= fallback).where(F.col("place") <= limit).select("qid", "id", "score", "place")
     if scores is None:
-        return candidates.where(F.col("score") >= fallback).where(F.col("place") <= limit).select("qid", "id", "score", "place")
-    met = candidates.join(scores, ["qid", "id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(least - 1)))
+        return kept(candidates)
+    scored = scores.select("qid").distinct()
+    without = kept(candidates.join(scored, "qid", "left_anti"))
+    met = candidates.join(scored, "qid", "left_semi").join(scores, ["qid", "id"], "left").withColumn("rerank", F.coalesce("rerank", F.lit(least - 1)))
     order = Window.partitionBy("qid").orderBy(F.desc("rerank"), "place")
     fit = met.where(F.col("rerank") >= least).withColumn("at", F.row_number().over(order))
-    return fit.where(F.col("at") <= limit).select("qid", "id", F.col("rerank").alias("score"), F.col("at").alias("place"))
+    return fit.where(F.col("at") <= limit).select("qid", "id", F.col("rerank").alias("score"), F.col("at").alias("place")).unionByName(without)
 
 
 def code_top_k(points: DataFrame, queries: DataFrame, limit: int, least: float = DEFAULTS.code_score_least) -> DataFrame:

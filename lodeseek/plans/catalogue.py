@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeseek.functions import storage, text, vectors
-from lodeseek.operators import ann, chunking, code_chunks, graph, pages, search, sparse
-from lodeseek.sources import store
+from lodeseek.operators import ann, chunking, code_chunks, graph, graph_build, pages, search, sparse
+from lodeseek.sources import files, sinks, store
 from lodeseek.sources.shared import shared_dir
 
 FLAGSHIP = "vector_topk"
@@ -324,8 +324,7 @@ def page_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(_CLOSURE + " SELECT root, count(DISTINCT id) AS pages FROM t GROUP BY root")
 def page_subtree_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tree = _tree(spark, sf_dir)
-    return pages.subtree_counts(pages.descendants(tree, tree))
+    return pages.subtree_sizes(_tree(spark, sf_dir))
 
 
 @_query("SELECT page_id AS id, min(page_id % 3) AS root_ord, page_id AS pos FROM pages GROUP BY page_id")
@@ -502,3 +501,156 @@ def code_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = [docs.select("repo", F.concat(F.lit(name), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.format_string(body, "lang").alias("content")) for name, body in (("m", module), ("c", "A = 1\nB = 2\nC = 3\nD = '%s'\n"), ("bad", "def (%s"))]
     found = code_chunks.code_chunks(made[0].unionByName(made[1]).unionByName(made[2]))
     return found.select("repo", "path", "symbol", "kind", "signature", "doc", "line_start", "line_end")
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(repo, path, content): a module for each document, which imports the next one's function and calls a method by its name alone."""
+    n, after, third = (F.col(c).cast("string") for c in ("doc_id", "after", "third"))
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("doc_id") + 1).alias("after"), F.expr("doc_id div 3").alias("third"))
+    parts = ["from m", after, " import f", after, " as g\n\nclass C", n, ":\n    def go_", third, "(self):\n        return f", n, "(self)\n\ndef f", n, "(x):\n    x.go_", third, "()\n    return g(x)\n"]
+    return docs.select(F.col("source").alias("repo"), F.concat(F.lit("m"), n, F.lit(".py")).alias("path"), F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts]).alias("content"))
+
+
+_GRAPH = """WITH d AS (SELECT doc_id AS n, source AS repo, source || ':m' || doc_id AS m, doc_id // 3 AS t FROM documents),
+    fits AS (SELECT d.n, o.n AS other, count(*) OVER (PARTITION BY d.n) AS many FROM d JOIN (SELECT n, repo, t FROM d) o ON o.t = d.t AND o.repo = d.repo),
+    nodes AS (SELECT m AS id, 'module' AS kind FROM d UNION ALL SELECT m || '.C' || n, 'class' FROM d UNION ALL SELECT m || '.C' || n || '.go_' || t, 'function' FROM d UNION ALL SELECT m || '.f' || n, 'function' FROM d
+        UNION ALL SELECT 'external:m' || (n + 1), 'external' FROM d WHERE n + 1 NOT IN (SELECT n FROM d)),
+    edges AS (SELECT m AS src, m || '.C' || n AS dst, 'contains' AS kind, 'EXTRACTED' AS confidence FROM d UNION ALL SELECT m || '.C' || n, m || '.C' || n || '.go_' || t, 'contains', 'EXTRACTED' FROM d UNION ALL SELECT m, m || '.f' || n, 'contains', 'EXTRACTED' FROM d
+        UNION ALL SELECT m || '.C' || n || '.go_' || t, m || '.f' || n, 'calls', 'EXTRACTED' FROM d
+        UNION ALL SELECT a.m, coalesce(b.m || '.f' || b.n, 'external:m' || (a.n + 1)), 'imports', 'EXTRACTED' FROM d a LEFT JOIN d b ON b.n = a.n + 1
+        UNION ALL SELECT a.m || '.f' || a.n, b.m || '.f' || b.n, 'calls', 'EXTRACTED' FROM d a JOIN d b ON b.n = a.n + 1
+        UNION ALL SELECT a.m || '.f' || a.n, b.m || '.C' || b.n || '.go_' || b.t, 'calls', CASE WHEN many = 1 THEN 'INFERRED' ELSE 'AMBIGUOUS' END FROM fits JOIN d a ON a.n = fits.n JOIN d b ON b.n = fits.other)"""
+
+
+@_query(_GRAPH + " SELECT * FROM edges")
+def graph_build_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of a graph of modules, one for each document, of all three confidences."""
+    return graph_build.build(_code(spark, sf_dir))[1]
+
+
+@_query(_GRAPH + " SELECT id, kind FROM nodes")
+def graph_build_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_build.build(_code(spark, sf_dir))[0].select("id", "kind")
+
+
+@_query(_GRAPH + """ SELECT a.src AS n0, a.dst AS n1, b.dst AS n2, c.dst AS n3, a.kind AS e1, a.confidence AS c1, b.kind AS e2, b.confidence AS c2, c.kind AS e3, c.confidence AS c3
+    FROM edges a JOIN edges b ON b.src = a.dst JOIN edges c ON c.src = b.dst JOIN nodes k ON k.id = a.dst
+    WHERE a.kind = 'contains' AND k.kind = 'class' AND b.kind = 'contains' AND c.kind = 'calls' AND c.confidence = 'EXTRACTED'""")
+def graph_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What methods of a module's classes surely call: a pattern of three hops."""
+    nodes, edges = graph_build.build(_code(spark, sf_dir))
+    hop = graph.Hop
+    return graph.match(nodes, edges, hop(nodes=("module",)), hop(("contains",), nodes=("class",)), hop(("contains",)), hop(("calls",), ("EXTRACTED",)))
+
+
+@_query(_GRAPH.replace("WITH d", "WITH RECURSIVE d") + """, s AS (SELECT m || '.f' || n AS start, n FROM d WHERE n % 50 = 0),
+    r AS (SELECT start, start AS id, 0 AS distance FROM s UNION ALL SELECT r.start, e.src, distance + 1 FROM r JOIN edges e ON e.dst = r.id AND e.kind = 'calls' WHERE distance < 3)
+    SELECT start, id, CAST(min(distance) AS INT) AS distance FROM r GROUP BY start, id""")
+def graph_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What calls the functions of every fiftieth module, over up to three calls."""
+    edges = graph_build.build(_code(spark, sf_dir))[1].where("kind = 'calls'")
+    wanted = _code(spark, sf_dir).select(F.concat("repo", F.lit(":m"), F.regexp_extract("path", r"\d+", 0), F.lit(".f"), F.regexp_extract("path", r"\d+", 0)).alias("id"), F.regexp_extract("path", r"\d+", 0).cast("long").alias("n")).where("n % 50 = 0")
+    return graph.reach(edges, wanted, backwards=True, most=3)
+
+
+_LINKS = """WITH l AS (SELECT DISTINCT url AS src, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS dst FROM pages)"""
+
+
+@_query(_LINKS + ", u AS (SELECT src, dst FROM l WHERE src <> dst UNION SELECT dst, src FROM l WHERE src <> dst) SELECT src AS id, count(*) AS degree FROM u GROUP BY src")
+def link_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many addresses each address is linked with, by the links in the pages."""
+    links = _table(spark, sf_dir, "pages").select(F.col("url").alias("src"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("dst"))
+    return graph.degrees(links)
+
+
+@_query("""SELECT lang || '/' || source || '/' || doc_id || '.md' AS source_id, source AS space, CAST(doc_id AS VARCHAR) AS title, lang AS source, text FROM documents WHERE regexp_matches(text, '\\S')""")
+def written_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents written as Markdown files by the sink, and scanned again."""
+    sinks.register(spark)
+    root = f"{shared_dir(spark)}/lodeseek-files-{uuid.uuid4().hex}"
+    rows = _table(spark, sf_dir, "documents").select(F.concat_ws("/", "lang", "source", F.concat(F.col("doc_id").cast("string"), F.lit(".md"))).alias("file"), F.col("text").alias("markdown"))
+    rows.write.format("markdown").mode("append").option("path", root).save()
+    return files.with_source_labels(files.documents(spark, root)).select("source_id", "space", "title", "source", "text")
+
+
+_ASCIIDOC = """'## ' || source || chr(10) || '```' || chr(10) || rtrim(text, chr(10)) || chr(10) || '```' || chr(10) || 'See — it `x`' || chr(10)"""
+
+
+@_query(f"SELECT lang AS chapter, CAST(doc_id AS VARCHAR) AS stem, {_ASCIIDOC} AS markdown FROM documents WHERE length({_ASCIIDOC}) >= 800")
+def asciidoc_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents inside listings of the four kinds of AsciiDoc, written as files and scanned again; short ones are dropped."""
+    sinks.register(spark)
+    root = f"{shared_dir(spark)}/lodeseek-files-{uuid.uuid4().hex}"
+    mark = F.element_at(F.array(*map(F.lit, ("----", "....", "====", "****"))), (F.pmod("doc_id", F.lit(4)) + 1).cast("int"))
+    body = F.concat(F.lit("== "), "source", F.lit("\n[source,sql]\n"), mark, F.lit("\n"), F.regexp_replace("text", "\n+$", ""), F.lit("\n"), mark, F.lit("\nimage::a.png[]\nSee -- it((( i, j ))) `+x+`\n"))
+    rows = _table(spark, sf_dir, "documents").select(F.concat("lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".asc")).alias("file"), body.alias("markdown"))
+    rows.write.format("markdown").mode("append").option("path", root).save()
+    return files.asciidoc(spark, root)
+
+
+@_query("""SELECT doc_id, source || '/m' || doc_id || '.py :: ' || lang || chr(10) || CASE WHEN n_chars % 2 = 0 THEN 'def f(a)' || chr(10) ELSE '' END || CASE WHEN n_chars % 3 = 0 THEN 'Doc.' || chr(10) ELSE '' END || text AS input FROM documents""")
+def code_embed_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is embedded of code, with and without signature and documentation."""
+    some = lambda value, n: F.when(F.col("n_chars") % n == 0, value).otherwise("")
+    made = vectors.code_input_text(F.col("source"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")), F.col("lang"), some("def f(a)", 2), some("Doc.", 3), F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", made.alias("input"))
+
+
+@_query(_HITS + " SELECT qid, CAST(place AS INT) AS place, source || '/' || lang || ':' || n_chars AS location, lang AS symbol, 'function' AS kind, CASE WHEN n_chars % 2 = 0 THEN 'def f()' END AS signature, CAST(NULL AS VARCHAR) AS doc, left(text, 600) AS code FROM hits")
+def code_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits as rows of code, cut where they are long; empty signatures and documentation are null."""
+    hits = _hits(spark, sf_dir).select("qid", "place", F.col("source").alias("repo"), F.col("title").alias("path"), F.col("chunk_idx").alias("line_start"), F.col("title").alias("symbol"), F.lit("function").alias("kind"), F.when(F.col("chunk_idx") % 2 == 0, "def f()").otherwise("").alias("signature"), F.lit("").alias("doc"), "text")
+    return search.code_rows(hits)
+
+
+@_query("""SELECT page_id AS id, page_id % 3 AS root_ord, length(html) AS pos, url AS title FROM pages ORDER BY root_ord, pos, url LIMIT 40""")
+def page_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first pages of the listing, as a limited run takes them."""
+    listed = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), (F.col("page_id") % 3).alias("root_ord"), F.length("html").alias("pos"), F.col("url").alias("title"))
+    return pages.limited(listed, 40)
+
+
+@_query("""SELECT doc_id, '# ' || source || chr(10) || chr(10) || trim(regexp_replace('see ' || text || ' & more', '[ \t]+', ' ', 'g'), ' ' || chr(9) || chr(10)) || chr(10) AS markdown FROM documents""")
+def storage_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markup that isn't well-formed around the documents' texts: their plain text."""
+    escape = F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    return _table(spark, sf_dir, "documents").select("doc_id", storage.to_markdown(F.concat(F.lit("<p>see "), escape, F.lit(" <b>&amp; more</p>")), "source").alias("markdown"))
+
+
+@_query("""SELECT doc_id, lang || chr(10) || chr(10) || '[изображение: ' || doc_id || '.png]' || chr(10) || chr(10) || '[изображение: изображение]' || chr(10) || chr(10) || 'to ' || source || chr(10) || chr(10) || '- ' || source || chr(10) || '  - in' || chr(10) || '- out' || chr(10) AS markdown FROM documents""")
+def storage_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and images that name no page or file, and list items whose own text a nested list repeats."""
+    number = F.col("doc_id").cast("string")
+    pieces = ["<ac:link><ri:user/><ac:plain-text-link-body>", F.col("lang"), '</ac:plain-text-link-body></ac:link><ac:image ac:alt="a"><ri:attachment ri:filename=\'', number, ".png'/></ac:image><ac:image><ri:url/></ac:image><ac:link ac:anchor=\"x\"><ac:link-body>to ", F.col("source"), "</ac:link-body></ac:link><ul><li>", F.col("source"), "<ul><li>in</li></ul>in</li><li>out</li></ul>"]
+    markup = F.concat(*[F.lit(p) if isinstance(p, str) else p for p in pieces])
+    return _table(spark, sf_dir, "documents").select("doc_id", storage.to_markdown(markup, F.lit("")).alias("markdown"))
+
+
+@_query(_HITS.replace(f"rank <= {TOP}", "rank <= 3") + """, e AS (SELECT q0.qid, coalesce(bool_or(contains(lower(text), 'enue') OR contains(lower(text), 'stein')), false) AS hit FROM q0 LEFT JOIN hits USING (qid) GROUP BY q0.qid)
+    SELECT count(*) AS questions, count(*) FILTER (WHERE hit) AS hits, round(avg(CAST(hit AS INT)), 6) AS hit_rate, round(avg(qid / 2.0), 6) AS mean_seconds FROM e""")
+def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many questions have an answer among their best three documents."""
+    cases = eval_marker_hits(spark, sf_dir)
+    return _rounded(search.hit_rate(cases, cases.select("qid", (F.col("qid") / 2.0).alias("seconds"))))
+
+
+@_query(f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), {_ranked(WIDTH, 'q0')}, s AS (SELECT qid, count(*) FILTER (WHERE score < 0.3) AS dropped, count(*) FILTER (WHERE score >= 1.1) AS found FROM ranked GROUP BY qid)
+    SELECT qid, dropped, CASE WHEN dropped > 15 THEN 'below_threshold' WHEN qid % 100 = 0 THEN 'try_without_filters' ELSE 'rephrase' END AS reason FROM s""")
+def no_hit_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of the three replies a question without hits gets."""
+    stats = search.threshold(search.top_k(_points(spark, sf_dir), _first(spark, sf_dir), WIDTH), 0.3)[1]
+    return stats.select("qid", "dropped", search.no_hit_reason(F.greatest(F.col("dropped") - 15, F.lit(0)), F.col("qid") % 100 == 0).alias("reason"))
+
+
+@_query("""SELECT doc_id, array_to_string(list_concat([lang], list_filter([source, upper(lang), ' ', source || ' ' || doc_id, CAST(doc_id AS VARCHAR)], lambda v: trim(v) <> '' AND lower(trim(v)) <> lower(lang))[1:2]), '|') AS variants FROM documents""")
+def query_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A query and the variants that are accepted for it."""
+    offered = F.array(F.col("source"), F.upper("lang"), F.lit(" "), F.concat("source", F.lit(" "), F.col("doc_id").cast("string")), F.col("doc_id").cast("string"))
+    return _table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.accepted_variants(F.col("lang"), offered), "|").alias("variants"))
+
+
+@_query("""SELECT doc_id, concat_ws('-', m[1:8], m[9:12], m[13:16], m[17:20], m[21:32]) AS id, regexp_replace(text || chr(10) || chr(10) || chr(10) || lang, '\n{3,}', chr(10) || chr(10), 'g') AS collapsed FROM (SELECT *, md5(source || '|m' || doc_id || '.py|' || lang || '|' || n_chars) AS m FROM documents)""")
+def code_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of code chunks, and texts without runs of empty lines."""
+    made = text.code_chunk_id(F.col("source"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")), F.col("lang"), F.col("n_chars"))
+    return _table(spark, sf_dir, "documents").select("doc_id", made.alias("id"), text.collapse_blank_lines(F.concat("text", F.lit("\n\n\n"), "lang")).alias("collapsed"))

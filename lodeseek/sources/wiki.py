@@ -10,6 +10,7 @@ import urllib.request
 from collections.abc import Iterator
 from datetime import UTC, datetime, timedelta
 
+import pyarrow.fs as pafs
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: Answers after which a read is tried again, and pages of one answer.
@@ -85,7 +86,8 @@ class WikiSource(DataSource):
     """Format ``wiki``: the pages below some roots, as a table or as a stream of changes.
 
     Options: url, token, roots (ids, comma-separated), rangePages (pages of a partition,
-    250), wait (seconds before the first retry). A stream starts with all pages, or, with
+    250), wait (seconds before the first retry), dumpRaw (a file or address to which the
+    first page goes as the service gives it, to look at). A stream starts with all pages, or, with
     the option since, with those changed after that time.
     """
 
@@ -107,7 +109,7 @@ class WikiReader(DataSourceReader):
     """Each root, then its descendants as the service lists them; a partition for each range of the list."""
 
     def __init__(self, options):
-        self.service = _Service(options)
+        self.service, self.dump = _Service(options), options.get("dumpRaw")
 
     def _cql(self, root: str) -> str:
         return f"ancestor={root} and type=page"
@@ -119,7 +121,12 @@ class WikiReader(DataSourceReader):
         k, start, end = partition.value
         root = self.service.roots[k]
         if start == 0:
-            yield _row(k, 0, self.service.page(root))
+            first = self.service.page(root)
+            if k == 0 and self.dump:
+                fs, path = pafs.FileSystem.from_uri(self.dump if "://" in self.dump else f"file://{self.dump}")
+                with fs.open_output_stream(path) as out:
+                    out.write(json.dumps(first, ensure_ascii=False, indent=1).encode())
+            yield _row(k, 0, first)
         for pos, page in self.service.pages(self._cql(root), start, end):
             yield _row(k, pos + 1, page)
 
