@@ -28,6 +28,7 @@ null, has an empty set and links with nothing. Sets are told apart by 126 bits o
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,6 +53,8 @@ SMALL = ("s0", "s1", "s2", "s3")
 ROUNDS, NEAR = 3, 3
 #: Posting lists of more groups go through the rounds first; so many of a list are put in order at once.
 LONG, CHUNK = 8, 4096
+#: Groups of a posting list that meet in one block; a longer list is paired block by block.
+LIST_BLOCK = 1024
 
 
 def shingle_sets(column: pa.Array, size: int) -> Iterator[np.ndarray]:
@@ -248,16 +251,28 @@ def _group_pairs(postings: DataFrame, of_group: DataFrame, percent: int) -> Data
     c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
     overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Small sketches are those of groups
     that consist of one set.
+
+    The list of a token with more than ``LIST_BLOCK`` groups is cut by ranges of set sizes,
+    of which only a range and its neighbours can hold similar sets, and by hash into parts;
+    each pair of parts is a key of its own, so a long list is spread over many tasks.
     """
     p = postings.join(of_group, "grp")
     split = p.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
     p = p.join(split, "token", "left_semi")
-    a, b = (p.select("token", *[F.col(x).alias(f"{x}_{side}") for x in ("grp", "n", "pos", "low", "high", *SMALL)]) for side in "ab")
+    parts = F.ceil(F.col("length") / LIST_BLOCK).cast("int")
+    ratio = 1.0001 * math.log(100 / percent) if percent < 100 else 1.0  # similar sizes are in one range or in neighbours
+    size = F.when(parts > 1, F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")).otherwise(0)
+    p = p.withColumns({"parts": parts, "size": size, "part": F.pmod(F.xxhash64("grp"), parts).cast("int")})
+    upto = F.sequence(F.lit(0), F.col("parts") - 1)
+    around = F.when(F.col("parts") > 1, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))
+    kept = ("grp", "n", "pos", "low", "high", *SMALL)
+    a = p.select("token", "size", F.col("part").alias("i"), F.explode(upto).alias("j"), *[F.col(x).alias(f"{x}_a") for x in kept])
+    b = p.select("token", F.explode(around).alias("size"), "parts", "part", *kept).select("token", "size", F.explode(upto).alias("i"), F.col("part").alias("j"), *[F.col(x).alias(f"{x}_b") for x in kept])
     enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
     most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
     apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SMALL)
     across = "grp_a < grp_b and least(low_a, low_b) < greatest(high_a, high_b)"
-    met = a.join(b, [a.token == b.token, F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most)), F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b), true)")])
+    met = a.join(b, [*[a[c] == b[c] for c in ("token", "size", "i", "j")], F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most)), F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b), true)")])
     pairs = met.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
     return pairs.where(enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")).select("grp_a", "grp_b")
 

@@ -6,9 +6,11 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from lodeseek.llm import chat, secrets, suffix_dedup
+from lodeseek.llm import chat, ngram_join, secrets, suffix_dedup
 from lodeseek.llm.common import running
 
+from .test_corpus import _jaccard
+
 
 def test_running_sums(spark):
     rng = random.Random(1)
@@ -53,3 +55,17 @@ def test_four_thousand_equal_rows(spark, keep):
     whole = [r.n_removed for r in got if r.doc_id == 1]
     assert len(whole) == 4000 and set(whole) == {len(text) if keep == "none" else 0}
     assert all(r.n_removed >= 2000 + len(text) - 2500 for r in got if r.doc_id != 1)
+
+
+def test_long_lists_are_paired_block_by_block(spark, monkeypatch):
+    """Documents of one template, below and above the threshold, in lists of many blocks: the components are those of all pairs."""
+    rng = random.Random(6)
+    head = [f"t{k}" for k in range(40)]
+    rows = [(k, " ".join(head[: rng.choice([8, 20, 40])] + [f"w{rng.randrange(60 if k % 3 else 10**6)}" for _ in range(rng.choice([2, 4, 12, 40]))])) for k in range(150)]
+    rows += [(1000 + k, rows[k][1] + " end") for k in range(60)]
+    want = _jaccard(rows)
+    monkeypatch.setattr(ngram_join, "LIST_BLOCK", 3)
+    for long_list in (2, 10**6):  # with and without the rounds that come first
+        monkeypatch.setattr(ngram_join, "LONG", long_list)
+        got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
+        assert sorted(str(tuple(r)) for r in got.collect()) == want
