@@ -15,28 +15,46 @@ from lodeseek.llm.queries import PII_KEY
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules and the isolation forest keep."""
+    """Documents that the quality rules and the isolation forest keep.
+
+    A null text has no words, so it goes; repeated rows share a verdict and stay repeated.
+    Without labels that match a document there is no forest, and the rules decide alone.
+    """
     return quality.filter_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near-duplicates."""
+    """One document of each class of near-duplicates: the one with the least doc_id, null last.
+
+    Repeated rows and ties are one document, of which one row stays. Rows without words
+    are no duplicates of anything and all stay.
+    """
     return ngram_join.deduplicate(docs)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data replaced by pseudonyms of the same format; n_chars follows the text."""
+    """Personal data replaced by pseudonyms of the same format; n_chars follows the text where it changed.
+
+    Row by row: null texts stay null, repeated rows stay equal.
+    """
     done = pii.pseudonymise(docs, PII_KEY, spans="pii_spans")
     return done.withColumn("n_chars", F.when(F.size("pii_spans") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of the sources reads them."""
+    """Documents as often as the mix of the sources reads them.
+
+    A null source is a source of its own, rows without words aren't in the mix, repeated
+    rows are documents of their own, and ties are ordered by a hash of all columns.
+    """
     return mixing.mixed_documents(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each document, with the offsets that decode a part of it, decoded again as a check."""
+    """Token ids of each document, with the offsets that decode a part of it, decoded again as a check.
+
+    A null text has no ids and decodes to no bytes; repeated rows are encoded each.
+    """
     import public_tokenizers
 
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -9,7 +9,8 @@ slice, many slices in step, and kept in a bounded cache.
 
 Null texts count as empty and give no ids. Ids are packed as little-endian unsigned
 32-bit integers, and ``id_ends`` holds the byte offset where each id's bytes end, so a
-range of ids can be decoded without the text.
+range of ids can be decoded without the text. Rows are encoded one by one, so repeated
+rows give repeated results, and an empty table gives none.
 """
 
 from __future__ import annotations

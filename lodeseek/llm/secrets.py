@@ -6,7 +6,8 @@ key) for the trigrams that the queries name. Postings are intersected clause by
 with a grouped count, and only the rows that fulfil a clause are verified with the regex.
 A rule whose matches need no trigram (a run of hexadecimal digits) scans every text.
 
-Rules are regexes that Java, Python and RE2 read alike. Positions are code points.
+Rules are regexes that Java, Python and RE2 read alike. Positions are code points. Null
+texts are empty and have no findings; repeated rows each have theirs.
 """
 
 from __future__ import annotations
