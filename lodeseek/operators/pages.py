@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -101,13 +102,14 @@ STATE = "id string, updated string, title string, space string, file string"
 
 
 def load_state(spark: SparkSession, path: str) -> DataFrame:
-    """The state (STATE) that ``save_state`` wrote; empty, which means a full run, where there is none or it can't be read."""
+    """The state (STATE) that ``save_state`` wrote; empty, which means a full run, where there is none or it can't be read (which is logged)."""
     try:
         found = spark.read.schema(STATE + ", synced_at string, _corrupt string").option("columnNameOfCorruptRecord", "_corrupt").json(path)
         if found.where(F.col("_corrupt").isNotNull() | F.col("id").isNull()).isEmpty():
             return found.select("id", "updated", "title", "space", "file")
+        logging.getLogger(__name__).warning("the state at %s is broken: all pages count as new", path)
     except AnalysisException:
-        pass
+        logging.getLogger(__name__).info("there is no state at %s: all pages count as new", path)
     return spark.createDataFrame([], STATE)
 
 

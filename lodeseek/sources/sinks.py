@@ -1,8 +1,9 @@
 """Data sinks for wiki pages: Markdown files and the state of a synchronisation, visible only once a write has ended well.
 
-Tasks write to a folder of their own below ``_staging``; a commit on the driver moves what
-the tasks that count have written, an abort deletes the staging folder. So a failed task,
-or one that ran twice, leaves nothing to be seen. ``path`` is a folder or address that the
+Tasks write to a folder of their own below ``.staging``, where scans don't look; a commit on
+the driver moves what the tasks that count have written, an abort deletes the job's
+staging folder. So a failed task, or one that ran twice, leaves nothing to be seen; a task
+that still runs when its job is given up may leave files in the staging folder. ``path`` is a folder or address that the
 driver and all executors reach.
 """
 
@@ -18,7 +19,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
-STAGING = "_staging"
+STAGING = ".staging"
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
