@@ -6,9 +6,12 @@ has fewer; a document's word is hit if it lies inside an occurrence of any windo
 
 A batch of documents is a shard. Words that no item has can't be part of a match, so a
 shard keeps the runs of known words that are as long as the shortest window, and sorts
-the suffixes of those runs. Every test suffix is then binary-searched in the shard's
-suffix array; the two suffixes around its place give its longest verbatim match, and where
-that is a window or more, two more searches give the interval of all its occurrences.
+the suffixes of those runs. Test suffixes are then binary-searched in the shard's suffix
+array (those whose first few words the shard doesn't have in a row have no place to look
+for and are left out by a look-up the other way, so a shard's work follows its own size and
+not the benchmark's); the two suffixes around a suffix's place give its longest verbatim
+match, and where that is a window or more, two more searches give the interval of all its
+occurrences.
 Suffixes are compared by the length of their common prefix, which is found by doubling
 over sums of word hashes (64 bits), so a comparison doesn't walk over long matches.
 
@@ -41,6 +44,9 @@ WINDOW = 10
 #: Bytes of benchmark text that go to the tasks at once.
 BLOCK_BYTES = 4 << 20
 
+#: First words by which test suffixes are left out (the shortest window's, if it has fewer).
+FIRST = 4
+
 _ITEM_WORD = np.zeros(256, bool)
 _ITEM_WORD[0x30:0x3A] = _ITEM_WORD[0x61:0x7B] = _ITEM_WORD[0x80:] = True
 _FOUND = "n_words long, hits array<struct<start:long,end:long>>, items array<string>"
@@ -81,6 +87,12 @@ def _sums(keys: np.ndarray) -> np.ndarray:
     return sums
 
 
+def _grams(sums: np.ndarray, starts: np.ndarray, words: int) -> np.ndarray:
+    """Hashes of the ``words`` words from each start on."""
+    _, down = powers(len(sums) - 1)
+    return mixed((sums[starts + words] - sums[starts]) * down[starts])
+
+
 class Test:
     """A block of the benchmark: its words as codes from 1, a 0 after each item, and its windows."""
 
@@ -103,6 +115,11 @@ class Test:
         self.size = np.repeat(sizes, per)
         self.shortest = int(self.size.min()) if len(self.size) else 0
         self.most = int(n.max(initial=0))
+        self.first = min(FIRST, self.shortest)
+        grams = _grams(self.sums, self.starts, self.first)
+        self.by_gram = np.argsort(grams, kind="stable")
+        self.grams = np.unique(grams)
+        self.gram_bounds = np.append(np.searchsorted(grams[self.by_gram], self.grams), len(grams))
         self.ids = np.array([i or "" for i in ids], object)
         words = np.zeros((len(self.starts), window), np.int64)
         for k in range(window):
@@ -187,10 +204,14 @@ class Shard:
     def search(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(index of a test suffix, its longest match, its place) for those with a match of a window or more."""
         test = self.test
-        low, high = (np.searchsorted(self.heads, test.codes[test.starts], side) for side in ("left", "right"))
-        asked = np.flatnonzero(low < high)
-        bottom, top = low[asked], high[asked]
-        low, high, q = bottom.copy(), top.copy(), test.starts[asked]
+        here = np.unique(_grams(self.sums, np.arange(len(self.codes) - test.first + 1), test.first))
+        place = np.minimum(np.searchsorted(test.grams, here), len(test.grams) - 1)
+        met = place[test.grams[place] == here]
+        n = test.gram_bounds[met + 1] - test.gram_bounds[met]
+        asked = np.sort(test.by_gram[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(test.gram_bounds[met], n)])
+        q = test.starts[asked]
+        bottom, top = (np.searchsorted(self.heads, test.codes[q], side) for side in ("left", "right"))
+        low, high = bottom.copy(), top.copy()
         most = np.full(len(q), test.most + 1)
         while True:
             on = np.flatnonzero(low < high)
