@@ -13,8 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodeseek.config import Settings
 from lodeseek.functions import storage, text, vectors
 from lodeseek.operators import ann, chunking, code_chunks, graph, graph_build, pages, search, sparse
+from lodeseek.plans import service
 from lodeseek.sources import files, sinks, store
 from lodeseek.sources.shared import shared_dir
 
@@ -654,3 +656,46 @@ def code_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of code chunks, and texts without runs of empty lines."""
     made = text.code_chunk_id(F.col("source"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")), F.col("lang"), F.col("n_chars"))
     return _table(spark, sf_dir, "documents").select("doc_id", made.alias("id"), text.collapse_blank_lines(F.concat("text", F.lit("\n\n\n"), "lang")).alias("collapsed"))
+
+
+def _knowledge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with vectors as the chunks that search reads."""
+    docs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("lang").alias("title"), "source", F.col("source").alias("source_id"), F.col("lang").alias("space"), F.concat(F.lit("C:\\"), "source", F.lit("\\"), F.col("doc_id").cast("string")).alias("url"), F.lit("2024-01-01").alias("updated_at"), F.col("n_chars").alias("chunk_idx"))
+    return docs.join(_points(spark, sf_dir), "id")
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Callable]:
+    """Questions (qid, query), one for every fiftieth vector, and what embeds them: the vector of that number."""
+    points = _points(spark, sf_dir)
+    embed = lambda rows: rows.join(points.withColumnRenamed("id", "qid"), "qid")
+    return points.where("id % 50 = 0").select(F.col("id").alias("qid"), F.concat(F.lit("question "), F.col("id").cast("string")).alias("query")), embed
+
+
+_TOOLS = Settings(score_least=0.2, code_score_least=0.25, gate=0.0)
+_ANSWERED = f"""WITH {_VECTORS}, q0 AS (SELECT * FROM qry WHERE variant = 0), k AS (SELECT p.* FROM pts p JOIN documents ON doc_id = p.id WHERE {{0}}), {_ranked(TOP, 'q0', 'k')},
+    found AS (SELECT qid, rank AS place, id, score, text, lang, source, n_chars, 'C:\\' || source || '\\' || id AS url FROM ranked JOIN documents ON doc_id = id)"""
+
+
+@_query(_ANSWERED.format("true") + " SELECT qid, CAST(place AS INT) AS place, text, source AS document, url AS location FROM found WHERE score >= 0.2")
+def kb_search_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document tool's hits for all questions."""
+    asked, embed = _asked(spark, sf_dir)
+    return service.kb_search(_knowledge(spark, sf_dir), asked, embed, TOP, settings=_TOOLS)[0]
+
+
+@_query(_ANSWERED.format("lang = 'de'") + """, one AS (SELECT *, row_number() OVER (PARTITION BY qid, source ORDER BY place) AS nth FROM found WHERE score >= 0.2),
+    c AS (SELECT qid, 'Источник: ' || string_agg(source || ' (' || replace(url, '\\', '/') || ')', '; ' ORDER BY place) AS citation FROM one WHERE nth = 1 GROUP BY qid)
+    SELECT q0.qid, count(*) FILTER (WHERE score >= 0.2) AS found, count(*) FILTER (WHERE score < 0.2) AS dropped, CASE WHEN count(*) FILTER (WHERE score >= 0.2) = 0 THEN CASE WHEN count(*) FILTER (WHERE score < 0.2) > 0 THEN 'below_threshold' ELSE 'try_without_filters' END END AS reason, any_value(citation) AS citation
+    FROM q0 LEFT JOIN found ON found.qid = q0.qid LEFT JOIN c ON c.qid = q0.qid GROUP BY q0.qid""")
+def kb_search_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The document tool's answers in one space: how many hits, why none, what is cited."""
+    asked, embed = _asked(spark, sf_dir)
+    return service.kb_search(_knowledge(spark, sf_dir), asked, embed, TOP, space="de", settings=_TOOLS)[1]
+
+
+@_query(_ANSWERED.format("true") + " SELECT qid, CAST(place AS INT) AS place, source || '/' || lang || ':' || n_chars AS location, lang AS symbol, 'function' AS kind, 'def f()' AS signature, CAST(NULL AS VARCHAR) AS doc, text AS code FROM found WHERE score >= 0.25")
+def code_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The code tool's rows for all questions, code in full."""
+    asked, embed = _asked(spark, sf_dir)
+    points = _knowledge(spark, sf_dir).select("id", F.col("source").alias("repo"), F.col("title").alias("path"), F.col("title").alias("symbol"), F.lit("function").alias("kind"), F.lit("def f()").alias("signature"), F.lit("").alias("doc"), F.col("chunk_idx").alias("line_start"), "text", "embedding")
+    return service.code_search(points, asked, embed, TOP, full=True, settings=_TOOLS)
