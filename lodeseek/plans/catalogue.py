@@ -699,3 +699,30 @@ def code_search_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked, embed = _asked(spark, sf_dir)
     points = _knowledge(spark, sf_dir).select("id", F.col("source").alias("repo"), F.col("title").alias("path"), F.col("title").alias("symbol"), F.lit("function").alias("kind"), F.lit("def f()").alias("signature"), F.lit("").alias("doc"), F.col("chunk_idx").alias("line_start"), "text", "embedding")
     return service.code_search(points, asked, embed, TOP, full=True, settings=_TOOLS)
+
+
+@_query("""SELECT source AS repo, 'm' || doc_id || '.py' AS path, 'from m' || (doc_id + 1) || ' import f' || (doc_id + 1) || ' as g' || chr(10) || chr(10) || 'class C' || doc_id || ':' || chr(10) || '    def go_' || (doc_id // 3) || '(self):' || chr(10) || '        return f' || doc_id || '(self)' || chr(10) || chr(10)
+    || 'def f' || doc_id || '(x):' || chr(10) || '    x.go_' || (doc_id // 3) || '()' || chr(10) || '    return g(x)' || chr(10) AS content FROM documents UNION ALL SELECT DISTINCT source, 'tests/t.py', NULL FROM documents""")
+def scanned_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories written as files below repos/ and scanned again; files that are skipped have no content."""
+    sinks.register(spark)
+    root = f"{shared_dir(spark)}/lodeseek-files-{uuid.uuid4().hex}"
+    made = _code(spark, sf_dir)
+    tests = made.select("repo").distinct().select("repo", F.lit("tests/t.py").alias("path"), F.lit("x = 1\n").alias("content"))
+    every = made.unionByName(tests).unionByName(made.limit(1).select(F.lit(".git").alias("repo"), F.lit("config").alias("path"), F.lit("no").alias("content")))
+    every.select(F.concat(F.lit("repos/"), "repo", F.lit("/"), "path").alias("file"), F.col("content").alias("markdown")).write.format("markdown").mode("append").option("path", root).save()
+    return files.code_files(spark, root)
+
+
+_CLEAN = """translate(text, '"\\' || chr(13) || chr(11) || chr(12) || chr(28) || chr(29) || chr(30) || chr(133) || chr(8232) || chr(8233) || chr(0), '')"""
+
+
+@_query(f"""WITH m AS (SELECT *, {_CLEAN} AS t FROM documents)
+    SELECT source AS repo, 'm' || doc_id || '.py' AS path, 'f' AS symbol, 'def f(a, *b, **d)' AS signature, left(repeat(lang, 200), 300) AS doc, 2 AS line_start, CAST(4 + length(t) - length(replace(t, chr(10), '')) AS INT) AS line_end,
+        left('def f(a, *b, c=1, **d):' || chr(10) || '    ''' || repeat(lang, 200) || '''' || chr(10) || '    return \"\"\"' || t || '\"\"\"', 4000) AS text FROM m""")
+def code_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Functions with starred arguments, long documentation and bodies that hold whole documents: what is cut, and where."""
+    t = F.regexp_replace("text", "[\"\\\\\\\\\\r\\x0b\\x0c\\x1c-\\x1e\\x85\\u2028\\u2029\\x00]", "")
+    content = F.concat(F.lit("@d\ndef f(a, *b, c=1, **d):\n    '"), F.repeat("lang", F.lit(200)), F.lit("'\n    return \"\"\""), t, F.lit('"""\n'))
+    found = code_chunks.code_chunks(_table(spark, sf_dir, "documents").select(F.col("source").alias("repo"), F.concat(F.lit("m"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), content.alias("content")))
+    return found.select("repo", "path", "symbol", "signature", "doc", "line_start", "line_end", "text")
