@@ -293,8 +293,9 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
     text and sorted, of the items that have a window in the document.
     """
     spark = docs.sparkSession
-    kept = own_name(docs, "text_of_match")  # a column of docs may bear a result's name
-    out = docs.withColumn(kept, F.col(text))
+    clash = text.lower() in ("n_words", "hits", "items")  # then the text has to outlive the first block's results
+    kept = own_name(docs, "text_of_match") if clash else text
+    out = docs.withColumn(kept, F.col(text)) if clash else docs
 
     def searched(test, again: bool):
         def make(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -324,7 +325,7 @@ def match_documents(docs: DataFrame, benchmark: DataFrame, text: str = "text", i
         out, again = with_columns(out, searched(spark.sparkContext.broadcast(test), again), _FOUND), True
     if not again:
         out = with_columns(out, searched(None, False), _FOUND)
-    return out.drop(kept)
+    return out.drop(kept) if clash else out
 
 
 def _by_row(starts: np.ndarray, ends: np.ndarray, first: np.ndarray) -> Iterator[tuple[int, int, int]]:

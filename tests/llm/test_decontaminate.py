@@ -98,6 +98,9 @@ def test_clean_documents_and_clashing_columns(spark):
     assert kept.columns == more.columns
     rows = kept.collect()
     assert {r.doc_id for r in rows} == clean and all(r.hits == "own" and r.n_words == -1 for r in rows)
+    named = decontaminate.match_documents(d.withColumnRenamed("text", "Items"), b, text="Items").collect()
+    found = lambda rows: sorted((str(r.doc_id), r.n_words, r["items"], [tuple(h) for h in r.hits]) for r in rows)
+    assert found(named) == found(decontaminate.match_documents(d, b).collect())
     assert sorted(map(tuple, decontaminate.digests(more, b.withColumn("n_words", F.lit(1))).collect()), key=str) == _plain(docs, items, 10)
 
 
