@@ -234,13 +234,12 @@ def _join(a: dict, b: dict, i: slice, j: slice, eps: float, same: bool, leaf: in
 def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, eps: float, leaf: int) -> DataFrame:
     """(node, links, root): for each vector of a block pair with links, how many vectors, and one of its component."""
 
-    def side(row: pa.Table, letter: str, d: int) -> dict:
+    def side(row: pa.RecordBatch, letter: str, d: int) -> dict:
         x = np.frombuffer(row.column(f"{letter}_vectors")[0].as_buffer(), kind).reshape(-1, d)
         unit = _unit(x)
         return {"x": x, "single": unit.astype(np.float32), "at": _places(unit, axes.value[d]), "ids": np.frombuffer(row.column(f"{letter}_ids")[0].as_buffer(), np.int64), "w": np.frombuffer(row.column(f"{letter}_weights")[0].as_buffer(), np.int64)}
 
-    def run(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        row = pa.Table.from_batches(list(parts))
+    def pair(row: pa.RecordBatch) -> pa.RecordBatch:
         d, same = int(row.column("dims")[0].as_py()), row.column("pa")[0] == row.column("pb")[0] and row.column("ia")[0] == row.column("ib")[0]
         a, b = side(row, "a", d), side(row, "b", d)
         n, m = len(a["ids"]), 0 if same else len(b["ids"])
@@ -253,13 +252,18 @@ def _links(pairs: DataFrame, blocks: DataFrame, axes, kind: str, least: float, e
                 links += np.bincount(p, b["w"][q], n + m) + np.bincount(at, a["w"][p], n + m)
         ids = a["ids"] if same else np.concatenate([a["ids"], b["ids"]])
         some = np.flatnonzero(links)
-        yield pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[forest.up[some]])], names=["node", "links", "root"])
+        return pa.RecordBatch.from_arrays([pa.array(ids[some]), pa.array(links[some].astype(np.int64)), pa.array(ids[forest.up[some]])], names=["node", "links", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:  # of bounded bytes (spark.sql.execution.arrow.maxBytesPerBatch), whatever the size of a row
+            for n in range(batch.num_rows):
+                yield pair(batch.slice(n, 1))
 
     data = blocks.select("dims", "part", "idx", "ids", "weights", "vectors")
     a = data.withColumnsRenamed({"part": "pa", "idx": "ia", "ids": "a_ids", "weights": "a_weights", "vectors": "a_vectors"})
     b = data.withColumnsRenamed({"part": "pb", "idx": "ib", "ids": "b_ids", "weights": "b_weights", "vectors": "b_vectors"})
     met = pairs.join(a, ["dims", "pa", "ia"]).join(b, ["dims", "pb", "ib"])
-    return met.groupBy("dims", "pa", "ia", "pb", "ib").applyInArrow(run, "node long, links long, root long")
+    return met.mapInArrow(run, "node long, links long, root long")
 
 
 def near_components(vectors: DataFrame, key: str = "vec_id", embedding: str = "embedding", least: float = 0.9, block: int = BLOCK, leaf: int = LEAF) -> DataFrame:
