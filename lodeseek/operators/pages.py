@@ -27,7 +27,9 @@ def descendants(edges: DataFrame, roots: DataFrame, depth: int | None = None) ->
     def step(front: DataFrame) -> DataFrame:
         return front.join(below, front.id == below.above).select("root", F.col("page").alias("id"))
 
-    return levels(roots.select(F.col("id").alias("root"), "id"), step, ["root", "id"], "depth", depth)
+    found = levels(roots.select(F.col("id").alias("root"), "id"), step, ["root", "id"], "depth", depth)
+    forget(below)
+    return found
 
 
 def subtree_counts(tree: DataFrame) -> DataFrame:

@@ -150,11 +150,13 @@ class Store:
         values = [urllib.parse.unquote(n.partition("=")[2]) for n in leaves]
         return [_Entry(kind, None if v == _NULL else v, folder, n, "", seq) for v, n in zip(values, leaves, strict=True)]
 
-    def _commit(self, known: list[int], change: Callable[[int, str], list[_Entry]]) -> None:
-        """The version after ``known``: what ``change`` (of its number and a name for its folders) writes and returns."""
+    def _commit(self, known: list[int], change: Callable[[int, str], list[_Entry] | None]) -> None:
+        """The version after ``known``: what ``change`` (of its number and a name for its folders) writes and returns; None: no new version."""
         number = known[-1] + 1 if known else 0
         batch = f"{number:010d}-{uuid.uuid4().hex[:12]}"
         entries = change(number, batch)
+        if entries is None:
+            return
         if str(number) in self._names("versions") and number not in self.versions():  # what a crash has left incomplete
             self._delete(f"versions/{number}")
         pending = f"pending/{batch}"
@@ -216,8 +218,11 @@ class Store:
         if stream and any(e.kind == "batch" and e.value == stream[0] and e.seq >= stream[1] for e in before):
             return
 
-        def change(seq: int, batch: str) -> list[_Entry]:
+        def change(seq: int, batch: str) -> list[_Entry] | None:
             data = self._append(rows, batch, seq)
+            if not data and not stream:
+                self._delete(f"data/batch={batch}")
+                return None
             touched = {e.value for e in data}
             old = [e for e in before if e.value in touched and e.kind != "batch"]
             out = [e for e in before if e.value not in touched and e.kind != "batch"]
@@ -235,8 +240,7 @@ class Store:
             out += [e for e in old if e.kind != "facets"]
             return out + data + (self._write_facets(counts, batch, seq) if self.counted else [])
 
-        if stream or not rows.isEmpty():
-            self._commit(known, change)
+        self._commit(known, change)
 
     def _delete_keys(self, gone: DataFrame, keys: tuple[str, ...] | list[str], values: set, batch: str, seq: int) -> list[_Entry]:
         folder = f"deletes/batch={batch}"

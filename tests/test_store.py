@@ -74,6 +74,9 @@ def test_bytes_follow_the_change_and_compaction_folds(spark, tmp_path):
     assert _size(tmp_path / "t/data") - whole < whole / 20 and _size(tmp_path / "t/deletes") < whole / 20
     before = _rows(table)
     assert len(before) == 2999 and ("s", 7, "x", "new") in before
+    versions = table.versions()
+    table.upsert(_frame(spark, []), ("source", "doc"))
+    assert table.versions() == versions
     assert table.compact() == ["s"] and _rows(table) == before
     assert all(e.kind == "data" for e in table._entries(table.versions()[-1]))
     assert "left_anti" not in str(table.read()._jdf.queryExecution().optimizedPlan()).lower().replace("leftanti", "left_anti")
