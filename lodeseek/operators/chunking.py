@@ -9,7 +9,7 @@ windows over lines run over one segment.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from lodeseek.config import DEFAULTS
@@ -21,41 +21,42 @@ _LEVELS = range(1, 7)
 SEGMENT = 20_000
 
 
-def _segment() -> Column:
-    return F.expr(f"pos div {SEGMENT}").cast("int")
+def _segmented(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` with their segment and, as a struct that isn't null, their document: what lines are dealt by."""
+    return rows if "segment_doc" in rows.columns else rows.withColumns({"segment_doc": F.struct(key), "segment": F.expr(f"pos div {SEGMENT}").cast("int")})
 
 
-def _before(key: str) -> Window:
+def _before() -> WindowSpec:
     """The segments of a document before one."""
-    return Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    return Window.partitionBy("segment_doc").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _so_far(key: str) -> Window:
+def _so_far() -> WindowSpec:
     """The lines of a segment up to one."""
-    return Window.partitionBy(key, "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+    return Window.partitionBy("segment_doc", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
-def _with_state(rows: DataFrame, state: DataFrame, key: str) -> DataFrame:
-    """``rows`` with the columns of ``state``, the state at the start of their segment; a null key is a key."""
-    known = state.withColumnsRenamed({key: "state_key", "segment": "state_segment"})
-    return rows.join(known, rows[key].eqNullSafe(known["state_key"]) & (rows["segment"] == known["state_segment"])).drop("state_key", "state_segment")
+def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
+    """``rows`` with the columns of ``state``, the state at the start of their segment; lines stay where they are dealt."""
+    return rows.join(state, ["segment_doc", "segment"])
 
 
 def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, pos, line, fenced, level, title): level is 0 outside headings.
+    """(key, pos, line, fenced, level, title, segment_doc, segment): level is 0 outside headings.
 
-    A line of three backticks opens or closes a fence and belongs to it as text.
+    A line of three backticks opens or closes a fence and belongs to it as text. The last
+    two columns tell the segment, so that ``heading_trail`` finds lines dealt by it.
     """
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("segment", _segment())
+    each = _segmented(docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")), key)
     fence = F.col("line").rlike(r"^\s*```")
-    fences = each.groupBy(key, "segment").agg(F.count_if(fence).alias("fences"))
-    state = fences.select(key, "segment", F.coalesce(F.sum("fences").over(_before(key)), F.lit(0)).alias("opened"))
-    each = _with_state(each, state, key)
-    inside = (F.col("opened") + F.sum(fence.cast("int")).over(_so_far(key))) % 2 == 1
+    fences = each.groupBy("segment_doc", "segment").agg(F.count_if(fence).alias("fences"))
+    state = fences.select("segment_doc", "segment", F.coalesce(F.sum("fences").over(_before()), F.lit(0)).alias("opened"))
+    each = _with_state(each, state)
+    inside = (F.col("opened") + F.sum(fence.cast("int")).over(_so_far())) % 2 == 1
     heading = ~fence & ~F.col("inside") & F.col("line").rlike(_HEADING)
     level = F.when(heading, F.length(F.regexp_extract("line", _HEADING, 1))).otherwise(0)
     title = F.when(heading, strip(F.regexp_extract("line", _HEADING, 2)))
-    return each.withColumn("inside", inside).select(key, "pos", "line", (fence | F.col("inside")).alias("fenced"), level.alias("level"), title.alias("title"))
+    return each.withColumn("inside", inside).select(key, "pos", "line", (fence | F.col("inside")).alias("fenced"), level.alias("level"), title.alias("title"), "segment_doc", "segment")
 
 
 def heading_trail(marked: DataFrame, key: str) -> DataFrame:
@@ -63,15 +64,15 @@ def heading_trail(marked: DataFrame, key: str) -> DataFrame:
 
     The title of a level holds until a heading of the same or a higher level follows.
     """
-    rows = marked.withColumn("segment", _segment())
+    rows = _segmented(marked, key)
     at = {k: F.when(F.col("level") == k, F.struct("pos", "title")) for k in _LEVELS}
-    ends = rows.groupBy(key, "segment").agg(F.count_if(F.col("level") > 0).alias("headings"), *[F.max(at[k]).alias(f"last{k}") for k in _LEVELS])
-    carried = [F.last(f"last{k}", True).over(_before(key)).alias(f"before{k}") for k in _LEVELS]
-    state = ends.select(key, "segment", F.coalesce(F.sum("headings").over(_before(key)), F.lit(0)).alias("closed"), *carried)
-    upto = _so_far(key)
+    ends = rows.groupBy("segment_doc", "segment").agg(F.count_if(F.col("level") > 0).alias("headings"), *[F.max(at[k]).alias(f"last{k}") for k in _LEVELS])
+    carried = [F.last(f"last{k}", True).over(_before()).alias(f"before{k}") for k in _LEVELS]
+    state = ends.select("segment_doc", "segment", F.coalesce(F.sum("headings").over(_before()), F.lit(0)).alias("closed"), *carried)
+    upto = _so_far()
     last = [F.coalesce(F.last(at[k], True).over(upto), F.col(f"before{k}")).alias(f"h{k}") for k in _LEVELS]
     section = F.col("closed") + F.sum((F.col("level") > 0).cast("int")).over(upto)
-    rows = _with_state(rows, state, key).select(*marked.columns, section.alias("section"), *last)
+    rows = _with_state(rows, state).select(*marked.columns, section.alias("section"), *last)
     alive: list[Column] = []
     for k in _LEVELS:
         above = [F.coalesce(F.col(f"h{j}.pos"), F.lit(-1)) for j in _LEVELS if j < k]
@@ -118,11 +119,12 @@ def chunk_ids(made: DataFrame, source: Column, source_id: Column) -> DataFrame:
 
 def asciidoc_to_markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, markdown): blocks become fences; images, attributes and index entries go."""
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")).withColumn("segment", _segment())
+    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    each = _segmented(each, key)
     mark = F.col("line").rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,})\s*$")
-    marks_ = each.groupBy(key, "segment").agg(F.count_if(mark).alias("marks"))
-    each = _with_state(each, marks_.select(key, "segment", F.coalesce(F.sum("marks").over(_before(key)), F.lit(0)).alias("opened")), key)
-    rows = each.withColumns({"mark": mark, "code": (F.col("opened") + F.sum(mark.cast("int")).over(_so_far(key))) % 2 == 1})
+    counts = each.groupBy("segment_doc", "segment").agg(F.count_if(mark).alias("marks"))
+    each = _with_state(each, counts.select("segment_doc", "segment", F.coalesce(F.sum("marks").over(_before()), F.lit(0)).alias("opened")))
+    rows = each.withColumns({"mark": mark, "code": (F.col("opened") + F.sum(mark.cast("int")).over(_so_far())) % 2 == 1})
     plain = F.regexp_replace("line", r"\(\(\([^)]*\)\)\)", "")
     dropped = F.col("line").rlike("^image::") | plain.rlike(r"^\[.*\]\s*$")
     heading = r"^(=+)\s+(.*)$"
