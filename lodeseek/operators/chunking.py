@@ -1,10 +1,11 @@
 """Documents to chunks: lines, fences, headings, sections, packed paragraphs.
 
-Order matters throughout, so lines carry their position. A long document is scanned in
+Order matters throughout, so lines carry their position, and windows run over a document's
+lines. Where single documents are too long for a task, ``segmented=True`` scans them in
 segments of ``SEGMENT`` lines: what a segment does to the state of the scan (fences opened,
 headings set) is summed up on its own, the sums are composed over the document's segments,
-of which there are few, and each segment is then read with the state it starts from. So
-windows over lines run over one segment.
+of which there are few, and each segment is then read with the state it starts from. Rows
+are the same; the documents are read once more for each state.
 """
 
 from __future__ import annotations
@@ -21,9 +22,16 @@ _LEVELS = range(1, 7)
 SEGMENT = 20_000
 
 
-def _segmented(rows: DataFrame, key: str) -> DataFrame:
-    """``rows`` with their segment and, as a struct that isn't null, their document: what lines are dealt by."""
-    return rows if "segment_doc" in rows.columns else rows.withColumns({"segment_doc": F.struct(key), "segment": F.expr(f"pos div {SEGMENT}").cast("int")})
+def _dealt(docs: DataFrame, key: str, text: str, segmented: bool) -> DataFrame:
+    """(key, segment_doc, pos, line, segment): lines, and what they are dealt by.
+
+    segment_doc is a struct of the key, so it isn't null, and of whether the document may
+    have several segments; the state of others is that of an empty text.
+    """
+    several = F.coalesce(F.length(text), F.lit(0)) > SEGMENT if segmented else F.lit(False)
+    doc = F.struct(F.col(key).alias("key"), several.alias("long"))
+    each = docs.select(key, doc.alias("segment_doc"), F.posexplode(lines(F.col(text))).alias("pos", "line"))
+    return each.withColumn("segment", F.expr(f"pos div {SEGMENT}").cast("int") if segmented else F.lit(0))
 
 
 def _before() -> WindowSpec:
@@ -37,42 +45,47 @@ def _so_far() -> WindowSpec:
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
-    """``rows`` with the columns of ``state``, the state at the start of their segment; lines stay where they are dealt."""
-    return rows.join(state, ["segment_doc", "segment"])
+    """``rows`` with the columns of ``state``, the state at the start of their segment, null where there is none; lines stay where they are dealt."""
+    return rows.join(state, ["segment_doc", "segment"], "left")
 
 
-def document_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
+def document_lines(docs: DataFrame, key: str, text: str, segmented: bool = False) -> DataFrame:
     """(key, pos, line, fenced, level, title, segment_doc, segment): level is 0 outside headings.
 
     A line of three backticks opens or closes a fence and belongs to it as text. The last
     two columns tell the segment, so that ``heading_trail`` finds lines dealt by it.
     """
-    each = _segmented(docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line")), key)
+    each = _dealt(docs, key, text, segmented)
     fence = F.col("line").rlike(r"^\s*```")
-    fences = each.groupBy("segment_doc", "segment").agg(F.count_if(fence).alias("fences"))
-    state = fences.select("segment_doc", "segment", F.coalesce(F.sum("fences").over(_before()), F.lit(0)).alias("opened"))
-    each = _with_state(each, state)
-    inside = (F.col("opened") + F.sum(fence.cast("int")).over(_so_far())) % 2 == 1
+    opened = F.lit(0)
+    if segmented:
+        fences = each.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(fence).alias("fences"))
+        each = _with_state(each, fences.select("segment_doc", "segment", F.sum("fences").over(_before()).alias("opened")))
+        opened = F.coalesce("opened", F.lit(0))
+    inside = (opened + F.sum(fence.cast("int")).over(_so_far())) % 2 == 1
     heading = ~fence & ~F.col("inside") & F.col("line").rlike(_HEADING)
     level = F.when(heading, F.length(F.regexp_extract("line", _HEADING, 1))).otherwise(0)
     title = F.when(heading, strip(F.regexp_extract("line", _HEADING, 2)))
     return each.withColumn("inside", inside).select(key, "pos", "line", (fence | F.col("inside")).alias("fenced"), level.alias("level"), title.alias("title"), "segment_doc", "segment")
 
 
-def heading_trail(marked: DataFrame, key: str) -> DataFrame:
-    """``marked`` lines with ``section`` (headings so far) and ``heading``, the titles above a line joined by " - ".
+def heading_trail(marked: DataFrame, key: str, segmented: bool = False) -> DataFrame:
+    """``marked`` lines (of ``document_lines``) with ``section`` (headings so far) and ``heading``, the titles above a line joined by " - ".
 
     The title of a level holds until a heading of the same or a higher level follows.
     """
-    rows = _segmented(marked, key)
     at = {k: F.when(F.col("level") == k, F.struct("pos", "title")) for k in _LEVELS}
-    ends = rows.groupBy("segment_doc", "segment").agg(F.count_if(F.col("level") > 0).alias("headings"), *[F.max(at[k]).alias(f"last{k}") for k in _LEVELS])
-    carried = [F.last(f"last{k}", True).over(_before()).alias(f"before{k}") for k in _LEVELS]
-    state = ends.select("segment_doc", "segment", F.coalesce(F.sum("headings").over(_before()), F.lit(0)).alias("closed"), *carried)
     upto = _so_far()
-    last = [F.coalesce(F.last(at[k], True).over(upto), F.col(f"before{k}")).alias(f"h{k}") for k in _LEVELS]
-    section = F.col("closed") + F.sum((F.col("level") > 0).cast("int")).over(upto)
-    rows = _with_state(rows, state).select(*marked.columns, section.alias("section"), *last)
+    section = F.sum((F.col("level") > 0).cast("int")).over(upto)
+    last = {k: F.last(at[k], True).over(upto) for k in _LEVELS}
+    rows = marked
+    if segmented:
+        ends = rows.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(F.col("level") > 0).alias("headings"), *[F.max(at[k]).alias(f"last{k}") for k in _LEVELS])
+        carried = [F.last(f"last{k}", True).over(_before()).alias(f"before{k}") for k in _LEVELS]
+        rows = _with_state(rows, ends.select("segment_doc", "segment", F.sum("headings").over(_before()).alias("closed"), *carried))
+        section = F.coalesce("closed", F.lit(0)) + section
+        last = {k: F.coalesce(last[k], F.col(f"before{k}")) for k in _LEVELS}
+    rows = rows.select(*marked.columns, section.alias("section"), *[last[k].alias(f"h{k}") for k in _LEVELS])
     alive: list[Column] = []
     for k in _LEVELS:
         above = [F.coalesce(F.col(f"h{j}.pos"), F.lit(-1)) for j in _LEVELS if j < k]
@@ -81,9 +94,9 @@ def heading_trail(marked: DataFrame, key: str) -> DataFrame:
     return rows.select(*marked.columns, "section", F.concat_ws(" - ", *alive).alias("heading"))
 
 
-def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+def sections(docs: DataFrame, key: str, text: str, segmented: bool = False) -> DataFrame:
     """(key, section, heading, body): stripped bodies that aren't empty."""
-    trail = heading_trail(document_lines(docs, key, text), key)
+    trail = heading_trail(document_lines(docs, key, text, segmented), key, segmented)
     own = F.filter(F.array_sort(F.collect_list(F.struct("pos", "line", "level"))), lambda r: r["level"] == 0)
     made = trail.groupBy(key, "section").agg(F.max_by("heading", "pos").alias("heading"), own.alias("own"))
     body = strip(F.array_join(F.transform("own", lambda r: r["line"]), "\n"))
@@ -105,9 +118,9 @@ def pack_paragraphs(body: Column, most: int) -> Column:
     return F.when(F.length(body) <= most, F.array(body)).otherwise(packed)
 
 
-def chunks(docs: DataFrame, key: str, text: str, most: int = DEFAULTS.chunk_chars) -> DataFrame:
+def chunks(docs: DataFrame, key: str, text: str, most: int = DEFAULTS.chunk_chars, segmented: bool = False) -> DataFrame:
     """(key, chunk_idx, heading, text): the chunks of each document, numbered from 0."""
-    pieces = sections(docs, key, text).select(key, "section", "heading", F.posexplode(pack_paragraphs(F.col("body"), most)).alias("piece", "text"))
+    pieces = sections(docs, key, text, segmented).select(key, "section", "heading", F.posexplode(pack_paragraphs(F.col("body"), most)).alias("piece", "text"))
     order = Window.partitionBy(key).orderBy("section", "piece")
     return pieces.select(key, (F.row_number().over(order) - 1).alias("chunk_idx"), "heading", "text")
 
@@ -117,14 +130,16 @@ def chunk_ids(made: DataFrame, source: Column, source_id: Column) -> DataFrame:
     return made.withColumn("id", document_chunk_id(source, source_id, F.col("chunk_idx")))
 
 
-def asciidoc_to_markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
+def asciidoc_to_markdown(docs: DataFrame, key: str, text: str, segmented: bool = False) -> DataFrame:
     """(key, markdown): blocks become fences; images, attributes and index entries go."""
-    each = docs.select(key, F.posexplode(lines(F.col(text))).alias("pos", "line"))
-    each = _segmented(each, key)
+    each = _dealt(docs, key, text, segmented)
     mark = F.col("line").rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,})\s*$")
-    counts = each.groupBy("segment_doc", "segment").agg(F.count_if(mark).alias("marks"))
-    each = _with_state(each, counts.select("segment_doc", "segment", F.coalesce(F.sum("marks").over(_before()), F.lit(0)).alias("opened")))
-    rows = each.withColumns({"mark": mark, "code": (F.col("opened") + F.sum(mark.cast("int")).over(_so_far())) % 2 == 1})
+    opened = F.lit(0)
+    if segmented:
+        counts = each.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(mark).alias("marks"))
+        each = _with_state(each, counts.select("segment_doc", "segment", F.sum("marks").over(_before()).alias("opened")))
+        opened = F.coalesce("opened", F.lit(0))
+    rows = each.withColumns({"mark": mark, "code": (opened + F.sum(mark.cast("int")).over(_so_far())) % 2 == 1})
     plain = F.regexp_replace("line", r"\(\(\([^)]*\)\)\)", "")
     dropped = F.col("line").rlike("^image::") | plain.rlike(r"^\[.*\]\s*$")
     heading = r"^(=+)\s+(.*)$"

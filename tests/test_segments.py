@@ -1,5 +1,6 @@
 """Documents scanned in segments: the same lines, trails and sections whatever the size of a segment."""
 
+import collections
 import random
 
 import pytest
@@ -34,12 +35,14 @@ def _plain(text):
 def test_any_segment_size_gives_the_same_rows(spark, monkeypatch, size):
     docs = _documents()
     df = spark.createDataFrame(docs, "id long, text string")
-    whole = sorted(map(tuple, chunking.asciidoc_to_markdown(df, "id", "text").collect()), key=str)
+    rows = lambda made: sorted(map(tuple, made.collect()), key=str)
+    whole = [rows(f(df, "id", "text")) for f in (chunking.asciidoc_to_markdown, chunking.sections, chunking.chunks)]
+    trail = lambda segmented: rows(chunking.heading_trail(chunking.document_lines(df, "id", "text", segmented), "id", segmented).select("id", "pos", "fenced", "level", "section", "heading"))
+    want = sorted(((k, *row) for k, text in docs for row in _plain(text)), key=str)
+    assert trail(False) == want
     monkeypatch.setattr(chunking, "SEGMENT", size)
-    got = chunking.heading_trail(chunking.document_lines(df, "id", "text"), "id").select("id", "pos", "fenced", "level", "section", "heading").collect()
-    want = [(k, *row) for k, text in docs for row in _plain(text)]
-    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert sorted(map(tuple, chunking.asciidoc_to_markdown(df, "id", "text").collect()), key=str) == whole
+    assert trail(True) == want
+    assert [rows(f(df, "id", "text", segmented=True)) for f in (chunking.asciidoc_to_markdown, chunking.sections, chunking.chunks)] == whole
 
 
 def test_lines_of_one_long_document_are_in_many_tasks(spark, monkeypatch):
@@ -47,10 +50,10 @@ def test_lines_of_one_long_document_are_in_many_tasks(spark, monkeypatch):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
         text = "# Top\n" + "\n".join("```" if k % 7 == 0 else f"## H{k}" if k % 100 == 1 else f"line {k}" for k in range(20_000))
-        trail = chunking.heading_trail(chunking.document_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text"), "id")
-        tasks = trail.groupBy(F.spark_partition_id().alias("task")).count().collect()
-        assert len(tasks) > 2 and max(r["count"] for r in tasks) < 15_000
-        got = [(r.pos, r.fenced, r.level, r.section, r.heading) for r in trail.orderBy("pos").collect()]
-        assert got == _plain(text)
+        trail = chunking.heading_trail(chunking.document_lines(spark.createDataFrame([(1, text)], "id long, text string"), "id", "text", True), "id", True)
+        rows = trail.withColumn("task", F.spark_partition_id()).collect()
+        tasks = collections.Counter(r.task for r in rows)
+        assert len(tasks) > 2 and max(tasks.values()) < 15_000
+        assert sorted((r.pos, r.fenced, r.level, r.section, r.heading) for r in rows) == _plain(text)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
