@@ -23,15 +23,16 @@ SEGMENT = 20_000
 
 
 def _dealt(docs: DataFrame, key: str, text: str, segmented: bool) -> DataFrame:
-    """(key, segment_doc, pos, line, segment): lines, and what they are dealt by.
+    """(key, pos, line), and for segments (segment_doc, segment): lines, and what they are dealt by.
 
     segment_doc is a struct of the key, so it isn't null, and of whether the document may
     have several segments; the state of others is that of an empty text.
     """
-    several = F.coalesce(F.length(text), F.lit(0)) > SEGMENT if segmented else F.lit(False)
-    doc = F.struct(F.col(key).alias("key"), several.alias("long"))
-    each = docs.select(key, doc.alias("segment_doc"), F.posexplode(lines(F.col(text))).alias("pos", "line"))
-    return each.withColumn("segment", F.expr(f"pos div {SEGMENT}").cast("int") if segmented else F.lit(0))
+    each = F.posexplode(lines(F.col(text))).alias("pos", "line")
+    if not segmented:
+        return docs.select(key, each)
+    doc = F.struct(F.col(key).alias("key"), (F.coalesce(F.length(text), F.lit(0)) > SEGMENT).alias("long"))
+    return docs.select(key, doc.alias("segment_doc"), each).withColumn("segment", F.expr(f"pos div {SEGMENT}").cast("int"))
 
 
 def _before() -> WindowSpec:
@@ -39,9 +40,9 @@ def _before() -> WindowSpec:
     return Window.partitionBy("segment_doc").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
 
 
-def _so_far() -> WindowSpec:
-    """The lines of a segment up to one."""
-    return Window.partitionBy("segment_doc", "segment").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
+def _so_far(key: str, segmented: bool) -> WindowSpec:
+    """The lines of a document, or of a segment, up to one."""
+    return Window.partitionBy(*(("segment_doc", "segment") if segmented else (key,))).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
 
 
 def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
@@ -50,10 +51,11 @@ def _with_state(rows: DataFrame, state: DataFrame) -> DataFrame:
 
 
 def document_lines(docs: DataFrame, key: str, text: str, segmented: bool = False) -> DataFrame:
-    """(key, pos, line, fenced, level, title, segment_doc, segment): level is 0 outside headings.
+    """(key, pos, line, fenced, level, title): level is 0 outside headings.
 
-    A line of three backticks opens or closes a fence and belongs to it as text. The last
-    two columns tell the segment, so that ``heading_trail`` finds lines dealt by it.
+    A line of three backticks opens or closes a fence and belongs to it as text. With
+    segments, segment_doc and segment tell which one, so that ``heading_trail`` finds the
+    lines dealt by it.
     """
     each = _dealt(docs, key, text, segmented)
     fence = F.col("line").rlike(r"^\s*```")
@@ -62,11 +64,11 @@ def document_lines(docs: DataFrame, key: str, text: str, segmented: bool = False
         fences = each.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(fence).alias("fences"))
         each = _with_state(each, fences.select("segment_doc", "segment", F.sum("fences").over(_before()).alias("opened")))
         opened = F.coalesce("opened", F.lit(0))
-    inside = (opened + F.sum(fence.cast("int")).over(_so_far())) % 2 == 1
+    inside = (opened + F.sum(fence.cast("int")).over(_so_far(key, segmented))) % 2 == 1
     heading = ~fence & ~F.col("inside") & F.col("line").rlike(_HEADING)
     level = F.when(heading, F.length(F.regexp_extract("line", _HEADING, 1))).otherwise(0)
     title = F.when(heading, strip(F.regexp_extract("line", _HEADING, 2)))
-    return each.withColumn("inside", inside).select(key, "pos", "line", (fence | F.col("inside")).alias("fenced"), level.alias("level"), title.alias("title"), "segment_doc", "segment")
+    return each.withColumn("inside", inside).select(key, "pos", "line", (fence | F.col("inside")).alias("fenced"), level.alias("level"), title.alias("title"), *(("segment_doc", "segment") if segmented else ()))
 
 
 def heading_trail(marked: DataFrame, key: str, segmented: bool = False) -> DataFrame:
@@ -75,7 +77,7 @@ def heading_trail(marked: DataFrame, key: str, segmented: bool = False) -> DataF
     The title of a level holds until a heading of the same or a higher level follows.
     """
     at = {k: F.when(F.col("level") == k, F.struct("pos", "title")) for k in _LEVELS}
-    upto = _so_far()
+    upto = _so_far(key, segmented)
     section = F.sum((F.col("level") > 0).cast("int")).over(upto)
     last = {k: F.last(at[k], True).over(upto) for k in _LEVELS}
     rows = marked
@@ -139,7 +141,7 @@ def asciidoc_to_markdown(docs: DataFrame, key: str, text: str, segmented: bool =
         counts = each.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(mark).alias("marks"))
         each = _with_state(each, counts.select("segment_doc", "segment", F.sum("marks").over(_before()).alias("opened")))
         opened = F.coalesce("opened", F.lit(0))
-    rows = each.withColumns({"mark": mark, "code": (opened + F.sum(mark.cast("int")).over(_so_far())) % 2 == 1})
+    rows = each.withColumns({"mark": mark, "code": (opened + F.sum(mark.cast("int")).over(_so_far(key, segmented))) % 2 == 1})
     plain = F.regexp_replace("line", r"\(\(\([^)]*\)\)\)", "")
     dropped = F.col("line").rlike("^image::") | plain.rlike(r"^\[.*\]\s*$")
     heading = r"^(=+)\s+(.*)$"
