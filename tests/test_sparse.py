@@ -57,3 +57,23 @@ def test_ranks_of_unlike_scores_are_fused(spark):
     lists = spark.createDataFrame([(1, 0, 10, 1), (1, 0, 11, 2), (1, 1, 11, 1), (1, 1, 12, 2), (2, 0, 9, 1)], "qid long, variant int, id long, rank int")
     got = [(r.qid, r.id, r.place) for r in search.fuse_ranks(lists).orderBy("qid", "place").collect()]
     assert got == [(1, 11, 1), (1, 10, 2), (1, 12, 3), (2, 9, 1)]
+
+
+def test_tiles_equal_a_plain_sum(spark, tmp_path, monkeypatch):
+    """Queries dealt in tiles, ties among copies of a document, and rows that share a key: what is sent on is k a tile."""
+    monkeypatch.setattr(sparse, "SENT", 10)
+    monkeypatch.setattr(sparse, "ASKED", 60)
+    monkeypatch.setattr(sparse, "SMALL_STRIPE", 500)
+    docs, queries = _case()
+    docs += [(k, docs[7][1]) for k in range(2000, 2040)]
+    index = sparse.build(spark.createDataFrame(docs, "id long, text string"), str(tmp_path / "s"))
+    asked = spark.createDataFrame(queries, "qid long, variant int, text string")
+    for frequent in (0.0, 0.05, 2.0):
+        got = sorted((r.qid, r.variant, r["rank"], r.id, r.score) for r in index.search(asked, 5, frequent).collect())
+        want = sorted((q, v, n, i, s) for q, v, i, s, n in _plain(docs, queries, 5))
+        assert [r[:4] for r in got] == [r[:4] for r in want] and [r[4] for r in got] == pytest.approx([r[4] for r in want], abs=2e-7)
+    split = [(1, "a b"), (1, "b c"), (2, "b"), (None, "a"), (None, "d")]
+    parts = sparse.build(spark.createDataFrame(split, "id long, text string"), str(tmp_path / "t"))
+    whole = sparse.build(spark.createDataFrame([(1, "a b b c"), (2, "b"), (None, "a d")], "id long, text string"), str(tmp_path / "u"))
+    ask = spark.createDataFrame([(0, 0, "a b"), (1, 0, "d c")], "qid long, variant int, text string")
+    assert sorted(map(str, parts.search(ask, 3).collect())) == sorted(map(str, whole.search(ask, 3).collect()))
