@@ -166,3 +166,25 @@ def test_personal_data_found_by_plain_rules_is_gone(spark):
     assert seen["card"] >= 2 and seen["iban"] >= 1 and seen["ip"] >= 2 and seen["mail"] >= 1
     odd = {r.doc_id: r.text for r in pii.pseudonymise(spark.createDataFrame(made, "doc_id long, text string"), "k").collect()}
     assert "4111 1111 1111 1112" in odd[5001] and "DE89370400440532013001" in odd[5002] and "999.1.1.1" in odd[5003] and "1984-02-29" not in odd[5004]
+
+
+def test_forest_of_all_labelled_rows(spark, monkeypatch):
+    """Many rows: every tree draws from all of them, and the threshold is the one that a plain count over all scores gives."""
+    rng = np.random.default_rng(4)
+    text = lambda k, bad: " ".join(("#" if bad else "") + "".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(60))
+    docs = spark.createDataFrame([(k, text(k, k % 20 == 0)) for k in range(400)], "doc_id long, text string").repartition(3)
+    labels = docs.select("doc_id", (F.col("doc_id") % 20 != 0).cast("int").alias("quality"))
+    monkeypatch.setattr(quality, "LOCAL", 100)
+    monkeypatch.setattr(quality, "TREE_ROWS", 64)
+    forest = quality.fit_forest(docs, labels)
+    assert len(forest.trees) == quality.TREES and len({t[1].tobytes() for t in forest.trees}) == quality.TREES
+    rows = quality.digests(docs, labels).collect()
+    assert {r.doc_id for r in rows if not r.kept} == set(range(0, 400, 20))
+    again = quality.fit_forest(docs.repartition(5), labels)
+    assert again.threshold == forest.threshold and all(np.array_equal(a, b) for s, t in zip(again.trees, forest.trees, strict=True) for a, b in zip(s, t, strict=True))
+    step, bad = np.ceil(np.array([r.anomaly for r in rows]) * quality.GRID).astype(int), np.array([r.doc_id % 20 == 0 for r in rows])
+    good = np.sort(step[~bad])
+    cuts = [c for c in sorted(set(step)) if c >= good[math.ceil(len(good) * (1 - quality.MAX_LOSS)) - 1]]
+    best = max(cuts, key=lambda c: (round((step[bad] > c).mean() - (step[~bad] > c).mean(), 12), c))
+    over = step[step > best]
+    assert forest.threshold == ((best + over.min() - 1) / 2 if len(over) else best) / quality.GRID
