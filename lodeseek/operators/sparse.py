@@ -93,10 +93,10 @@ class _Queries:
         return np.full((len(self.qid), k), -np.inf)
 
 
-def _scored(docs: pa.RecordBatch | pa.Table, queries: _Queries, best: np.ndarray, mean: float, k: int, frequent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _scored(docs: pa.Table, queries: _Queries, best: np.ndarray, mean: float, k: int, frequent: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, document, score) as indexes: the best ``k`` of each query in a tile that can still be among its best, by ``best``, which is updated."""
     n = docs.num_rows
-    column = lambda c: docs.column(c).combine_chunks() if isinstance(docs, pa.Table) else docs.column(c)
+    column = lambda c: docs.column(c).combine_chunks()
     terms, vocabulary = column("terms"), queries.vocabulary
     row, flat = np.repeat(np.arange(n), terms.value_lengths().to_numpy().astype(np.int64)), terms.flatten().to_numpy()
     at = np.minimum(np.searchsorted(vocabulary, flat), max(0, len(vocabulary) - 1))
@@ -156,7 +156,20 @@ def _scored(docs: pa.RecordBatch | pa.Table, queries: _Queries, best: np.ndarray
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _found(docs: pa.RecordBatch | pa.Table, queries: _Queries, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Batches put together until they have about ``SMALL_STRIPE`` entries."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += len(batch.column("terms").flatten())
+        if size >= SMALL_STRIPE:
+            yield pa.Table.from_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _found(docs: pa.Table, queries: _Queries, of: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.Table:
     query, at, score = of
     ids = docs.column("id").take(pa.array(at))
     return pa.table([pa.array(queries.qid[query], pa.int64()), pa.array(queries.variant[query], pa.int32()), ids, pa.array(score)], names=["qid", "variant", "id", "score"])
@@ -198,7 +211,7 @@ class Bm25:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             queries = _Queries(shared.value)
             best = queries.best(k)
-            for batch in batches:
+            for batch in _gathered(batches):
                 yield from _found(batch, queries, _scored(batch, queries, best, mean, k, frequent)).to_batches()
 
         return self.documents.mapInArrow(run, self._schema())

@@ -11,8 +11,24 @@ from lodeseek.operators.chunking import asciidoc_to_markdown
 from lodeseek.operators.code_chunks import admitted, skipped
 
 
+#: What opening a file counts for when files are dealt to tasks, in bytes.
+OPEN_COST = 64 << 10
+
+
+def _small_files(spark: SparkSession) -> None:
+    """Let a task of the session read up to some thousand small files, unless it has a setting of its own.
+
+    By the default of 4 MiB for each file a task gets 32 of them, so that starting tasks
+    takes longer than reading.
+    """
+    name = "spark.sql.files.openCostInBytes"
+    if spark.conf.get(name).lower() in ("4194304", "4194304b", "4mb"):
+        spark.conf.set(name, str(OPEN_COST))
+
+
 def _files(spark: SparkSession, root: str) -> DataFrame:
     """(url, rel, modificationTime, content) of all files below ``root``."""
+    _small_files(spark)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*").load(root)
     base = F.lit(forward_slashes_of(root))
     url = F.regexp_replace("path", "^file:/+", "/")

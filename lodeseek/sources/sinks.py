@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 
@@ -20,6 +21,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 STAGING = ".staging"
+#: Threads that move files at a commit, and folders that a task remembers to be there.
+MOVES, KNOWN = 16, 10_000
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -77,24 +80,33 @@ class _Staged(DataSourceWriter):
 
 
 class _MarkdownWriter(_Staged):
+    def __init__(self, options):
+        super().__init__(options)
+        self.made: set[str] = set()
+
     def put(self, fs: pafs.FileSystem, folder: str, row: Row) -> None:
         if any(part in ("", ".", "..") for part in row.file.split("/")):
             raise ValueError(f"{row.file!r} isn't a path below the folder")
-        fs.create_dir(f"{folder}/{row.file}".rpartition("/")[0], recursive=True)
+        above = f"{folder}/{row.file}".rpartition("/")[0]
+        if above not in self.made:
+            fs.create_dir(above, recursive=True)
+            if len(self.made) >= KNOWN:
+                self.made.clear()
+            self.made.add(above)
         with fs.open_output_stream(f"{folder}/{row.file}") as out:
             out.write((row.markdown or "").encode())
 
     def publish(self, fs: pafs.FileSystem, base: str, folders: list[str]) -> None:
         known: set[str] = set()
-        for folder in folders:
-            for info in fs.get_file_info(pafs.FileSelector(folder, recursive=True)):
-                if info.type == pafs.FileType.File:
-                    target = base + info.path[len(folder) :]
-                    above = target.rpartition("/")[0]
-                    if above not in known:
-                        fs.create_dir(above, recursive=True)
-                        known.add(above)
-                    fs.move(info.path, target)
+        with ThreadPoolExecutor(MOVES) as pool:
+            for folder in folders:
+                staged = [i.path for i in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File]
+                above = {(base + path[len(folder) :]).rpartition("/")[0] for path in staged} - known
+                for _ in pool.map(lambda path: fs.create_dir(path, recursive=True), above):
+                    pass
+                known |= above
+                for _ in pool.map(lambda paths, cut=len(folder): [fs.move(path, base + path[cut:]) for path in paths], [staged[at : at + 1000] for at in range(0, len(staged), 1000)]):
+                    pass
 
 
 class MarkdownSink(DataSource):

@@ -57,3 +57,21 @@ def test_lines_of_one_long_document_are_in_many_tasks(spark, monkeypatch):
         assert sorted((r.pos, r.fenced, r.level, r.section, r.heading) for r in rows) == _plain(text)
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """Some hundred small files are read by a few tasks; a session's own setting stays."""
+    from lodeseek.sources import files
+
+    name, was = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.openCostInBytes")
+    for k in range(400):
+        (tmp_path / f"f{k}.md").write_text(f"# {k}\n")
+    try:
+        spark.conf.set(name, "4194304")
+        assert files.documents(spark, str(tmp_path)).rdd.getNumPartitions() <= 8
+        assert files.documents(spark, str(tmp_path)).count() == 400
+        spark.conf.set(name, "12345")
+        files.documents(spark, str(tmp_path))
+        assert spark.conf.get(name) == "12345"
+    finally:
+        spark.conf.set(name, was)
