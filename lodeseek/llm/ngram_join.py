@@ -18,8 +18,8 @@ neighbours in differently shuffled orders of the list, and of the sets of a grou
 links give provisional components, and only pairs that lie across two components go on.
 Pairs inside a component cannot change it, so the components are those of all links.
 Pairs are held against parity sketches, whose Hamming distance bounds the symmetric
-difference from below: of 256 bits while groups of one set are paired, of 2,048 bits before
-two sets are compared.
+difference from below: while groups of one set are paired, of 256 bits and, in lists of
+more than ``LONG`` groups, of 1,024 bits; of 2,048 bits before two sets are compared.
 
 Words are runs of non-space bytes after lower-casing A-Z. A document of fewer words than
 the shingle size has its whole word sequence as its only shingle; one without words, or
@@ -49,6 +49,8 @@ PER_SHINGLE = 6
 SKETCH = 32
 #: Columns of the small parity sketch.
 SMALL = ("s0", "s1", "s2", "s3")
+#: Columns of the sketch that postings of long lists carry: half of ``SKETCH``, as the other half is folded onto it.
+WIDE = tuple(f"w{k}" for k in range(SKETCH // 2))
 #: Shuffled orders whose neighbours are verified before the rest, and how far apart those may be.
 ROUNDS, NEAR = 3, 3
 #: Posting lists of more groups go through the rounds first; so many of a list are put in order at once.
@@ -244,37 +246,70 @@ def _neighbours(lists: DataFrame, k: int, percent: int) -> DataFrame:
     return prior.where("p is not null and id <> p.id").select("id", "n", F.col("p.id").alias("id_p"), F.col("p.n").alias("n_p")).where(_sizes_fit(percent, "n", "n_p"))
 
 
-def _group_pairs(postings: DataFrame, of_group: DataFrame, percent: int) -> DataFrame:
-    """(grp_a, grp_b) of groups that the filters leave and whose sets are not all in one component.
+def _wide(groups: DataFrame, bodies: DataFrame) -> DataFrame:
+    """``groups`` (grp, id) with the columns ``WIDE`` of their sets' sketches."""
 
-    With c shared prefix shingles, the last of them at positions i and j, two sets share
-    c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
-    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Small sketches are those of groups
-    that consist of one set.
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            whole = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.int64).reshape(-1, SKETCH)
+            half = whole[:, : len(WIDE)] ^ whole[:, len(WIDE) :]
+            yield pa.RecordBatch.from_arrays([batch.column("grp"), *[pa.array(np.ascontiguousarray(x)) for x in half.T]], names=["grp", *WIDE])
+
+    return groups.join(bodies, "id").select("grp", "sketch").mapInArrow(fold, ", ".join(f"{c} long" for c in ("grp", *WIDE)))
+
+
+def _across(postings: DataFrame, of_group: DataFrame) -> DataFrame:
+    """Postings with what is known of their groups, of the lists that hold more than one component."""
+    p = postings.join(of_group, "grp")
+    split = p.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
+    return p.join(split, "token", "left_semi")
+
+
+def _met(p: DataFrame, sketches: tuple[tuple[str, ...], ...], percent: int) -> DataFrame:
+    """(grp_a, grp_b, n_a, n_b, pos_a, pos_b) for each list of ``p`` in which two groups meet that one shared shingle and the sketches leave.
+
+    sketches: each is a set of columns whose bits are held against the sizes; null lets a pair pass.
 
     The list of a token with more than ``LIST_BLOCK`` groups is cut by ranges of set sizes,
     of which only a range and its neighbours can hold similar sets, and by hash into parts;
     each pair of parts is a key of its own, so a long list is spread over many tasks.
     """
-    p = postings.join(of_group, "grp")
-    split = p.groupBy("token").agg(F.min("low").alias("least"), F.max("high").alias("most")).where("least < most").select("token")
-    p = p.join(split, "token", "left_semi")
     parts = F.ceil(F.col("length") / LIST_BLOCK).cast("int")
     ratio = 1.0001 * math.log(100 / percent) if percent < 100 else 1.0  # similar sizes are in one range or in neighbours
     size = F.when(parts > 1, F.floor(F.log(F.col("n").cast("double")) / ratio).cast("int")).otherwise(0)
     p = p.withColumns({"parts": parts, "size": size, "part": F.pmod(F.xxhash64("grp"), parts).cast("int")})
     upto = F.sequence(F.lit(0), F.col("parts") - 1)
     around = F.when(F.col("parts") > 1, F.array(F.col("size") - 1, F.col("size"), F.col("size") + 1)).otherwise(F.array(F.lit(0)))
-    kept = ("grp", "n", "pos", "low", "high", *SMALL)
+    kept = ("grp", "n", "pos", "low", "high", *[c for s in sketches for c in s])
     a = p.select("token", "size", F.col("part").alias("i"), F.explode(upto).alias("j"), *[F.col(x).alias(f"{x}_a") for x in kept])
     b = p.select("token", F.explode(around).alias("size"), "parts", "part", *kept).select("token", "size", F.explode(upto).alias("i"), F.col("part").alias("j"), *[F.col(x).alias(f"{x}_b") for x in kept])
-    enough = "{0} * " + str(100 + percent) + f" >= {percent} * (n_a + n_b)"
     most = "(least(pos_a, pos_b) + 1 + least(n_a - pos_a - 1, n_b - pos_b - 1))"
-    apart = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in SMALL)
     across = "grp_a < grp_b and least(low_a, low_b) < greatest(high_a, high_b)"
-    met = a.join(b, [*[a[c] == b[c] for c in ("token", "size", "i", "j")], F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(enough.format(most)), F.expr(f"coalesce({100 + percent} * ({apart}) <= {100 - percent} * (n_a + n_b), true)")])
+    apart = [" + ".join(f"bit_count({c}_a ^ {c}_b)" for c in s) for s in sketches]
+    near = [F.expr(f"coalesce({100 + percent} * ({x}) <= {100 - percent} * (n_a + n_b), true)") for x in apart]
+    met = a.join(b, [*[a[c] == b[c] for c in ("token", "size", "i", "j")], F.expr(across), F.expr(_sizes_fit(percent, "n_a", "n_b")), F.expr(_enough(percent, most)), *near])
+    return met.select("grp_a", "grp_b", "n_a", "n_b", "pos_a", "pos_b")
+
+
+def _enough(percent: int, common: str) -> str:
+    return f"{common} * {100 + percent} >= {percent} * (n_a + n_b)"
+
+
+def _group_pairs(p: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
+    """(grp_a, grp_b) of groups in ``p`` (see ``_across``) that the filters leave and whose sets are not all in one component.
+
+    With c shared prefix shingles, the last of them at positions i and j, two sets share
+    c + min(n - i - 1, m - j - 1) shingles at most; each shared shingle alone bounds the
+    overlap by min(i, j) + 1 + min(n - i - 1, m - j - 1). Sketches are those of groups
+    that consist of one set. Sets of a template meet on most of its shingles and are alike
+    for a small sketch, so in long lists, whose pairs grow with their square, they are held
+    against the wide one as well.
+    """
+    short, long = p.where(F.col("length") <= LONG), p.where(F.col("length") > LONG)
+    wide = _wide(long.where("id is not null").select("grp", "id").distinct(), bodies)
+    met = _met(short, (SMALL,), percent).unionByName(_met(long.join(wide, "grp", "left"), (SMALL, WIDE), percent))
     pairs = met.groupBy("grp_a", "grp_b", "n_a", "n_b").agg(F.count("*").alias("shared"), F.max("pos_a").alias("pos_a"), F.max("pos_b").alias("pos_b"))
-    return pairs.where(enough.format("(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")).select("grp_a", "grp_b")
+    return pairs.where(_enough(percent, "(shared + least(n_a - pos_a - 1, n_b - pos_b - 1))")).select("grp_a", "grp_b")
 
 
 def _keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -303,15 +338,16 @@ def _classes(docs: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataF
     links = _linked(_pairs(near), bodies, percent)
     provisional = connected_components(links).withColumnRenamed("component", "c")
     members = cut(sets.join(met, "grp", "left_semi").select("grp", "id", "n", *SMALL).join(provisional, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    of_group = members.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in SMALL])
+    of_group = members.groupBy("grp").agg(F.min("c").alias("low"), F.max("c").alias("high"), *[F.when(F.count("*") == 1, F.min(c)).alias(c) for c in ("id", *SMALL)])
     torn = of_group.where("low < high").select(F.col("grp").alias("grp_a"), F.col("grp").alias("grp_b"))
-    pairs = cut(_group_pairs(postings, of_group, percent).unionByName(torn))
+    across = cut(_across(postings, of_group))
+    pairs = cut(_group_pairs(across, bodies, percent).unionByName(torn))
     a, b = (members.select(*[F.col(x).alias(f"{x}_{side}") for x in ("grp", "id", "n", "c")]) for side in "ab")
     expanded = pairs.join(a, "grp_a").join(b, "grp_b").where("c_a <> c_b and (grp_a <> grp_b or id_a < id_b)")
     rest = _linked(_pairs(expanded.select(F.col("id_a").alias("id"), F.col("n_a").alias("n"), F.col("id_b").alias("id_p"), F.col("n_b").alias("n_p"))), bodies, percent)
     of = connected_components(links.unionByName(rest)).withColumnRenamed("component", "c")
     classes = cut(sets.select("id", "key", "mark").join(of, "id", "left").withColumn("c", F.coalesce("c", "id")))
-    release(sets, postings, bodies, some, links, members, pairs, rest)
+    release(sets, postings, bodies, some, links, members, across, pairs, rest)
     return rows.select("key", "mark", "n", "id"), classes
 
 

@@ -69,3 +69,24 @@ def test_long_lists_are_paired_block_by_block(spark, monkeypatch):
         monkeypatch.setattr(ngram_join, "LONG", long_list)
         got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string"))
         assert sorted(str(tuple(r)) for r in got.collect()) == want
+
+
+def test_documents_of_one_template_do_not_all_meet(spark, monkeypatch):
+    """Texts that share much of their prefixes and yet are too unlike: the sketches leave few of their meetings."""
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(400)]
+    rows = []
+    for n in range(60):
+        words = list(base)
+        for k in rng.sample(range(400), 19):
+            words[k] = f"x{n}_{k}"
+        rows.append((n, " ".join(words)))
+    rows += [(100 + n, t) for n, t in rows[:2]] + [(200, rows[2][1] + " more")]
+    met, plain = [], ngram_join._met
+    monkeypatch.setattr(ngram_join, "_met", lambda *args: met.append(out := plain(*args).localCheckpoint()) or out)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, t in rows for w in [t.split()]}
+    like = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(60) for b in range(a)]
+    assert max(like) < 0.75
+    assert got == {n: n for n in range(60)} | {100: 0, 101: 1, 200: 2}
+    assert sum(m.count() for m in met) < len(like)
