@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
 STAGING = ".staging"
-#: Threads that move files at a commit, and folders that a task remembers to be there.
-MOVES, KNOWN = 16, 10_000
+#: Threads that move files at a commit, and files of a part, of which a commit lists one at a time.
+MOVES, PART = 16, 4_096
 
 
 def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
@@ -80,32 +80,35 @@ class _Staged(DataSourceWriter):
 
 
 class _MarkdownWriter(_Staged):
+    """A task's folder holds numbered parts."""
+
     def __init__(self, options):
         super().__init__(options)
         self.made: set[str] = set()
+        self.rows = 0
 
     def put(self, fs: pafs.FileSystem, folder: str, row: Row) -> None:
         if any(part in ("", ".", "..") for part in row.file.split("/")):
             raise ValueError(f"{row.file!r} isn't a path below the folder")
-        above = f"{folder}/{row.file}".rpartition("/")[0]
+        path = f"{folder}/{self.rows // PART:09d}/{row.file}"
+        if self.rows % PART == 0:
+            self.made.clear()
+        self.rows += 1
+        above = path.rpartition("/")[0]
         if above not in self.made:
             fs.create_dir(above, recursive=True)
-            if len(self.made) >= KNOWN:
-                self.made.clear()
             self.made.add(above)
-        with fs.open_output_stream(f"{folder}/{row.file}") as out:
+        with fs.open_output_stream(path) as out:
             out.write((row.markdown or "").encode())
 
     def publish(self, fs: pafs.FileSystem, base: str, folders: list[str]) -> None:
-        known: set[str] = set()
         with ThreadPoolExecutor(MOVES) as pool:
-            for folder in folders:
+            for folder in (part for task in folders for part in sorted(i.path for i in fs.get_file_info(pafs.FileSelector(task)))):
                 staged = [i.path for i in fs.get_file_info(pafs.FileSelector(folder, recursive=True)) if i.type == pafs.FileType.File]
-                above = {(base + path[len(folder) :]).rpartition("/")[0] for path in staged} - known
+                above = {(base + path[len(folder) :]).rpartition("/")[0] for path in staged}
                 for _ in pool.map(lambda path: fs.create_dir(path, recursive=True), above):
                     pass
-                known |= above
-                for _ in pool.map(lambda paths, cut=len(folder): [fs.move(path, base + path[cut:]) for path in paths], [staged[at : at + 1000] for at in range(0, len(staged), 1000)]):
+                for _ in pool.map(lambda paths, cut=len(folder): [fs.move(path, base + path[cut:]) for path in paths], [staged[at : at + 256] for at in range(0, len(staged), 256)]):
                     pass
 
 
