@@ -18,6 +18,8 @@ from lodeseek.functions.text import document_chunk_id, lines, strip
 
 _HEADING = r"^(#{1,6})\s+(.*)$"
 _LEVELS = range(1, 7)
+_DELIMITER, _IMAGE, _INDEX_ENTRY = r"^(-{4,}|\.{4,}|={4,}|\*{4,})\s*$", "^image::", r"\(\(\([^)]*\)\)\)"
+_ATTRIBUTES, _ASCIIDOC_HEADING = r"^\[.*\]\s*$", r"^(=+)\s+(.*)$"
 #: Lines of a segment.
 SEGMENT = 20_000
 
@@ -132,27 +134,52 @@ def chunk_ids(made: DataFrame, source: Column, source_id: Column) -> DataFrame:
     return made.withColumn("id", document_chunk_id(source, source_id, F.col("chunk_idx")))
 
 
+def _once(value: Column) -> Column:
+    """``value`` for a select, computed once for each row, also where filters above use it."""
+    return F.explode(F.array(value))
+
+
+def _prose(plain: Column) -> Column:
+    """A line of AsciiDoc outside blocks, without index entries, in Markdown."""
+    marks = F.translate(F.regexp_extract(plain, _ASCIIDOC_HEADING, 1), "=", "#")
+    words = F.replace(F.replace(F.replace(plain, F.lit(" -- "), F.lit(" — ")), F.lit("`+"), F.lit("`")), F.lit("+`"), F.lit("`"))
+    return F.when(plain.rlike(_ASCIIDOC_HEADING), F.concat(marks, F.lit(" "), strip(F.regexp_extract(plain, _ASCIIDOC_HEADING, 2)))).otherwise(words)
+
+
+def _shown(own: Column) -> Column:
+    """The lines of Markdown for ``own``, those of a whole AsciiDoc document: between delimiters every other run of lines is code."""
+    marks = F.filter(F.transform(own, lambda line, k: F.when(line.rlike(_DELIMITER), k)), lambda k: k.isNotNull())
+    runs = F.transform(F.array(marks), lambda at: F.zip_with(F.concat(F.array(F.lit(-1)), at), F.concat(at, F.array(F.size(own))), lambda start, end: F.slice(own, start + 2, end - start - 1)))[0]
+
+    def prose(run: Column) -> Column:
+        plain = F.transform(F.filter(run, lambda line: ~line.rlike(_IMAGE)), lambda line: F.regexp_replace(line, _INDEX_ENTRY, ""))
+        return F.transform(F.filter(plain, lambda line: ~line.rlike(_ATTRIBUTES)), _prose)
+
+    fence = F.array(F.lit("```"))
+    return F.flatten(F.transform(runs, lambda run, k: F.when(k == 0, prose(run)).when(k % 2 == 1, F.concat(fence, run)).otherwise(F.concat(fence, prose(run)))))
+
+
 def asciidoc_to_markdown(docs: DataFrame, key: str, text: str, segmented: bool = False) -> DataFrame:
-    """(key, markdown): blocks become fences; images, attributes and index entries go."""
-    each = _dealt(docs, key, text, segmented)
-    mark = F.col("line").rlike(r"^(-{4,}|\.{4,}|={4,}|\*{4,})\s*$")
-    opened = F.lit(0)
+    """(key, markdown): blocks become fences; images, attributes and index entries go.
+
+    Whole documents are converted where they are; segments are dealt by their document.
+    """
     if segmented:
+        each = _dealt(docs, key, text, segmented)
+        mark = F.col("line").rlike(_DELIMITER)
         counts = each.where("segment_doc.long").groupBy("segment_doc", "segment").agg(F.count_if(mark).alias("marks"))
         each = _with_state(each, counts.select("segment_doc", "segment", F.sum("marks").over(_before()).alias("opened")))
-        opened = F.coalesce("opened", F.lit(0))
-    rows = each.withColumns({"mark": mark, "code": (opened + F.sum(mark.cast("int")).over(_so_far(key, segmented))) % 2 == 1})
-    plain = F.regexp_replace("line", r"\(\(\([^)]*\)\)\)", "")
-    dropped = F.col("line").rlike("^image::") | plain.rlike(r"^\[.*\]\s*$")
-    heading = r"^(=+)\s+(.*)$"
-    marks = F.translate(F.regexp_extract(plain, heading, 1), "=", "#")
-    words = F.replace(F.replace(F.replace(plain, F.lit(" -- "), F.lit(" — ")), F.lit("`+"), F.lit("`")), F.lit("+`"), F.lit("`"))
-    prose = F.when(plain.rlike(heading), F.concat(marks, F.lit(" "), strip(F.regexp_extract(plain, heading, 2)))).otherwise(words)
-    shown = F.when(F.col("mark"), F.lit("```")).when(F.col("code"), F.col("line")).when(dropped, F.lit(None)).otherwise(prose)
-    kept = rows.select(key, "pos", shown.alias("shown")).where("shown is not null")
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda r: r["shown"]), "\n")
-    joined = kept.groupBy(key).agg(whole.alias("whole"))
-    return joined.select(key, F.concat(strip(F.regexp_replace("whole", r"\n{3,}", "\n\n")), F.lit("\n")).alias("markdown"))
+        rows = each.withColumns({"mark": mark, "code": (F.coalesce("opened", F.lit(0)) + F.sum(mark.cast("int")).over(_so_far(key, segmented))) % 2 == 1})
+        plain = F.regexp_replace("line", _INDEX_ENTRY, "")
+        dropped = F.col("line").rlike(_IMAGE) | plain.rlike(_ATTRIBUTES)
+        shown = F.when(F.col("mark"), F.lit("```")).when(F.col("code"), F.col("line")).when(dropped, F.lit(None)).otherwise(_prose(plain))
+        kept = rows.select(key, "pos", shown.alias("shown")).where("shown is not null")
+        whole = kept.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda r: r["shown"]).alias("shown"))
+    else:
+        own = docs.select(key, _once(lines(F.col(text))).alias("own"))
+        whole = own.select(key, _once(_shown(F.col("own"))).alias("shown")).where(F.size("shown") > 0)
+    joined = F.regexp_replace(F.array_join("shown", "\n"), r"\n{3,}", "\n\n")
+    return whole.select(key, _once(F.concat(strip(joined), F.lit("\n"))).alias("markdown"))
 
 
 def line_windows(docs: DataFrame, key: str, text: str, step: int = DEFAULTS.window_lines, most: int = DEFAULTS.code_chars) -> DataFrame:

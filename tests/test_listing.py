@@ -5,6 +5,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from lodeseek.operators import chunking
 from lodeseek.sources import files, listing, sinks
 
 
@@ -83,3 +84,12 @@ def test_a_commit_lists_a_part_at_a_time(spark, tmp_path, monkeypatch):
     want = {r.file: r.markdown for r in rows}
     assert {os.path.relpath(os.path.join(d, name), tmp_path): open(os.path.join(d, name)).read() for d, _, names in os.walk(tmp_path) for name in names} == want
     assert max(len(x) for x in listed if isinstance(x, list)) <= 20 and not (tmp_path / ".staging").exists()
+
+
+def test_whole_documents_are_converted_where_they_are(spark):
+    """Lines of AsciiDoc aren't shuffled, and a document of many blocks takes time in proportion to its lines."""
+    text = "".join(f"----\n== code {k}\n----\n== T{k} \n[a]\nx -- y((( i )))\n" for k in range(30_000))
+    made = chunking.asciidoc_to_markdown(spark.createDataFrame([(1, text), (2, "image::x"), (3, None), (4, "....\n----\n=="), (5, "[a]\n  \n= A")], "id long, text string").coalesce(1), "id", "text")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    want = "\n".join(f"```\n== code {k}\n```\n## T{k}\nx — y" for k in range(30_000)) + "\n"
+    assert {r.id: r.markdown for r in made.collect()} == {1: want, 4: "```\n```\n==\n", 5: "# A\n"}
