@@ -24,13 +24,15 @@ from lodeseek.sources.shared import shared_dir
 
 ENTRIES = "rel string, folder boolean, bytes long, millis long"
 #: Entries after which a task leaves the folders that it finds to the next round; folders dealt to a task; entries of a batch.
-MOST, FOLDERS, ROWS = 20_000, 64, 4_096
+MOST, FOLDERS, ROWS = 20_000, 1_024, 4_096
 #: Bytes of content that a batch is sent on with, and what opening a file counts for where the session has no setting of its own.
 BYTES, OPEN_COST = 4 << 20, 16 << 10
 
 
-def _passed_over(name: str) -> bool:
-    """Whether Spark's readers, too, leave out files and folders of this name."""
+def _passed_over(name: str, folder: bool) -> bool:
+    """Whether Spark's readers, too, leave out files or folders of this name."""
+    if folder and name.startswith(("_metadata", "_common_metadata")):
+        return False
     hidden = name.startswith(".") or name.startswith("_") and "=" not in name
     return hidden or name.endswith("._COPYING_")
 
@@ -102,7 +104,7 @@ def _walk(address: str | None, base: str) -> Callable[[Iterator[pa.RecordBatch]]
             rel = (given or found).pop()
             for name, folder, size, millis in _entries(fs, f"{base}/{rel}".rstrip("/") or "/"):
                 seen += 1
-                if _passed_over(name):
+                if _passed_over(name, folder):
                     continue
                 below = f"{rel}/{name}" if rel else name
                 if folder and seen < MOST:

@@ -10,7 +10,7 @@ from lodeseek.sources import files, listing, sinks
 
 
 def _fill(root):
-    names = ["a.md", "d/b.md", "d/e/ü x%20#.md", "d/e/.hid/no.md", ".staging/no.md", "_no/x.md", "_a=1/yes.md", "d/_no.md", "d/_metadata", "d/x._COPYING_", "deep/1/2/3/4/5/6.md", "d/none.md"]
+    names = ["a.md", "d/b.md", "d/e/ü x%20#.md", "d/e/.hid/no.md", ".staging/no.md", "_no/x.md", "_a=1/yes.md", "d/_no.md", "d/_metadata", "_metadata_of/yes.md", "_metadata_of/_no/x.md", "d/x._COPYING_", "deep/1/2/3/4/5/6.md", "d/none.md"]
     for name in names:
         (root / name).parent.mkdir(parents=True, exist_ok=True)
         (root / name).write_bytes(b"" if "none" in name else name.encode() + b"\xff\n")
@@ -35,7 +35,7 @@ def test_the_same_files_as_sparks_reader(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(listing, "BYTES", 20)
     for name in (str(root), f"{root}/", f"file:{root}"):
         rows, read = files._files(spark, name)
-        assert _rows(read(rows)) == want and len(want) == 7
+        assert _rows(read(rows)) == want and len(want) == 8
     tree = listing.Tree(spark, str(root), str(root), f"file://{tmp_path}/a%20b%2541")  # by Arrow's file systems, as stores are
     assert _rows(tree.contents(tree.files(), F.lit(True))) == want
     rows, read = files._files(spark, str(tmp_path / "a*"))  # a pattern: by Spark's reader
